@@ -122,6 +122,8 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[float, ...]],
     inside the brackets (a share of about 4 / SKETCH_ACCURACY of the rows).
     """
     cols = list(wanted)
+    if not cols:
+        return {}
     if counts is None:
         r = df.agg(*[F.count(c).alias(f"c{i}") for i, c in enumerate(cols)]).first()
         counts = {c: r[i] for i, c in enumerate(cols)}
