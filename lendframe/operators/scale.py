@@ -9,11 +9,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lendframe.operators.stats import (
-    EXACT_PERCENTILE_ROWS, ColumnStats, column_stats, exact_quantiles, modes, numeric_columns, params_frame, profile, string_columns)
+    EXACT_PERCENTILE_ROWS, ColumnStats, column_stats, exact_quantiles, modes, numeric_cells, numeric_columns, params_frame, profile, string_columns)
 
 
 @dataclass
@@ -52,18 +53,23 @@ def log_likelihoods(df: DataFrame, columns: list[str], lams: dict[str, list[floa
     ``-n/2 * ln(var(y)) + (lambda - 1) * sum(ln jacobian)``.
     """
     shift = shift or {}
-    aggs: list[Column] = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double") + shift.get(c, 0.0)
-        fn, jac = (yeo_johnson, F.signum(x) * F.log1p(F.abs(x))) if kind == "yeo-johnson" else (box_cox, F.log(x))
-        aggs += [F.count(x).alias(f"n{i}"), F.sum(jac).alias(f"j{i}")]
-        aggs += [F.var_pop(fn(x, lam)).alias(f"v{i}_{k}") for k, lam in enumerate(lams[c])]
-    r = df.agg(*aggs).first()
-    out = {}
-    for i, c in enumerate(columns):
-        n, j = r[f"n{i}"], r[f"j{i}"]
-        out[c] = [(-0.5 * n * math.log(r[f"v{i}_{k}"]) + (lam - 1.0) * j) if r[f"v{i}_{k}"] else -math.inf
-                  for k, lam in enumerate(lams[c])]
+    moved = df.select(*[(F.col(c).cast("double") + shift.get(c, 0.0)).alias(c) for c in columns])
+    grid = F.element_at(F.array(*[F.lit(np.array(lams[c], dtype=float)) for c in columns]), F.col("i") + 1)
+    cells = numeric_cells(moved, columns).where("x is not null").select("i", "x", F.posexplode(grid).alias("k", "lam"))
+    x, lam = F.col("x"), F.col("lam")
+    if kind == "yeo-johnson":
+        two = 2.0 - lam
+        pos = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
+        neg = F.when(F.abs(two) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1.0 - x, two) - 1.0) / two)
+        y, jac = F.when(x >= 0, pos).otherwise(neg), F.signum(x) * F.log1p(F.abs(x))
+    else:
+        y, jac = F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1.0) / lam), F.log(x)
+    rows = cells.groupBy("i", "k").agg(F.count(y).alias("n"), F.sum(jac).alias("j"), F.var_pop(y).alias("v")).collect()
+    out = {c: [-math.inf] * len(lams[c]) for c in columns}
+    for r in rows:  # columns x lambdas rows
+        if r["v"]:
+            c = columns[r["i"]]
+            out[c][r["k"]] = -0.5 * r["n"] * math.log(r["v"]) + (lams[c][r["k"]] - 1.0) * r["j"]
     return out
 
 
@@ -278,9 +284,7 @@ def apply_quantile_map(df: DataFrame, q: QuantileMap, output: str = "uniform") -
         df = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=c, outputCol=idx,
                         handleInvalid="keep").transform(df)
         x, i = F.col(c), F.col(idx).cast("int")  # i = number of knots <= x
-        val = F.array(*[F.lit(k[0]) for k in ks])
-        low = F.array(*[F.lit(k[1]) for k in ks])
-        high = F.array(*[F.lit(k[2]) for k in ks])
+        val, low, high = (F.lit(np.array([k[m] for k in ks])) for m in range(3))
         at = lambda a, j: F.get(a, j - 1)
         inner = at(high, i) + (at(low, i + 1) - at(high, i)) * (x - at(val, i)) / (at(val, i + 1) - at(val, i))
         u = (F.when(x.isNull(), None).when(x <= splits[0], F.lit(0.0)).when(x >= splits[-1], F.lit(1.0))

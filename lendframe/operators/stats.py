@@ -9,7 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import numpy as np
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 #: Up to this many rows the built-in exact ``percentile`` (a value map in one
 #: task) is used; beyond it the two-pass bracket search below.
@@ -79,15 +80,19 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, *,
     columns = columns if columns is not None else numeric_columns(df)
     if not columns:
         return {}
-    aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
+    # Long form: a handful of aggregates over (column number, value) cells compiles to tight code,
+    # where columns x statistics aggregates side by side would not be compiled at all.
+    x = F.col("x")
+    rows = numeric_cells(df, columns).groupBy("i").agg(
+        F.count(F.lit(1)).alias("n"), F.count(x).alias("c"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"),
+        F.stddev_pop(x).alias("p"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.skewness(x).alias("g"),
+        F.kurtosis(x).alias("k")).collect()
+    got = {r["i"]: r for r in rows}
+    out = {c: ColumnStats(0, 0) for c in columns}
     for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        aggs += [F.count(c).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.stddev_pop(x).alias(f"p{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}")]
-    r = df.agg(*aggs).first()
-    out = {c: ColumnStats(r["n"], r[f"c{i}"], r[f"m{i}"], r[f"s{i}"], r[f"p{i}"], r[f"lo{i}"],
-                          r[f"hi{i}"], r[f"g{i}"], r[f"k{i}"]) for i, c in enumerate(columns)}
+        if i in got:
+            r = got[i]
+            out[c] = ColumnStats(r["n"], r["c"], r["m"], r["s"], r["p"], r["lo"], r["hi"], r["g"], r["k"])
     if quantiles:
         qs = exact_quantiles(df, {c: quantiles for c in columns}, {c: s.count for c, s in out.items()})
         for c in columns:
@@ -98,6 +103,13 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, *,
     return out
 
 
+def numeric_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Cells as ``(i, x)``: column number and value as double, nulls kept; one scan, nothing shuffled yet."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)
+    ])).alias("e")).select("e.i", "e.x")
+
+
 def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     """Exact distinct counts of many columns.
 
@@ -130,7 +142,16 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[float, ...]],
     limit = EXACT_PERCENTILE_ROWS if limit is None else limit
     small = [c for c in cols if counts[c] <= limit]
     out: dict[str, dict[float, float]] = {c: {} for c in cols}
-    if small:
+    if small and len({wanted[c] for c in small}) == 1:
+        probs = wanted[small[0]]
+        rows = numeric_cells(df, small).groupBy("i").agg(
+            F.percentile("x", F.lit(np.array(probs, dtype=float))).alias("q")).collect()
+        for c in small:
+            out[c] = {p: None for p in probs}
+        for r in rows:
+            if r["q"] is not None:
+                out[small[r["i"]]] = dict(zip(probs, r["q"]))
+    elif small:
         r = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in wanted[c]]))
                      .alias(f"q{i}") for i, c in enumerate(small)]).first()
         for i, c in enumerate(small):
@@ -144,7 +165,7 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[float, ...]],
 def _bracket_search(df: DataFrame, wanted: dict[str, tuple[float, ...]], counts: dict[str, int],
                     eps: float) -> dict[str, dict[float, float]]:
     cols = list(wanted)
-    sketch = df.agg(*[
+    sketch = df.agg(*[  # one row
         F.percentile_approx(
             F.col(c).cast("double"),
             F.array(*[F.lit(v) for p in wanted[c] for v in (max(p - eps, 0.0), min(p + eps, 1.0))]),

@@ -104,13 +104,13 @@ def _zfence() -> str:
     return f"WITH q AS (SELECT {cols} FROM {L}) "
 
 
-def _bounds(method: str, k: float = 1.5) -> str:
-    return union(f"SELECT '{c}' AS \"column\", '{method}' AS method, round(lo_{c}, 4) AS lo, round(hi_{c}, 4) AS hi FROM q" for c in OUT_COLS)
+def _bounds(method: str, digits: int = 4) -> str:
+    return union(f"SELECT '{c}' AS \"column\", '{method}' AS method, round(lo_{c}, {digits}) AS lo, round(hi_{c}, {digits}) AS hi FROM q" for c in OUT_COLS)
 
 
-@query("o1_iqr_bounds", _fence(1.5) + _bounds("iqr"))
+@query("o1_iqr_bounds", _fence(1.5) + _bounds("iqr", 8))
 def _(t):
-    return rnd(outliers.bounds_table(t.spark, outliers.fit_iqr(t.loans, OUT_COLS)), 4)
+    return rnd(outliers.bounds_table(t.spark, outliers.fit_iqr(t.loans, OUT_COLS)), 8)
 
 
 @query("o2_zscore_bounds", _zfence() + _bounds("zscore"))
@@ -122,10 +122,10 @@ _HIT = {c: f"coalesce({c} < lo_{c} or {c} > hi_{c}, false)" for c in OUT_COLS}
 
 
 @query("o5_clip", _fence(1.5) + "SELECT application_id, " + ", ".join(
-    f"round(case when {c} < lo_{c} then lo_{c} when {c} > hi_{c} then hi_{c} else {c} end, 4) AS {c}" for c in OUT_COLS) + f" FROM {L}, q")
+    f"round(case when {c} < lo_{c} then lo_{c} when {c} > hi_{c} then hi_{c} else {c} end, 8) AS {c}" for c in OUT_COLS) + f" FROM {L}, q")
 def _(t):
     df = t.loans
-    return rnd(outliers.treat(df, outliers.fit_iqr(df, OUT_COLS), "clip").select("application_id", *OUT_COLS), 4)
+    return rnd(outliers.treat(df, outliers.fit_iqr(df, OUT_COLS), "clip").select("application_id", *OUT_COLS), 8)
 
 
 @query("o5_remove", _fence(1.5) + f"SELECT application_id, annual_income FROM {L}, q WHERE NOT (" + " OR ".join(_HIT.values()) + ")")
@@ -217,10 +217,10 @@ _Z = "(loan_amount - 20000e0) / 10000e0"
 
 
 @query("n4_yeo_johnson", f"SELECT application_id, " + ", ".join(
-    f"round({_yj(_Z, lam)}, 6) AS y{k}" for k, lam in enumerate(_LAMS)) + f" FROM {L}")
+    f"round({_yj(_Z, lam)}, 9) AS y{k}" for k, lam in enumerate(_LAMS)) + f" FROM {L}")
 def _(t):
     z = F.expr("(loan_amount - 20000D) / 10000D")
-    return t.loans.select("application_id", *[F.round(scale.yeo_johnson(z, lam), 6).alias(f"y{k}") for k, lam in enumerate(_LAMS)])
+    return t.loans.select("application_id", *[F.round(scale.yeo_johnson(z, lam), 9).alias(f"y{k}") for k, lam in enumerate(_LAMS)])
 
 
 def _ll(y: str, jac: str, lam: float) -> str:
@@ -289,12 +289,12 @@ def _(t):
         "column", "method", F.round("skew", 4).alias("skew"), F.round("outlier_ratio", 6).alias("outlier_ratio"))
 
 
-@query("n8_inverse", f"SELECT application_id, " + ", ".join(f"round({d(c)}, 4) AS {c}" for c in _N) + f" FROM {L}")
+@query("n8_inverse", f"SELECT application_id, " + ", ".join(f"round({d(c)}, 5) AS {c}" for c in _N) + f" FROM {L}")
 def _(t):
     df = t.loans.select("application_id", *_N)
     s = scale.fit_scaler(df, _N, {"annual_income": "power", "credit_score": "robust", "years_employed": "minmax",
                                   "loan_amount": "box-cox", "age": "standard"})
-    return rnd(scale.invert_scaler(scale.apply_scaler(df, s), s), 4)
+    return rnd(scale.invert_scaler(scale.apply_scaler(df, s), s), 5)
 
 
 @query("n9_feature_stats", union(
