@@ -1,6 +1,6 @@
 """All checked queries."""
 
 from lendframe.plans.registry import QUERIES, SQL
-from lendframe.plans import catalog_rules, catalog_eda, catalog_prep  # noqa: F401
+from lendframe.plans import catalog_rules, catalog_eda, catalog_prep, catalog_validate  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]
