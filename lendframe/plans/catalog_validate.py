@@ -168,9 +168,9 @@ def _(t):
     return v.groupBy("field", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query("v6_pattern", "SELECT c_custkey, 'c_phone' AS field, 'bad_pattern' AS error_type, c_phone AS value FROM customer WHERE NOT regexp_matches(c_phone, '^1[0-9]-[0-9]{3}')", loans=False)
+@query("v6_pattern", "SELECT c_custkey, 'c_name' AS field, 'bad_pattern' AS error_type, c_name AS value FROM customer WHERE NOT regexp_matches(c_name, '^Customer#[0-9]*[02468]$')", loans=False)
 def _(t):
-    return validate.violations(t.customer, "c_custkey", (FieldConstraint("c_phone", "string", nullable=True, pattern=r"1[0-9]-[0-9]{3}"),))
+    return validate.violations(t.customer, "c_custkey", (FieldConstraint("c_name", "string", nullable=True, pattern="Customer#[0-9]*[02468]$"),))
 
 
 _CONTACT = ("SELECT c_custkey, case when c_custkey % 3 = 0 then concat('user', cast(c_custkey as varchar(20)), '@example.org') else concat('user', cast(c_custkey as varchar(20)), '@example') end AS email, "
