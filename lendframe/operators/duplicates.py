@@ -203,7 +203,8 @@ def fuzzy_leaders(df: DataFrame, id_col: str, columns: list[str], threshold: flo
     cells = [_cell(f"v.{c}", kind(types[c]), loss[c] * (1 + 1e-9) + 1e-12) for c in grid]
     # the join key is a 64-bit hash of the coordinates; a collision only adds a pair that is then compared
     key = lambda coords: F.xxhash64(coords)
-    live = checkpoint(reps.select("id", "v", F.array(*cells).alias("at")).withColumn("cell", key("at")))
+    every = checkpoint(reps.withColumn("at", F.array(*cells)).withColumn("cell", key("at")))
+    live = every.drop("_k")
     moves = []
     for m in itertools.product(range(-FINENESS, FINENESS + 1), repeat=len(grid)):
         # cells m apart differ by at least (|m| - 1) steps; drop moves that already cost more than the budget
@@ -236,8 +237,7 @@ def fuzzy_leaders(df: DataFrame, id_col: str, columns: list[str], threshold: flo
     # final assignment: the smallest similar leader. Leaders are pairwise dissimilar, so a cell holds few of them.
     lead = leaders.select(F.col("id").alias("pid"), F.col("v").alias("pv"), "at", F.explode(near).alias("m"))
     lead = lead.select("pid", "pv", key(F.zip_with("at", "m", lambda a, b: a + b)).alias("cell"))
-    every = reps.select("_k", "id", "v", key(F.array(*cells)).alias("cell"))
-    own = _meet(every, lead).where(
+    own = _meet(every.drop("at"), lead).where(
         (F.col("pid") == F.col("id")) | ((F.col("pid") < F.col("id")) & similar))
     best = own.groupBy("_k").agg(F.min(F.struct((F.col("pid") != F.col("id")).alias("o"), "pid")).alias("b"))
     best = best.select("_k", F.col("b.pid").alias("leader"))

@@ -239,12 +239,11 @@ BIG = {"income_growth_potential", "credit_score_annual_income_interaction", "ann
 
 
 def _recipe_sql(exprs: dict) -> str:
-    return "SELECT application_id, " + ", ".join(f"round({e}, {4 if k in BIG else 10}) AS {k}" for k, e in exprs.items()) + f" FROM {L}"
+    return "SELECT application_id, " + ", ".join(f"{f'round({e}, 4)' if k in BIG else e} AS {k}" for k, e in exprs.items()) + f" FROM {L}"
 
 
 def _recipe(df):
-    doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    return df.select(*[F.round(c, 4 if c in BIG else 10).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return df.select(*[F.round(c, 4).alias(c) if c in BIG else F.col(c) for c in df.columns])
 
 
 @query("f8_recipe_a", _recipe_sql(SQL_A))
@@ -296,9 +295,9 @@ _API_SQL = {
 }
 
 
-@query("f12_api_features", f"WITH a AS ({_API}) SELECT o_orderkey, " + ", ".join(f"round(cast({e} as double), 10) AS {k}" for k, e in _API_SQL.items()) + " FROM a", loans=False)
+@query("f12_api_features", f"WITH a AS ({_API}) SELECT o_orderkey, " + ", ".join(f"cast({e} as double) AS {k}" for k, e in _API_SQL.items()) + " FROM a", loans=False)
 def _(t):
-    return rnd(recipes.api_features(api_records(t), ("o_orderkey",)), 10)
+    return recipes.api_features(api_records(t), ("o_orderkey",))
 
 
 # --- R ------------------------------------------------------------------------------------------
