@@ -61,8 +61,8 @@ def threshold_sweep(preds: DataFrame, conf: Column, thresholds: tuple[float, ...
     cells = c.select("model", "n", "tp", "fp", "fn", "ok", F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("_k"))
     s = cells.groupBy("model", "_k").agg(*[F.sum(x).alias(x) for x in ("n", "tp", "fp", "fn", "ok")])
     total = s.where("_k = 0").select("model", F.col("n").alias("total"))
-    grid = params_frame(preds.sparkSession, [(i + 1, float(t)) for i, t in enumerate(thresholds)], "_k int, threshold double")
-    out = total.join(F.broadcast(grid)).join(s, ["model", "_k"], "left")  # the grid is a constant handful of rows
+    grid = F.array(*[F.struct(F.lit(i + 1).alias("_k"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(thresholds)])
+    out = total.select("model", "total", F.explode(grid).alias("_g")).select("model", "total", "_g.*").join(s, ["model", "_k"], "left")
     pr, rc = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     z = lambda x: F.when(F.col("n") > 0, F.coalesce(x, F.lit(0.0)))
     return out.select("model", "threshold", F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)).alias("coverage"),

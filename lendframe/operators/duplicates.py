@@ -6,8 +6,6 @@ group in one task or lists its pairs: exact operators aggregate by a row hash
 bounded number of leading rows of their neighbourhood per round.
 """
 
-from __future__ import annotations
-
 import itertools
 import math
 from difflib import SequenceMatcher

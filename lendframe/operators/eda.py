@@ -34,11 +34,10 @@ def describe(df: DataFrame, columns: list[str] | None = None, digits: int = 2) -
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
-    """Counts and shares per value, most frequent first. The total comes from the counts, not a second scan."""
-    counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    total = counts.agg(F.sum("cnt").alias("total"))
-    out = counts.crossJoin(F.broadcast(total)).select(  # one row: the total
-        "value", "cnt", F.round(F.col("cnt") * 100.0 / F.col("total"), 4).alias("pct"))
+    """Counts and shares per value, most frequent first."""
+    total = df.count()  # one number
+    out = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("cnt")).withColumn(
+        "pct", F.round(F.col("cnt") * 100.0 / F.lit(max(total, 1)), 4))
     out = out.orderBy(F.desc("cnt"), F.asc("value"))
     return out.limit(top) if top else out
 

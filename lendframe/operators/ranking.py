@@ -82,11 +82,19 @@ def range_buckets(df: DataFrame, column: str, n: int | None = None) -> tuple[Dat
 
 def running_totals(df: DataFrame, order: str, measures: list[str], by: list[str] = ()) -> DataFrame:
     """Running sums ``cum_<m>`` in ascending order of a numeric column, one row per (by, order) value."""
+    return running(df, order, measures, by, "sum")
+
+
+def running(df: DataFrame, order: str, measures: list[str], by: list[str] = (), how: str = "sum") -> DataFrame:
+    """Running sum, max or min of measures: totals of the earlier buckets combined with a window inside the bucket."""
     by = list(by)
+    fn = {"sum": F.sum, "max": F.max, "min": F.min}[how]
     d, b = range_buckets(df, order)
-    sizes = d.groupBy(*by, b).agg(*[F.sum(m).alias(m) for m in measures])
-    off = _offsets(sizes, by, b, measures)
+    sizes = d.groupBy(*by, b).agg(*[fn(m).alias(m) for m in measures])
+    wb = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    off = sizes.select(*by, b, *[fn(m).over(wb).alias(f"_off_{m}") for m in measures])
     w = Window.partitionBy(*by, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    join = {"sum": lambda x, o: x + F.coalesce(o, F.lit(0)), "max": F.greatest, "min": F.least}[how]
     j = _null_safe(d, off, [*by, b])
-    return j.select("*", *[(F.sum(m).over(w) + F.col(f"_off_{m}")).alias(f"cum_{m}") for m in measures]).drop(
+    return j.select("*", *[join(fn(m).over(w), F.col(f"_off_{m}")).alias(f"cum_{m}") for m in measures]).drop(
         b, *[f"_off_{m}" for m in measures])

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lendframe.operators.ranking import ordered_row_number, running_totals
+from lendframe.operators.ranking import ordered_row_number, running, running_totals
 
 
 def leaderboard(runs: DataFrame, metric: str = "accuracy", target: float = 0.9, time_col: str = "duration") -> DataFrame:
     """Runs by falling metric with rank, best, fastest and target flags. The rank comes from one range sort."""
     r = ordered_row_number(runs, [F.desc_nulls_last(metric), F.asc("run_id")], "rank")
-    fastest = runs.agg(F.min(time_col).alias("_t"))
-    return r.crossJoin(F.broadcast(fastest)).select(  # one row: the shortest time
-        *runs.columns, "rank", (F.col("rank") == 1).alias("is_best"), (F.col(time_col) == F.col("_t")).alias("is_fastest"),
+    fastest = runs.agg(F.min(time_col)).first()[0]
+    return r.select(
+        *runs.columns, "rank", (F.col("rank") == 1).alias("is_best"), (F.col(time_col) == F.lit(fastest)).alias("is_fastest"),
         (F.col(metric) >= target).alias("meets_target")).orderBy("rank")
 
 
@@ -127,10 +127,8 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 
 def trial_history(trials: DataFrame, mode: str = "max") -> DataFrame:
-    """Trials with the best value so far. Trials of one study are few; one task per study."""
-    w = Window.partitionBy("study").orderBy("trial").rowsBetween(Window.unboundedPreceding, 0)
-    best = F.max("value").over(w) if mode == "max" else F.min("value").over(w)
-    return trials.withColumn("best_so_far", best)
+    """Trials with the best value so far; bucketed, so one large study does not run in one task."""
+    return running(trials, "trial", ["value"], ["study"], mode).withColumnRenamed("cum_value", "best_so_far")
 
 
 def trial_states(trials: DataFrame) -> DataFrame:
