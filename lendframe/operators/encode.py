@@ -31,9 +31,13 @@ def fit_categories(df: DataFrame, columns: list[str], limit: int = MAX_LITERAL_C
 def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_first: bool = False, keep: bool = False) -> DataFrame:
     """0/1 columns ``{column}_{value}``; unknown values and nulls give all zeros."""
     new = []
+    taken: dict[str, int] = {}
     for c, values in categories.items():
         for v in values[1 if drop_first else 0:]:
-            new.append(F.when(F.col(c).cast("string") == F.lit(v), 1).otherwise(0).alias(f"{c}_{v}"))
+            name = f"{c}_{v}"
+            n = taken[name.lower()] = taken.get(name.lower(), 0) + 1
+            # column names ignore case: values that differ by case only are numbered
+            new.append(F.when(F.col(c).cast("string") == F.lit(v), 1).otherwise(0).alias(name if n == 1 else f"{name}_{n}"))
     rest = [c for c in df.columns if keep or c not in categories]
     return df.select(*rest, *new)
 

@@ -116,7 +116,7 @@ def importance_table(spark, model, columns: list[str], top: int | None = None) -
 
 def boosting_history(model, df: DataFrame) -> DataFrame:
     """Loss after each boosting round."""
-    losses = model.evaluateEachIteration(df)
+    losses = model.evaluateEachIteration(df if "weight" in df.columns else df.withColumn("weight", F.lit(1.0)))
     return params_frame(df.sparkSession, [(i + 1, float(v)) for i, v in enumerate(losses)], "round int, loss double")
 
 

@@ -141,6 +141,8 @@ def accuracy(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Share of values beyond 3 IQR per numeric column with over 10 values; above 10 % counts against accuracy."""
     cols = columns or numeric_columns(df)
     stats = {c: s for c, s in column_stats(df, cols, quantiles=(0.25, 0.75)).items() if s.count > 10}
+    if not stats:
+        return params_frame(df.sparkSession, [], "column string, total bigint, extreme bigint, ratio double, flagged boolean")
     out = profile(df, list(stats), {
         "total": lambda c: F.count(F.col(c)),
         "extreme": lambda c: F.count_if(~F.col(c).cast("double").between(*stats[c].fences(3.0)))})
@@ -152,6 +154,8 @@ def timeliness(df: DataFrame, as_of: datetime.date | str) -> DataFrame:
     """Age in days of the newest value of each date column against ``as_of``; over 365 days is stale."""
     cols = [c for c in df.columns if "date" in c.lower() or "time" in c.lower()]
     cols = [c for c in cols if isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType))]
+    if not cols:
+        return params_frame(df.sparkSession, [], "column string, oldest date, newest date, days_old int, stale boolean")
     out = profile(df, cols, {"newest": lambda c: F.max(F.col(c).try_cast("date")),
                              "oldest": lambda c: F.min(F.col(c).try_cast("date"))})
     age = F.date_diff(F.lit(str(as_of)).cast("date"), F.col("newest"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,15 +19,24 @@ def get_session(app: str = "lendframe", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table in the shared folder that holds the checkpoints."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lendframe-ckpt-"))
+    return sc.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage on reliable storage, so that a lost executor does not lose the cut.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a
     temporary one is made only where that is unset (tests, one machine).
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lendframe-ckpt-"))
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)

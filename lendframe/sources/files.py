@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 TARGET_KEYWORDS = ("approved", "target", "label", "outcome")
 
 
+MICROS = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              date_columns: tuple[str, ...] = ("application_date",)) -> DataFrame:
     """CSV with header. Give a schema for large inputs: inference reads the files twice."""
@@ -27,13 +30,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
         w = w.option("header", True)
+    if fmt in ("csv", "json"):  # text formats keep microseconds
+        w = w.option("timestampFormat", MICROS).option("timestampNTZFormat", MICROS)
     w.format(fmt).save(path)
 
 
 def read_sessions(spark: SparkSession, path: str, order: str = "start_time",
-                  schema: T.StructType | str | None = None) -> DataFrame:
-    """Metadata or session documents, one JSON document per file, sorted by start."""
-    reader = spark.read.option("multiLine", True)
+                  schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """Metadata or session documents, one JSON document per file (or per line), sorted by start."""
+    reader = spark.read.option("multiLine", multi_line)
     df = reader.schema(schema).json(path) if schema else reader.json(path)
     return df.orderBy(order) if order in df.columns else df
 
