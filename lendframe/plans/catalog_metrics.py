@@ -40,9 +40,10 @@ def _(t):
     return _metrics(metrics.classification_metrics(t.preds))
 
 
-@query("x1_weighted", _x1(f"SELECT model, {_C.replace('then 1e0', 'then loan_amount')} FROM preds GROUP BY model"), preds=True)
+@query("x1_weighted", _x1(f"SELECT model, {_C.replace('then 1e0', 'then cast(loan_term_months as double)')} FROM preds JOIN (SELECT application_id, loan_term_months FROM lab) ON application_id = row_id GROUP BY model"), preds=True)
 def _(t):
-    return _metrics(metrics.classification_metrics(t.preds, weight="loan_amount"))
+    terms = t.lab.select(F.col("application_id").alias("row_id"), "loan_term_months")
+    return _metrics(metrics.classification_metrics(t.preds.join(terms, "row_id"), weight="loan_term_months"))
 
 
 _REP = ("(SELECT model, c AS label, count(case when label = c then 1 end) AS support, coalesce(count(case when label = c and pred = c then 1 end) * 1e0 / nullif(count(case when pred = c then 1 end), 0), 0e0) AS precision, "
