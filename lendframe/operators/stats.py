@@ -204,7 +204,7 @@ def _bracket_search(df: DataFrame, wanted: dict[str, tuple[float, ...]], counts:
             out[c][p] = _bracket_search(df, {c: (p,)}, counts, min(1.0, eps * 10))[c][p]
         else:
             a, b = r["x0"], r["x1"]
-            out[c][p] = a + (b - a) * frac if b != a else a
+            out[c][p] = (1.0 - frac) * a + frac * b if b != a else a
     return out
 
 
