@@ -111,9 +111,9 @@ def _(t):
 @query("a6_histogram",
        "WITH b AS (SELECT min(loan_amount) AS lo, max(loan_amount) AS hi FROM loan_applications), "
        "x AS (SELECT least(cast(floor((loan_amount - lo) / ((hi - lo) / 30)) as bigint), 29) AS bin, lo, (hi - lo) / 30 AS w FROM loan_applications, b) "
-       "SELECT bin, count(*) AS cnt, round(min(lo) + bin * min(w), 4) AS left_edge FROM x GROUP BY bin")
+       "SELECT bin, count(*) AS cnt, round(min(lo) + bin * min(w), 8) AS left_edge FROM x GROUP BY bin")
 def _(t):
-    return rnd(eda.histogram(t.loans, "loan_amount", 30), 4)
+    return rnd(eda.histogram(t.loans, "loan_amount", 30), 8)
 
 
 @query("a7_t_tests",
