@@ -34,7 +34,7 @@ BLOCK_CHARS = 4_000_000
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 #: Bytes outside 0-9, a-z and the non-ASCII range separate words; A-Z become a-z.
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20 for c in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def words(text: bytes) -> list[bytes]:
@@ -118,7 +118,7 @@ def _scan(held: DataFrame, block, carry: list[str]) -> DataFrame:
             merged = _merge(ranges)
             spans = []
             if merged:
-                at = [m.span() for m in _WORD.finditer(raw.decode("utf-8", "surrogateescape"))]
+                at = [m.span() for m in WORD.finditer(raw.decode("utf-8", "surrogateescape"))]
                 spans = [{"start": at[a][0], "stop": at[b - 1][1]} for a, b in merged]
             return (len(w), sum(b - a for a, b in merged), len(found), sorted(found),
                     [{"start": a, "stop": b} for a, b in merged], spans)

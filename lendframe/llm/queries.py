@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lendframe.llm import decontaminate, exact_dedup, simhash, url_reputation
+from lendframe.llm import decontaminate, exact_dedup, pieces, quality, simhash, toxicity, url_reputation
+from lendframe.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,3 +130,26 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 @query("op8_decontamination", OP8_SQL)
 def op8(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_merge_dropout")
+def op7(spark, sf_dir):
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+@query("op9_toxic_spans")
+def op9(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs, labels.filter(~held_out))
+    return toxicity.score(docs, model, carry=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", "spans")
+
+
+@query("op10_quality_passages")
+def op10(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 3) == 1
+    model = quality.fit(docs, labels.filter(~held_out))
+    return quality.score(docs, model, carry=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted")
