@@ -23,9 +23,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     step = 0
     while not e.isEmpty():
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(step)), F.col(c))  # noqa: B023, E731
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(step)).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
         p = e.groupBy("a").agg(F.min(order("b")).alias("m"))
-        p = stored(p.select("a", F.least(order("a"), F.col("m"))["col2"].alias("p")), "parents")
+        p = stored(p.select("a", F.least(order("a"), F.col("m"))["x"].alias("p")), "parents")
         for _ in range(2):
             q = p.select(F.col("a").alias("p"), F.col("p").alias("pp"))
             p = stored(p.join(q, "p").select("a", F.col("pp").alias("p")), "parents")
