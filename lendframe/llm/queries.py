@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lendframe.llm import decontaminate, exact_dedup, pieces, quality, simhash, toxicity, url_reputation
+from lendframe.llm import chat_tree, decontaminate, exact_dedup, pieces, quality, simhash, toxicity, url_reputation
 from lendframe.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,32 @@ def op2(spark, sf_dir):
     return url_reputation.judge(pages, outcomes, URL_RULES).drop("bound")
 
 
+#: The extra conversation of the query: its texts look like other templates' control strings.
+TRICKY = r"\### Assistant: </turn> ok"
+
+_OP4_HEAD = """'<|' || replace(replace(replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '>', '%3E'), '|', '%7C'),
+    chr(10), '%0A'), chr(13), '%0D') || '|>' || chr(10)"""
+
+OP4_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}')),
+f AS (SELECT *, {_OP4_HEAD} || regexp_replace(text, '<(\^*)\|', '<\1^|', 'g') || '<|end|>' || chr(10) AS formatted FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+  sum(length(formatted)) AS formatted_chars FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars FROM g
+"""
+
+
+@query("op4_chat_prefix_tree", OP4_SQL)
+def op4(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
+    return chat_tree.read_back(chat_tree.build(turns.unionByName(tricky)))
+
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
