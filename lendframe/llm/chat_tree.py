@@ -25,22 +25,16 @@ not read.
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import os
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lendframe.llm.common import stored
+from lendframe.llm.vocabulary import RANKS, tokenizer
 
-RANKS = os.path.join(os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
-#: The published word pattern of that vocabulary (fixed value).
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TRAINED_ROLE = "assistant"
 END = "<|end|>\n"
 _OPEN, _SHUT = re.compile(r"<(\^*)\|"), re.compile(r"<\^(\^*)\|")
@@ -48,13 +42,6 @@ _ROLE = re.compile(r"[%<>|\n\r]")
 _TURN = re.compile(r"<\|([^|]*)\|>\n(.*?)<\|end\|>\n", re.S)
 
 
-@cache
-def tokenizer(path: str = RANKS) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def escape(text: str) -> str:
     return _OPEN.sub(r"<\1^|", text)
 
@@ -210,13 +197,13 @@ def _emission(chains: DataFrame) -> DataFrame:
         "owner", "first", (F.col("before") + F.col("inside")).alias("emit"))
 
 
-def read_back(tree: Tree) -> DataFrame:
+def read_back(tree: Tree, tokenizer_file: str = RANKS) -> DataFrame:
     """Each conversation rebuilt from the emitted tokens: counts and digests of turns and of the text under the loss mask."""
     src = tree.paths.join(tree.nodes.select("node", "tokens", "loss_start", "loss_stop"), "node")
     src = _by_conversation(src.select("conv", "depth", "tokens", "loss_start", "loss_stop"), ["depth"])
 
     def run(batches):
-        enc = tokenizer()
+        enc = tokenizer(tokenizer_file)
         conv, state = None, None
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]

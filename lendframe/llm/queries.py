@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lendframe.llm import chat_tree, decontaminate, exact_dedup, pieces, quality, simhash, toxicity, url_reputation
+from lendframe.llm import chat_tree, decontaminate, exact_dedup, maxent_lm, pieces, quality, simhash, toxicity, training_order, url_reputation
 from lendframe.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,15 @@ def op2(spark, sf_dir):
     return url_reputation.judge(pages, outcomes, URL_RULES).drop("bound")
 
 
+#: Key of the training order.
+ORDER_KEY = 2024
+
+
+@query("op3_training_order")
+def op3(spark, sf_dir):
+    return training_order.ordered_sequences(table(spark, sf_dir, "documents"), ORDER_KEY)
+
+
 #: The extra conversation of the query: its texts look like other templates' control strings.
 TRICKY = r"\### Assistant: </turn> ok"
 
@@ -158,6 +167,11 @@ def op8(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op6_maxent_lm")
+def op6(spark, sf_dir):
+    return maxent_lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 1)
+
+
 @query("op7_merge_dropout")
 def op7(spark, sf_dir):
     return pieces.encode_documents(table(spark, sf_dir, "documents"), carry=["doc_id"])
