@@ -90,11 +90,11 @@ def coerce_numeric(x: Column) -> Column:
 def infer_types(df: DataFrame, sample_size: int | None = None) -> DataFrame:
     """Inferred type per column: boolean, datetime, integer, float, categorical, else string.
 
-    Values are combined per (column, value) before the shuffle. ``sample_size``
-    limits the rows looked at; the default reads all.
+    Values are combined per (column, value) before the shuffle. ``sample_size`` looks at that many
+    rows only, chosen by the hash of the row; the default reads all.
     """
     from lendframe.operators.stats import long_cells
-    src = df.limit(sample_size) if sample_size else df
+    src = df.orderBy(F.xxhash64(*df.columns)).limit(sample_size) if sample_size else df
     v = long_cells(src, src.columns).where("value is not null").groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("n"))
     num = _number(F.trim("value"))

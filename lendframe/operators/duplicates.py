@@ -173,69 +173,90 @@ def _cell(c: str, k: str, drop: float) -> Column:
     return F.coalesce(g.cast("bigint"), F.lit(-(10 ** 15)))
 
 
+def _grids(columns: list[str], types, w: dict[str, float], budget: float, grid: list[str] | None) -> list[list[str]]:
+    """Disjoint column groups of which one must be close in any similar pair.
+
+    A pair may lose ``budget`` in all. With one group, its columns share that loss; if a column could lose all its
+    weight within it, the columns are dealt to s groups: at least one group then loses no more than budget / s.
+    """
+    first = grid or [c for c in columns if kind(types[c]) == "numeric"][:3] or columns[:1]
+    if all(budget / w[kind(types[c])] < 1.0 for c in first):
+        return [first]
+    ranked = sorted(columns, key=lambda c: kind(types[c]) != "numeric")
+    for s in range(2, len(columns) + 1):
+        groups = [ranked[i::s][:3] for i in range(s)]
+        if all(budget / s / w[kind(types[c])] < 0.7 for g in groups for c in g):
+            return groups
+    return [[]]  # no column bounds a pair: one cell for all rows
+
+
 def fuzzy_leaders(df: DataFrame, id_col: str, columns: list[str], threshold: float = 0.9,
                   grid: list[str] | None = None, weights: dict[str, float] | None = None,
-                  pivots: int = 32, max_rounds: int = 1000) -> DataFrame:
+                  pivots: int = 32) -> DataFrame:
     """Greedy leader groups as ``(id, leader)``, exact: by rising id, a row joins the smallest leader that is
     at least ``threshold`` similar, else becomes a leader itself.
 
-    Equal rows are folded first. A pair above the threshold can lose at most ``(1 - t) x total weight`` in one
-    column, so it lies in the same or a close cell of a grid over the ``grid`` columns; no other pair is
-    looked at. Per round each cell offers its smallest ``pivots`` undecided rows: a pivot without a smaller
+    Equal rows are folded first. A pair above the threshold can lose at most ``(1 - t) x total weight``, so it lies
+    in the same or a close cell of a grid over a few columns (of one of several grids, if one column's weight is less
+    than that loss); no other pair is looked at. Per round each cell offers its smallest ``pivots`` undecided rows: a pivot without a smaller
     undecided similar row is a leader, and rows similar to a smaller leader are settled. So a hot cell of m rows
-    costs m x pivots comparisons per round, not m x m; rounds go on until all rows are settled.
+    costs m x pivots comparisons per round, not m x m. The smallest undecided row of all is settled in every round,
+    and rounds go on until no row is left.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     w = {**WEIGHTS, **(weights or {})}
     total = sum(w[kind(types[c])] for c in columns)
-    grid = grid or [c for c in columns if kind(types[c]) == "numeric"][:3] or columns[:1]
-    loss = {c: (1.0 - threshold) * total / w[kind(types[c])] for c in grid}
-    wide = [c for c in grid if loss[c] >= 1.0]
-    if wide:
-        raise ValueError(f"{wide} cannot bound similar rows at threshold {threshold}: compare fewer columns")
+    groups = _grids(columns, types, w, (1.0 - threshold) * total, grid)
+    budget = (1.0 - threshold) * total / len(groups)
+    loss = {c: budget / w[kind(types[c])] for g in groups for c in g}
     # copies: one representative per distinct row, with its smallest id
     reps = df.groupBy(row_key(columns).alias("_k")).agg(
         F.min(id_col).alias("id"), F.min_by(F.struct(*[
             (F.col(c).cast("double") if kind(types[c]) == "numeric" else F.lower(F.col(c).cast("string"))).alias(c)
             for c in columns]), id_col).alias("v"))
-    cells = [_cell(f"v.{c}", kind(types[c]), loss[c] * (1 + 1e-9) + 1e-12) for c in grid]
-    # the join key is a 64-bit hash of the coordinates; a collision only adds a pair that is then compared
-    key = lambda coords: F.xxhash64(coords)
-    every = checkpoint(reps.withColumn("at", F.array(*cells)).withColumn("cell", key("at")))
+    empty = F.array().cast("array<bigint>")
+    cells = [F.array(*[_cell(f"v.{c}", kind(types[c]), loss[c] * (1 + 1e-9) + 1e-12) for c in g]) if g else empty for g in groups]
+    # the join key is a 64-bit hash of grid and coordinates; a collision only adds a pair that is then compared
+    key = lambda coords: F.xxhash64("g", coords)
+    every = reps.select("*", F.posexplode(F.array(*cells)).alias("g", "at"))
+    every = checkpoint(every.withColumn("cell", key(F.col("at"))))
     live = every.drop("_k")
-    moves = []
-    for m in itertools.product(range(-FINENESS, FINENESS + 1), repeat=len(grid)):
-        # cells m apart differ by at least (|m| - 1) steps; drop moves that already cost more than the budget
-        least = sum(w[kind(types[c])] * (1.0 - (1.0 - loss[c]) ** (max(abs(d) - 1, 0) / FINENESS)) for c, d in zip(grid, m))
-        if least <= (1.0 - threshold) * total * (1 + 1e-9):
-            moves.append(m)
-    near = F.array(*[F.array(*[F.lit(d).cast("bigint") for d in m]) for m in moves])
+    near = []
+    for g in groups:
+        moves = []
+        for m in itertools.product(range(-FINENESS, FINENESS + 1), repeat=len(g)):
+            # cells m apart differ by at least (|m| - 1) steps; drop moves that already cost more than the budget
+            least = sum(w[kind(types[c])] * (1.0 - (1.0 - loss[c]) ** (max(abs(d) - 1, 0) / FINENESS)) for c, d in zip(g, m))
+            if least <= budget * (1 + 1e-9):
+                moves.append(m)
+        near.append(F.array(*[F.array(*[F.lit(d).cast("bigint") for d in m]) if m else empty for m in moves]))
+    near = F.get(F.array(*near), F.col("g"))
+
+    def offers(rows: DataFrame) -> DataFrame:
+        o = rows.select(F.col("id").alias("pid"), F.col("v").alias("pv"), "g", "at", F.explode(near).alias("m"))
+        return o.select("pid", "pv", key(F.zip_with("at", "m", lambda a, b: a + b)).alias("cell"))
     # the cheap numeric part alone already refutes most pairs before any edit distance is computed
     sim = _struct_similarity(types, [c for c in columns if kind(types[c]) == "numeric"], w, total)
     similar = (sim >= threshold) & (_struct_similarity(types, columns, w, total) >= threshold)
     first = Window.partitionBy("cell").orderBy("id")
     leaders: DataFrame | None = None
-    for _ in range(max_rounds):
+    while not live.isEmpty():
         # row_number with a limit keeps only `pivots` rows per cell in every task before the shuffle
         piv = live.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= pivots).drop("_r")
-        piv = piv.select(F.col("id").alias("pid"), F.col("v").alias("pv"), "at", F.explode(near).alias("m"))
-        piv = piv.select("pid", "pv", key(F.zip_with("at", "m", lambda a, b: a + b)).alias("cell"))
-        hits = checkpoint(_meet(live, piv).where((F.col("id") != F.col("pid")) & similar).select("id", "pid"))
+        if len(groups) > 1:  # a pivot of one grid is offered in all of them
+            piv = live.join(piv.select("id").distinct(), "id", "left_semi")
+        hits = checkpoint(_meet(live, offers(piv)).where((F.col("id") != F.col("pid")) & similar).select("id", "pid").distinct())
         # a pivot with a smaller similar row that is still undecided has to wait
         blocked = hits.where("id < pid").select(F.col("pid").alias("id")).distinct()
-        chosen = piv.select(F.col("pid").alias("id")).distinct().join(blocked, "id", "left_anti")
+        chosen = piv.select("id").distinct().join(blocked, "id", "left_anti")
         chosen = checkpoint(live.join(chosen, "id", "left_semi"))
-        settled = hits.where("pid < id").join(chosen.select(F.col("id").alias("pid")), "pid", "left_semi").select("id").distinct()
-        live = checkpoint(live.join(chosen.select("id"), "id", "left_anti").join(settled, "id", "left_anti"))
+        settled = hits.where("pid < id").join(chosen.select(F.col("id").alias("pid")).distinct(), "pid", "left_semi").select("id").distinct()
+        live = checkpoint(live.join(chosen.select("id").distinct(), "id", "left_anti").join(settled, "id", "left_anti"))
         leaders = chosen if leaders is None else leaders.unionByName(chosen)
-        if live.isEmpty():
-            break
-    else:
-        raise RuntimeError("fuzzy grouping did not settle; raise max_rounds")
+    if leaders is None:
+        leaders = live
     # final assignment: the smallest similar leader. Leaders are pairwise dissimilar, so a cell holds few of them.
-    lead = leaders.select(F.col("id").alias("pid"), F.col("v").alias("pv"), "at", F.explode(near).alias("m"))
-    lead = lead.select("pid", "pv", key(F.zip_with("at", "m", lambda a, b: a + b)).alias("cell"))
-    own = _meet(every.drop("at"), lead).where(
+    own = _meet(every.drop("at", "g"), offers(leaders)).where(
         (F.col("pid") == F.col("id")) | ((F.col("pid") < F.col("id")) & similar))
     best = own.groupBy("_k").agg(F.min(F.struct((F.col("pid") != F.col("id")).alias("o"), "pid")).alias("b"))
     best = best.select("_k", F.col("b.pid").alias("leader"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lendframe.operators.ranking import ordered_row_number
@@ -11,8 +12,6 @@ from lendframe.operators.stats import distinct_counts, long_cells, params_frame,
 
 #: Most categories that may become columns or literals.
 MAX_LITERAL_CATEGORIES = 1000
-#: Above this many distinct values per column, codes are numbered by a distributed sort.
-MAX_WINDOW_CATEGORIES = 1_000_000
 
 
 def fit_categories(df: DataFrame, columns: list[str], limit: int = MAX_LITERAL_CATEGORIES) -> dict[str, list[str]]:
@@ -20,7 +19,7 @@ def fit_categories(df: DataFrame, columns: list[str], limit: int = MAX_LITERAL_C
     counts = distinct_counts(df, columns)
     over = {c: n for c, n in counts.items() if n > limit}
     if over:
-        raise ValueError(f"too many categories to list: {over}; use a table encoder")
+        raise ValueError(f"too many categories for a column each: {over}; use one_hot_sparse with label_table")
     rows = long_cells(df, columns).where("value is not null").distinct().collect()  # at most limit per column
     out: dict[str, list[str]] = {c: [] for c in columns}
     for r in rows:
@@ -45,10 +44,21 @@ def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_first: bool =
 def label_table(df: DataFrame, column: str) -> DataFrame:
     """``(value, code)``: codes from 0 in sorted order."""
     values = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
-    n = distinct_counts(df, [column])[column]
-    if n > MAX_WINDOW_CATEGORIES:
-        return ordered_row_number(values, ["value"], "code").withColumn("code", (F.col("code") - 1).cast("int"))
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)  # n is checked
+    return ordered_row_number(values, ["value"], "code").withColumn("code", (F.col("code") - 1).cast("int"))
+
+
+def one_hot_sparse(df: DataFrame, column: str, table: DataFrame, out: str | None = None) -> DataFrame:
+    """One sparse 0/1 vector instead of a column per category: no limit on their number.
+
+    ``table`` is a ``label_table``; unknown values and nulls give the empty vector.
+    """
+    size = table.count()
+    coded = label_encode(df, column, table, "_slot", -1)
+    enc = OneHotEncoder(inputCols=["_slot"], outputCols=[out or f"{column}_vector"], dropLast=True, handleInvalid="keep")
+    model = enc.fit(table.select(F.col("code").cast("double").alias("_slot")))
+    # invalid values have a place after the last code, and the last place is dropped: they give the empty vector
+    return model.transform(coded.withColumn("_slot", F.when(F.col("_slot") < 0, float(size)).otherwise(
+        F.col("_slot")).cast("double"))).drop("_slot")
 
 
 def label_encode(df: DataFrame, column: str, table: DataFrame, out: str | None = None, unknown: int = 0) -> DataFrame:

@@ -110,20 +110,21 @@ def add_arithmetic(df: DataFrame, pairs: list[tuple[str, str]], ops: tuple[str,
     return df.select("*", *new)
 
 
-# The default domain formulas, with the denominator whose zeros take its median.
+# The default domain formulas, with the denominator whose zeros take the median of its other values.
 DOMAIN_FORMULAS: dict[str, tuple[str, str | None]] = {
-    "debt_burden_score": ("debt_to_income_ratio * loan_amount / {d}", "annual_income"),
+    "debt_burden_score": ("try_divide(debt_to_income_ratio * loan_amount, {d})", "annual_income"),
     "creditworthiness_score": ("credit_score * credit_history_length / 100D", None),
-    "loan_to_income_ratio": ("loan_amount / {d}", "total_household_income"),
+    "loan_to_income_ratio": ("try_divide(loan_amount, {d})", "total_household_income"),
     "total_debt_after_loan": ("existing_debt + loan_amount", None),
-    "collateral_ratio": ("property_value / {d}", "loan_amount"),
+    "collateral_ratio": ("try_divide(property_value, {d})", "loan_amount"),
 }
 
 
 def fit_domain(df: DataFrame, formulas: dict[str, tuple[str, str | None]] | None = None) -> dict[str, float]:
+    """Median of the nonzero values of each denominator; 1 where all are zero or null."""
     cols = sorted({d for _, d in (formulas or DOMAIN_FORMULAS).values() if d})
-    q = exact_quantiles(df, {c: (0.5,) for c in cols})
-    return {c: q[c][0.5] for c in cols}
+    q = exact_quantiles(df.select(*[F.nullif(F.col(c), F.lit(0)).alias(c) for c in cols]), {c: (0.5,) for c in cols})
+    return {c: 1.0 if q[c][0.5] is None else q[c][0.5] for c in cols}
 
 
 def add_domain(df: DataFrame, medians: dict[str, float],

@@ -252,11 +252,11 @@ def apply_platt(preds: DataFrame, model) -> DataFrame:
 
 
 def fit_isotonic(preds: DataFrame):
-    """Isotonic regression on counts per rounded probability, so that the single sorted pass is bounded.
+    """Isotonic regression on the exact probabilities; equal ones are folded to a weight and a mean label first.
 
-    Probabilities are grouped on a grid of 1e-5 with their weight and mean label.
+    The library pools violators inside ordered partitions in parallel before the last pass.
     """
-    g = preds.groupBy(F.round("proba", 5).alias("x")).agg(F.avg(F.col("label").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+    g = preds.groupBy(F.col("proba").alias("x")).agg(F.avg(F.col("label").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
     return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(g)
 
 

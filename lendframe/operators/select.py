@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lendframe.operators.eda import correlation_matrix
 from lendframe.operators.scale import bin_ordinal, fit_bins
@@ -40,7 +40,7 @@ def correlated(df: DataFrame, columns: list[str], threshold: float = 0.95, keep_
 def cap_features(df: DataFrame, originals: list[str], generated: list[str], limit: int) -> list[str]:
     """Originals plus the generated features with the highest variance, up to the limit."""
     s = column_stats(df, generated, quantiles=())
-    ranked = sorted(generated, key=lambda c: (-(s[c].std or 0.0), c))
+    ranked = sorted(generated, key=lambda c: (-settled(s[c].std), c))
     return originals + ranked[: max(0, limit - len(originals))]
 
 
@@ -61,16 +61,26 @@ def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int
 
 
 def anova_f(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """One-way F per column from class counts, means and variances: one shuffle of (columns x classes) rows."""
+    """One-way F per column from class counts, means and variances: one shuffle of (columns x classes) rows.
+
+    The spread between classes is summed from centred means, so that equal columns do not part by rounding.
+    """
     cells = df.where(F.col(label).isNotNull()).select(label, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select(label, "e.*")
     g = cells.where("x is not null").groupBy("column", label).agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("v"))
+    every = Window.partitionBy("column")  # one row per class
+    g = g.withColumn("gm", F.sum(F.col("n") * F.col("m")).over(every) / F.sum("n").over(every))
     s = g.groupBy("column").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"),
-        F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"))
-    between = F.col("q") - F.col("n") * F.col("gm") * F.col("gm")
-    return s.select("column", F.try_divide(between / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k"))).alias("score"))
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("v")).alias("within"),
+        F.sum(F.col("n") * (F.col("m") - F.col("gm")) * (F.col("m") - F.col("gm"))).alias("between"))
+    return s.select("column", F.try_divide(F.col("between") / (F.col("k") - 1),
+                                           F.col("within") / (F.col("n") - F.col("k"))).alias("score"))
+
+
+def settled(score: float | None, digits: int = 9) -> float:
+    """A score without the digits that rounding noise decides; ties then go by name."""
+    return float(f"{score or 0.0:.{digits}g}")
 
 
 def chi_square(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -99,7 +109,7 @@ def select_best(df: DataFrame, columns: list[str], label: str, k: int | None = N
     else:
         got = {r["column"]: r["score"] for r in SCORES[score](df, columns, label).collect()}  # one row per column
     n = k if k is not None else max(1, int(len(columns) * (percentile or 100.0) / 100.0))
-    return sorted(columns, key=lambda c: (-(got.get(c) or 0.0), c))[:n]
+    return sorted(columns, key=lambda c: (-settled(got.get(c)), c))[:n]
 
 
 def covariance(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:

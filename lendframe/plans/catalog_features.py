@@ -182,7 +182,7 @@ def _(t):
     return rnd(rnd(out, 4, n.format("plus"), n.format("minus"), n.format("times")), 6, n.format("div"))
 
 
-@query("f7_domain", f"WITH m AS (SELECT median(annual_income) AS mi, median(total_household_income) AS mh, median(loan_amount) AS ml FROM {L}) "
+@query("f7_domain", f"WITH m AS (SELECT median(nullif(annual_income, 0)) AS mi, median(nullif(total_household_income, 0)) AS mh, median(nullif(loan_amount, 0)) AS ml FROM {L}) "
        "SELECT application_id, round(debt_to_income_ratio * loan_amount / case when annual_income = 0 then mi else annual_income end, 6) AS debt_burden_score, "
        "round(credit_score * credit_history_length / 100e0, 6) AS creditworthiness_score, round(loan_amount / case when total_household_income = 0 then mh else total_household_income end, 6) AS loan_to_income_ratio, "
        f"round(existing_debt + loan_amount, 6) AS total_debt_after_loan, round(property_value / case when loan_amount = 0 then ml else loan_amount end, 6) AS collateral_ratio FROM {L}, m")
@@ -335,12 +335,12 @@ def _mi(c: str) -> str:
     q = ", ".join(str(p / 10) for p in range(1, 10))
     code = " + ".join(f"case when {c} >= q[{k}] and q[{k}] > {'q0' if k == 1 else f'q[{k - 1}]'} and q[{k}] < q1 then 1 else 0 end" for k in range(1, 10))
     return (f"SELECT '{c}' AS \"column\", sum(n * 1e0 / nt * ln(n * 1e0 * nt / (nb * nl))) AS score FROM (SELECT *, sum(n) OVER () AS nt, sum(n) OVER (PARTITION BY bin) AS nb, sum(n) OVER (PARTITION BY loan_approved) AS nl FROM "
-            f"(SELECT {code} AS bin, loan_approved, count(*) AS n FROM {L}, (SELECT quantile_cont({c}, [{q}]) AS q, min({c}) AS q0, max({c}) AS q1 FROM {L}) GROUP BY ALL))")
+            f"(SELECT case when {c} is null then -1 else {code} end AS bin, loan_approved, count(*) AS n FROM {L}, (SELECT quantile_cont({c}, [{q}]) AS q, min({c}) AS q0, max({c}) AS q1 FROM {L}) GROUP BY ALL))")
 
 
-@query("r4_mutual_information", "SELECT \"column\", round(score, 6) AS score FROM (" + union(_mi(c) for c in _RC) + ")")
+@query("r4_mutual_information", "SELECT \"column\", round(score, 6) AS score FROM (" + union(_mi(c) for c in NUMERIC) + ")")
 def _(t):
-    return rnd(select.mutual_information(t.loans, _RC, "loan_approved"), 6)
+    return rnd(select.mutual_information(t.loans, NUMERIC, "loan_approved"), 6)
 
 
 @query("r5_anova_f", "SELECT \"column\", round(sum(n * (m - gm) * (m - gm)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))), 3) AS score FROM (" + union(
@@ -350,13 +350,13 @@ def _(t):
 
 
 @query("r6_chi_square", "SELECT \"column\", round(sum((o - e) * (o - e) / e), 2) AS score FROM (SELECT *, n * 1e0 / sum(n) OVER (PARTITION BY \"column\") * sum(o) OVER (PARTITION BY \"column\") AS e FROM (" + union(
-    f"SELECT '{c}' AS \"column\", loan_approved, count(*) AS n, sum(coalesce(cast({c} as double), 0e0)) AS o FROM {L} GROUP BY loan_approved" for c in NUMERIC if c not in ("existing_debt", "monthly_debt_payments", "debt_to_income_ratio")) + ")) GROUP BY \"column\"")
+    f"SELECT '{c}' AS \"column\", loan_approved, count(*) AS n, sum(coalesce(cast({c} as double), 0e0) - least(0e0, (SELECT min({c}) FROM {L}))) AS o FROM {L} GROUP BY loan_approved" for c in NUMERIC) + ")) GROUP BY \"column\"")
 def _(t):
-    return rnd(select.chi_square(t.loans, [c for c in NUMERIC if c not in ("existing_debt", "monthly_debt_payments", "debt_to_income_ratio")], "loan_approved"), 2)
+    return rnd(select.chi_square(t.loans, NUMERIC, "loan_approved"), 2)
 
 
 @query("r5_select_best", "SELECT \"column\" FROM (SELECT \"column\", sum(n * (m - gm) * (m - gm)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))) AS f FROM (" + union(
-    f"SELECT '{c}' AS \"column\", loan_approved, count({c}) AS n, avg({c}) AS m, var_pop({c}) AS v, (SELECT avg({c}) FROM {L}) AS gm FROM {L} WHERE {c} IS NOT NULL GROUP BY loan_approved" for c in NUMERIC) + ") GROUP BY \"column\") ORDER BY f DESC LIMIT 5")
+    f"SELECT '{c}' AS \"column\", loan_approved, count({c}) AS n, avg({c}) AS m, var_pop({c}) AS v, (SELECT avg({c}) FROM {L}) AS gm FROM {L} WHERE {c} IS NOT NULL GROUP BY loan_approved" for c in NUMERIC) + ") GROUP BY \"column\") ORDER BY floor(log10(f)) DESC, round(f / pow(10, floor(log10(f))), 8) DESC, \"column\" LIMIT 5")
 def _(t):
     return params_frame(t.spark, [(c,) for c in select.select_best(t.loans, NUMERIC, "loan_approved", k=5, score="f_classif")], "column string")
 

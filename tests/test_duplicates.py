@@ -73,13 +73,33 @@ def test_fuzzy_leaders_match_greedy_order(spark, monkeypatch):
         assert got == want
 
 
-def test_fuzzy_refuses_a_grid_that_cannot_bound(spark):
-    df = spark.createDataFrame([(1, *[1.0] * 12)], "id bigint, " + ", ".join(f"c{i} double" for i in range(12)))
-    try:
-        dup.fuzzy_leaders(df, "id", [f"c{i}" for i in range(12)], 0.9)
-    except ValueError:
-        return
-    raise AssertionError("expected an error")
+def test_fuzzy_over_many_columns(spark):
+    """One column's weight is less than what a pair may lose: several grids find the same groups."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(90):
+        base = rnd.choice(rows)[1:] if rows and rnd.random() < 0.7 else [
+            *(round(rnd.uniform(1, 900), 1) for _ in range(8)), *(rnd.choice(["red", "blue", "pale green"]) for _ in range(6))]
+        row = list(base)
+        for _ in range(rnd.randrange(3)):
+            j = rnd.randrange(14)
+            row[j] = None if rnd.random() < 0.2 else (round(rnd.uniform(1, 900), 1) if j < 8 else rnd.choice(["red", "blue", "x"]))
+        rows.append((i, *row))
+    cols = [f"c{j}" for j in range(14)]
+    df = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"c{j} {'double' if j < 8 else 'string'}" for j in range(14)))
+    got = {r["id"]: r["leader"] for r in dup.fuzzy_leaders(df, "id", cols, 0.9, pivots=3).collect()}
+    assert got == brute(rows, "n" * 8 + "t" * 6, 0.9)
+    assert len(set(got.values())) < 90
+
+
+def test_fuzzy_goes_on_until_settled(spark):
+    """More rounds than any limit of old: one cell, one pivot, all rows unlike."""
+    names = ["".join(random.Random(i).choices("abcdefgh", k=12)) for i in range(25)]
+    df = spark.createDataFrame(list(enumerate(names)), "id bigint, name string")
+    got = {r["id"]: r["leader"] for r in dup.fuzzy_leaders(df, "id", ["name"], 0.95, pivots=1).collect()}
+    assert got == {i: i for i in range(25)}
+    assert dup.fuzzy_leaders(df.limit(0), "id", ["name"], 0.95).count() == 0
+
 
 
 def test_no_cross_join_in_pair_step(spark):

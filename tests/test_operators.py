@@ -262,3 +262,58 @@ def test_model_round_trip(spark, sf, tmp_path):
     models.save_model(m, str(tmp_path / "m"))
     again = models.load_model(str(tmp_path / "m")).transform(x)
     assert again.select("prediction").exceptAll(m.transform(x).select("prediction")).count() == 0
+
+
+def test_ties_in_scores_go_by_name(spark):
+    from lendframe.operators import select
+    rows = [(i % 2, 0.03 * x, x, 1.0 * (i % 7)) for i, x in enumerate((17.0 * k) % 101 + 3 * (k % 2) for k in range(400))]
+    df = spark.createDataFrame(rows, "y int, b double, a double, c double")
+    assert select.select_best(df, ["b", "a", "c"], "y", k=1, score="f_classif") == ["a"]
+
+
+def test_domain_denominators_may_be_zero(spark):
+    from lendframe.operators import interact
+    df = spark.createDataFrame([(0.0, 1.0), (0.0, 2.0), (4.0, 8.0), (2.0, 2.0), (None, 1.0)], "d double, x double")
+    f = {"r": ("try_divide(x, {d})", "d")}
+    m = interact.fit_domain(df, f)
+    assert m == {"d": 3.0}
+    assert [r["r"] for r in interact.add_domain(df, m, f).collect()] == [1 / 3, 2 / 3, 2.0, 1.0, None]
+    assert interact.fit_domain(df.where("d = 0"), f) == {"d": 1.0}
+
+
+def test_sparse_one_hot_has_no_limit(spark):
+    from lendframe.operators import encode
+    df = spark.createDataFrame([(f"v{i:04d}",) for i in range(1500)] + [(None,)], "c string")
+    t = encode.label_table(df.where("c <> 'v0007'"), "c")
+    got = {r["c"]: r["v"] for r in encode.one_hot_sparse(df, "c", t, "v").collect()}
+    assert got[None].numNonzeros() == got["v0007"].numNonzeros() == 0
+    assert got["v0003"].indices.tolist() == [3] and got["v1499"].indices.tolist() == [1498] and got["v0003"].size == 1499
+    import pytest
+    with pytest.raises(ValueError):
+        encode.fit_categories(df, ["c"])
+
+
+def test_scratch_needs_a_named_folder_on_a_cluster():
+    import pytest
+    from lendframe import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_path(Session(), "x")
+
+
+def test_loan_features_at_small_scale(spark, sf):
+    from lendframe.plans.feature_set import LOAN_FEATURES, FeatureSet
+    from lendframe.sources.loans import loan_applications
+    df = loan_applications(spark, sf)
+    f = FeatureSet(LOAN_FEATURES).fit(df)
+    out = f.transform(df)
+    assert out.count() == df.count() and len(f.columns) == 25
