@@ -29,11 +29,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lendframe.llm.common import stored
-from lendframe.llm.vocabulary import RANKS, tokenizer
+from lendframe.llm.vocabulary import RANKS, token_bytes, tokenizer
 
 TRAINED_ROLE = "assistant"
 END = "<|end|>\n"
@@ -92,7 +93,7 @@ def _turns(turns: DataFrame) -> DataFrame:
 
 
 def _tokens(rows: DataFrame, path: str) -> DataFrame:
-    """Adds ``tokens`` of the formatted turn and the half-open token range of its trained text."""
+    """Adds ``tokens`` of the formatted turn (two bytes each, little-endian) and the half-open token range of its trained text."""
     names = rows.columns
 
     def run(batches):
@@ -101,15 +102,15 @@ def _tokens(rows: DataFrame, path: str) -> DataFrame:
             ids, lo, hi = [], [], []
             for r, t in zip(b.column(names.index("role")).to_pylist(), b.column(names.index("text")).to_pylist(), strict=True):
                 a, m, z = map(enc.encode_ordinary, (head(r), escape(t), END))
-                ids.append(a + m + z)
+                ids.append(np.array(a + m + z, np.uint16).tobytes())
                 lo.append(len(a))
                 hi.append(len(a) + (len(m) if r == TRAINED_ROLE else 0))
             keep = [b.column(i) for i, n in enumerate(names) if n not in ("role", "text")]
             yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(ids, pa.list_(pa.int32())), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
+                [*keep, pa.array(ids, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
                 names=[*[n for n in names if n not in ("role", "text")], "tokens", "loss_start", "loss_stop"])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("role", "text"))
-    return rows.mapInArrow(run, kept + ", tokens array<int>, loss_start int, loss_stop int")
+    return rows.mapInArrow(run, kept + ", tokens binary, loss_start int, loss_stop int")
 
 
 class Tree:
@@ -122,7 +123,7 @@ class Tree:
 def build(turns: DataFrame, tokenizer_file: str = RANKS) -> Tree:
     """``turns``: conv_id, turn, role, text.
 
-    Nodes: ``node, parent, owner, depth, tokens, loss_start, loss_stop`` (token range under the loss mask),
+    Nodes: ``node, parent, owner, depth, tokens`` (two bytes each, little-endian), ``loss_start, loss_stop`` (token range under the loss mask),
     ``position`` (of the first token in its conversation), ``emit_start`` (in the stream) and
     ``attends`` (half-open stream intervals of all ancestors, top down).
     """
@@ -133,7 +134,7 @@ def build(turns: DataFrame, tokenizer_file: str = RANKS) -> Tree:
 
     # each conversation's way down: where a new owner begins, and the positions
     way = rows.select("conv", "depth", "node").join(
-        content.select("node", "owner", F.size("tokens").alias("n")), "node")
+        content.select("node", "owner", (F.octet_length("tokens") / 2).cast("int").alias("n")), "node")
     way = stored(_walk(way), "walk")
     mine = way.filter(F.col("conv").eqNullSafe(F.col("owner")))
     chains = mine.groupBy("owner", "path").agg(F.sum("n").alias("n"), F.min("position").alias("first"))
@@ -203,7 +204,7 @@ def read_back(tree: Tree, tokenizer_file: str = RANKS) -> DataFrame:
     src = _by_conversation(src.select("conv", "depth", "tokens", "loss_start", "loss_stop"), ["depth"])
 
     def run(batches):
-        enc = tokenizer(tokenizer_file)
+        spelled = token_bytes(tokenizer_file)
         conv, state = None, None
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -221,11 +222,12 @@ def read_back(tree: Tree, tokenizer_file: str = RANKS) -> DataFrame:
                     if state is not None:
                         done.append(row())
                     conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                formatted = enc.decode(tokens)
+                parts = list(map(spelled.__getitem__, np.frombuffer(tokens, np.uint16).tolist()))
+                formatted = b"".join(parts).decode()
                 for r, t in parse(formatted):
                     state[0] += 1
                     state[1].update(f"{r}\n{t}\n".encode())
-                trained = unescape(enc.decode(tokens[lo:hi]))
+                trained = unescape(b"".join(parts[lo:hi]).decode())
                 state[2] += len(trained)
                 state[3].update(trained.encode())
                 state[4] += len(formatted)
