@@ -7,6 +7,7 @@ import random
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -53,14 +54,15 @@ def scale_pos_weight(df: DataFrame, label: str) -> float:
     return r["neg"] / max(r["pos"], 1)
 
 
-def fit_forest(df: DataFrame, label: str, trees: int = 50, depth: int = 8, balanced: bool = True, seed: int = 42, **kw):
+def fit_forest(df: DataFrame, label: str, trees: int = 100, depth: int = 10, balanced: bool = True, seed: int = 42, **kw):
     """Random forest with balanced class weights."""
     d = with_weights(df, label) if balanced and "weight" not in df.columns else df
-    est = RandomForestClassifier(labelCol=label, featuresCol=FEATURES, numTrees=trees, maxDepth=depth, seed=seed, **kw)
+    est = RandomForestClassifier(labelCol=label, featuresCol=FEATURES, numTrees=trees, maxDepth=depth, seed=seed,
+                                 **({"maxMemoryInMB": 1024, "cacheNodeIds": True} | kw))
     return (est.setWeightCol("weight") if balanced else est).fit(d)
 
 
-def fit_boosted(df: DataFrame, label: str, rounds: int = 20, depth: int = 4, step: float = 0.1, val: str | None = None, seed: int = 42, **kw):
+def fit_boosted(df: DataFrame, label: str, rounds: int = 100, depth: int = 6, step: float = 0.1, val: str | None = None, seed: int = 42, **kw):
     """Boosted trees with ``neg / pos`` weight on the positive class; ``val`` (boolean column) stops early."""
     d = df.withColumn("weight", F.when(F.col(label) == 1, F.lit(scale_pos_weight(df, label))).otherwise(1.0))
     if val:
@@ -69,7 +71,7 @@ def fit_boosted(df: DataFrame, label: str, rounds: int = 20, depth: int = 4, ste
                          weightCol="weight", **kw).fit(d)
 
 
-def fit_network(df: DataFrame, label: str, n_features: int, hidden: tuple[int, ...] = (100, 50), iterations: int = 30, seed: int = 42):
+def fit_network(df: DataFrame, label: str, n_features: int, hidden: tuple[int, ...] = (100, 50), iterations: int = 1000, seed: int = 42):
     """Multilayer perceptron on standardized inputs (scale them first)."""
     return MultilayerPerceptronClassifier(labelCol=label, featuresCol=FEATURES, layers=[n_features, *hidden, 2], maxIter=iterations, seed=seed).fit(df)
 
@@ -177,7 +179,7 @@ def train(df: DataFrame, columns: list[str], label: str, id_col: str, fit: Calla
 
 # --- cross-validation and search ----------------------------------------------------------------
 
-def cross_validate(df: DataFrame, label: str, fit: Callable, k: int = 3, name: str = "m", id_col: str = "row_id") -> DataFrame:
+def cross_validate(df: DataFrame, label: str, fit: Callable, k: int = 5, name: str = "m", id_col: str = "row_id") -> DataFrame:
     """Out-of-fold and training predictions of every fold in one table: ``fold, part, row_id, model, ...``."""
     d = (df if "fold" in df.columns else kfold(df, id_col, k, label)).persist()
     out = None
@@ -205,7 +207,7 @@ def cv_report(scores: DataFrame, names: tuple[str, ...] = ("accuracy", "f1", "au
         (F.max("value") - F.min("value")).alias("range"))
 
 
-def compare_models(df: DataFrame, label: str, fits: dict[str, Callable], k: int = 3, metric: str = "auc") -> DataFrame:
+def compare_models(df: DataFrame, label: str, fits: dict[str, Callable], k: int = 5, metric: str = "auc") -> DataFrame:
     """Models by mean test metric over the same folds."""
     d = kfold(df, "row_id", k, label).persist()
     out = None
@@ -216,8 +218,8 @@ def compare_models(df: DataFrame, label: str, fits: dict[str, Callable], k: int
     return rep.select("model", "mean", "std").orderBy(F.desc("mean"), "model")
 
 
-def search(df: DataFrame, label: str, build: Callable[..., Callable], space: dict[str, list], k: int = 2, n_iter: int | None = None,
-           metric: str = "auc", seed: int = 42) -> DataFrame:
+def search(df: DataFrame, label: str, build: Callable[..., Callable], space: dict[str, list], k: int = 5, n_iter: int | None = None,
+           metric: str = "auc", seed: int = 42, parallel: int = 4) -> DataFrame:
     """Grid (or ``n_iter`` random) parameter search by cross-validation; one row per combination, best first."""
     names = sorted(space)
     combos = list(itertools.product(*[space[n] for n in names]))
@@ -225,14 +227,15 @@ def search(df: DataFrame, label: str, build: Callable[..., Callable], space: dic
         combos = random.Random(seed).sample(combos, n_iter)
     d = kfold(df, "row_id", k, label).persist()
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction")
-    rows = []
-    for i, combo in enumerate(combos):
-        fit = build(**dict(zip(names, combo)))
-        vals = []
-        for f in range(k):
-            m = fit(d.where(F.col("fold") != f))
-            vals.append(float(ev.evaluate(m.transform(d.where(F.col("fold") == f)))))
-        rows.append((i, str(dict(zip(names, combo))), sum(vals) / k))
+
+    def one(task: tuple[int, int]) -> float:
+        i, f = task
+        m = build(**dict(zip(names, combos[i])))(d.where(F.col("fold") != f))
+        return float(ev.evaluate(m.transform(d.where(F.col("fold") == f))))
+    tasks = list(itertools.product(range(len(combos)), range(k)))
+    with ThreadPool(min(parallel, len(tasks))) as pool:  # a bounded number of fits share the cluster
+        vals = pool.map(one, tasks, chunksize=1)
+    rows = [(i, str(dict(zip(names, combo))), sum(vals[i * k:(i + 1) * k]) / k) for i, combo in enumerate(combos)]
     d.unpersist()
     return params_frame(df.sparkSession, rows, f"trial int, params string, {metric} double").orderBy(F.desc(metric), "trial")
 
@@ -265,7 +268,7 @@ def apply_isotonic(preds: DataFrame, model) -> DataFrame:
     return p.withColumn("proba", F.least(F.greatest(F.col("_iso"), F.lit(0.0)), F.lit(1.0))).drop("_iso")
 
 
-def stack(df: DataFrame, test: DataFrame, label: str, fits: dict[str, Callable], k: int = 3) -> DataFrame:
+def stack(df: DataFrame, test: DataFrame, label: str, fits: dict[str, Callable], k: int = 5) -> DataFrame:
     """Out-of-fold probabilities of the base models train a logistic model; returns test predictions."""
     d = kfold(df, "row_id", k, label).persist()
     oof = None

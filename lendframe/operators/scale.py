@@ -13,8 +13,9 @@ import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lendframe.operators.ranking import running_totals
 from lendframe.operators.stats import (
-    EXACT_PERCENTILE_ROWS, ColumnStats, column_stats, exact_quantiles, modes, numeric_cells, numeric_columns, params_frame, profile, string_columns)
+    ColumnStats, column_stats, exact_quantiles, modes, numeric_cells, numeric_columns, params_frame, profile, string_columns)
 
 
 @dataclass
@@ -239,23 +240,18 @@ class QuantileMap:
 
 
 def fit_quantile_map(df: DataFrame, columns: list[str], n_quantiles: int = 1000) -> QuantileMap:
-    """At most ``n_quantiles`` quantiles per column (never more than rows).
+    """At most ``n_quantiles`` quantiles per column (never more than rows), exact at any size.
 
-    Exact up to ``EXACT_PERCENTILE_ROWS`` values; above that the knots come from a mergeable
-    sketch, since thousands of exact ranks would each need a bracket of their own.
+    Values are folded to counts, and running totals over ordered buckets give each value the ranks it covers; only the
+    values at wanted ranks reach the driver, so all knots of all columns come from one pass.
     """
-    r = df.agg(*[F.count(c) for c in columns]).first()
-    counts = {c: r[i] for i, c in enumerate(columns)}
+    counts = df.agg(*[F.count(c) for c in columns]).first()
+    counts = dict(zip(columns, counts, strict=True))
     probs = {}
     for c in columns:
         m = max(2, min(n_quantiles, counts[c]))
         probs[c] = tuple(k / (m - 1) for k in range(m))
-    big = [c for c in columns if counts[c] > EXACT_PERCENTILE_ROWS]
-    qs = exact_quantiles(df, {c: probs[c] for c in columns if c not in big}, counts)
-    if big:
-        r = df.agg(*[F.percentile_approx(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs[c]]), 100_000)
-                     for c in big]).first()
-        qs.update({c: dict(zip(probs[c], r[i])) for i, c in enumerate(big)})
+    qs = evenly_spaced(df, columns, probs, counts)
     knots = {}
     for c in columns:
         ks: list[tuple[float, float, float]] = []
@@ -269,6 +265,34 @@ def fit_quantile_map(df: DataFrame, columns: list[str], n_quantiles: int = 1000)
     return QuantileMap(knots)
 
 
+def evenly_spaced(df: DataFrame, columns: list[str], probs: dict[str, tuple[float, ...]],
+                  counts: dict[str, int]) -> dict[str, dict[float, float | None]]:
+    """Linear-interpolated quantiles at evenly spaced probabilities from 0 to 1."""
+    n = F.get(F.lit(np.array([counts[c] for c in columns], dtype=np.int64)), F.col("i"))
+    steps = F.get(F.lit(np.array([len(probs[c]) - 1 for c in columns], dtype=np.int64)), F.col("i"))
+    cells = numeric_cells(df, columns).where("x is not null").groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
+    runs = running_totals(cells, "x", ["n"], ["i"])
+    lo, hi = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1  # the ranks that a value covers
+    rank = lambda k: F.floor(k / steps * (n - 1))
+    # candidates with a step to spare on either side, then the exact test
+    scale_ = steps / F.greatest(n - 1, F.lit(1))
+    span = F.sequence(F.greatest(F.floor((lo - 1) * scale_) - 1, F.lit(0)), F.least(F.ceil((hi + 1) * scale_) + 1, steps))
+    at = lambda side: F.filter(span, lambda k: F.least(rank(k) + side, n - 1).between(lo, hi))
+    picked = runs.select("i", "x", F.explode(F.concat(
+        F.transform(at(0), lambda k: F.struct(k.alias("k"), F.lit(0).alias("side"))),
+        F.transform(at(1), lambda k: F.struct(k.alias("k"), F.lit(1).alias("side"))))).alias("e")).select("i", "x", "e.*")
+    got = {(r["i"], r["k"], r["side"]): r["x"] for r in picked.collect()}  # two per knot
+    out: dict[str, dict[float, float | None]] = {}
+    for i, c in enumerate(columns):
+        out[c] = {}
+        for k, p in enumerate(probs[c]):
+            pos = p * (counts[c] - 1)
+            f = pos - math.floor(pos)
+            a, b = got.get((i, k, 0)), got.get((i, k, 1))
+            out[c][p] = None if a is None else a if f == 0 or a == b else (1 - f) * a + f * b
+    return out
+
+
 def apply_quantile_map(df: DataFrame, q: QuantileMap, output: str = "uniform") -> DataFrame:
     """Interpolate between knots; a value equal to a repeated knot takes the middle of its references.
 

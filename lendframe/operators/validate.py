@@ -145,11 +145,18 @@ def validate_all(df: DataFrame, id_col: str, schema: tuple[FieldConstraint, ...]
                  formats: dict[str, str] | None = None,
                  table_rules: dict[str, Callable[[DataFrame], Column]] | None = None,
                  rule_book=None) -> ValidationResult:
-    """Schema first; with more than 10 schema errors the row checks are not run."""
+    """Schema first: required fields that are missing or all null are violations without a row id, and with more than
+    10 of them the row checks are not run."""
     report = check_columns(df, schema)
+    report.all_null = [r["column"] for r in required_but_empty(df, schema).where("all_null").collect()]  # one per field
     if report.errors > MAX_SCHEMA_ERRORS:
         return ValidationResult(report, None, True)
     v = violations(df, id_col, schema, formats, table_rules)
+    if report.errors:
+        rows = [(f, "missing_field") for f in report.missing] + [(f, "all_null") for f in report.all_null]
+        v = v.unionByName(params_frame(df.sparkSession, rows, "field string, error_type string").select(
+            F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), "field", "error_type",
+            *[F.lit(None).cast(t).alias(c) for c, t in v.dtypes if c not in (id_col, "field", "error_type")]))
     if rule_book is not None:
         b = rule_book.violations(df, id_col).select(
             id_col, F.col("rule").alias("field"), F.col("violation_type").alias("error_type"),

@@ -93,9 +93,10 @@ def _(t):
     return f.transform(df)
 
 
-@query("w4_validated_load", f"SELECT 'cleaned' AS stage, count(*) AS rows FROM {L}")
+@query("w4_validated_load", f"SELECT application_id, age, least(greatest(debt_to_income_ratio, 0e0), 1e0) AS debt_to_income_ratio, coalesce(property_value, 0e0) AS property_value, "
+       f"greatest(loan_amount, 1000e0) AS loan_amount FROM {L}")
 def _(t):
-    return row_counts(validated_load(t.loans)).where("stage = 'cleaned'")
+    return validated_load(t.loans).cleaned.select("application_id", "age", "debt_to_income_ratio", "property_value", "loan_amount")
 
 
 @query("w4_row_counts")

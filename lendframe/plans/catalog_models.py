@@ -5,28 +5,50 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lendframe.operators import confidence as conf
-from lendframe.operators import forest, metrics, models as ml, scale, select
+from lendframe.operators import encode, forest, metrics, models as ml, scale, select
 from lendframe.operators.impute import fit_imputer, impute
 from lendframe.operators.split import stratified_split
 from lendframe.operators.stats import params_frame
 from lendframe.plans.catalog_eda import rnd
 from lendframe.plans.predictions import prediction_table
 from lendframe.plans.registry import query
+from lendframe.session import checkpoint
+from lendframe.sources.loans import BOOLEAN, CATEGORICAL, NUMERIC
 
-X = ["credit_score", "debt_to_income_ratio", "annual_income", "loan_amount", "years_employed", "age", "existing_debt", "credit_history_length"]
+X = [*NUMERIC, *BOOLEAN, *CATEGORICAL]
 Y = "loan_approved"
 
 
+class Preparation:
+    """Imputation, category codes and standard scaling, all learnt from the training part."""
+
+    def __init__(self, train):
+        listed = self._plain(train)
+        self.imputer = fit_imputer(listed.select(*X))
+        filled = impute(listed, self.imputer)
+        self.categories = encode.fit_categories(filled, CATEGORICAL)
+        self.scaler = scale.fit_scaler(encode.label_codes(filled, self.categories), X)
+
+    @staticmethod
+    def _plain(df):
+        return df.withColumns({c: F.col(c).cast("int") for c in BOOLEAN})
+
+    def __call__(self, df):
+        d = encode.label_codes(impute(self._plain(df), self.imputer), self.categories)
+        return scale.apply_scaler(d, self.scaler)
+
+
+def _prepare(train, test):
+    p = Preparation(train)
+    return p(train), p(test)
+
+
 def _data(t, split: bool = True):
-    """Training and test rows with imputed, standardized features."""
-    df = t.lab.select(F.col("application_id").alias("row_id"), *X, "owns_property", Y)
-    df = impute(df, fit_imputer(df.select(*X)))
-    df = scale.apply_scaler(df, scale.fit_scaler(df, X))
-    if not split:
-        return ml.assemble(df, X, Y, keep=("row_id",))
-    s = stratified_split(df, "row_id", Y, 0.2)
-    x = ml.assemble(s, X, Y, keep=("row_id", "split")).persist()
-    return x.where("split = 'train'"), x.where("split = 'test'")
+    """Training and test rows, prepared by what the training rows show; with ``split=False`` the training rows only."""
+    s = stratified_split(t.lab.select(F.col("application_id").alias("row_id"), *X, Y), "row_id", Y, 0.2)
+    tr, te = (ml.assemble(d, X, Y, keep=("row_id",)) for d in _prepare(
+        s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")))
+    return (checkpoint(tr), te) if split else tr
 
 
 def _scored(t, fit, name):
@@ -36,11 +58,11 @@ def _scored(t, fit, name):
 
 
 def _rf(d):
-    return ml.fit_forest(d, Y, trees=20, depth=6)
+    return ml.fit_forest(d, Y)
 
 
 def _gbt(d):
-    return ml.fit_boosted(d, Y, rounds=10, depth=3)
+    return ml.fit_boosted(d, Y)
 
 
 def _lr(d):
@@ -59,7 +81,7 @@ def _(t):
 
 @query("l2_boosted")
 def _(t):
-    return _scored(t, lambda d: ml.fit_boosted(d.withColumn("is_val", F.pmod(F.xxhash64("row_id"), F.lit(10)) == 0), Y, rounds=15, depth=3, val="is_val"), "boosted")
+    return _scored(t, lambda d: ml.fit_boosted(d.withColumn("is_val", F.pmod(F.xxhash64("row_id"), F.lit(10)) == 0), Y, val="is_val"), "boosted")
 
 
 @query("l2_boosting_history")
@@ -70,7 +92,7 @@ def _(t):
 
 @query("l3_network")
 def _(t):
-    return _scored(t, lambda d: ml.fit_network(d, Y, len(X), (20, 10), 20), "network")
+    return _scored(t, lambda d: ml.fit_network(d, Y, len(X)), "network")
 
 
 @query("l4_logistic")
@@ -90,8 +112,7 @@ def _(t):
 
 @query("l7_train")
 def _(t):
-    df = t.lab.select("application_id", *X, Y)
-    r = ml.train(impute(df, fit_imputer(df.select(*X))), X, Y, "application_id", _rf)
+    r = ml.train(t.lab.select("application_id", *X, Y), X, Y, "application_id", _rf, prepare=_prepare)
     return params_frame(t.spark, [(k, round(float(v), 6)) for k, v in r.metrics.items() if v is not None], "metric string, value double")
 
 
@@ -124,7 +145,7 @@ def _(t):
 
 @query("p8_cross_validation")
 def _(t):
-    return rnd(ml.cv_report(ml.fold_scores(ml.cross_validate(_data(t, False), Y, _lr, 3, "logistic"))), 6)
+    return rnd(ml.cv_report(ml.fold_scores(ml.cross_validate(_data(t, False), Y, _lr, name="logistic"))), 6)
 
 
 @query("p8_fold_report", "SELECT model, metric, 'test' AS part, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(max(v) - min(v), 6) AS range FROM "
@@ -138,26 +159,26 @@ def _(t):
 
 @query("p9_compare_models")
 def _(t):
-    return rnd(ml.compare_models(_data(t, False), Y, {"logistic": _lr, "forest": lambda d: ml.fit_forest(d, Y, trees=10, depth=5)}, 2), 6)
+    return rnd(ml.compare_models(_data(t, False), Y, {"logistic": _lr, "forest": _rf}), 6)
 
 
 @query("p10_search")
 def _(t):
     return rnd(ml.search(_data(t, False), Y, lambda depth, trees: (lambda d: ml.fit_forest(d, Y, trees=trees, depth=depth)),
-                         {"depth": [3, 5], "trees": [5, 10]}, k=2, n_iter=3), 6)
+                         {"depth": [5, 10], "trees": [50, 100]}), 6)
 
 
 @query("g4_stacking")
 def _(t):
     tr, te = _data(t)
-    p = ml.stack(tr, te, Y, {"logistic": _lr, "forest": lambda d: ml.fit_forest(d, Y, trees=10, depth=5)}, 2)
+    p = ml.stack(tr, te, Y, {"logistic": _lr, "forest": _rf})
     return rnd(metrics.classification_metrics(p).join(metrics.rank_metrics(p), "model"), 6)
 
 
 @query("g5_blending")
 def _(t):
     tr, te = _data(t)
-    p, _w = ml.blend(tr, te, Y, {"logistic": _lr, "forest": lambda d: ml.fit_forest(d, Y, trees=10, depth=5)})
+    p, _w = ml.blend(tr, te, Y, {"logistic": _lr, "forest": _rf})
     p = p.withColumn("model", F.lit("blend"))
     return rnd(metrics.classification_metrics(p).join(metrics.rank_metrics(p), "model"), 6)
 
@@ -181,14 +202,13 @@ def _(t):
 
 @query("r7_recursive_elimination")
 def _(t):
-    df = t.lab.select(*X, Y)
-    r = select.recursive_elimination(df, X, Y, keep=4, step=2, trees=10)
+    r = select.recursive_elimination(t.lab.select(*NUMERIC, Y), NUMERIC, Y, keep=9, step=3)
     return params_frame(t.spark, r, "feature string, rank int")
 
 
 @query("r8_from_importance")
 def _(t):
-    return params_frame(t.spark, [(c,) for c in select.from_importance(t.lab, X, Y, trees=10)], "feature string")
+    return params_frame(t.spark, [(c,) for c in select.from_importance(t.lab, NUMERIC, Y)], "feature string")
 
 
 _PC = ["credit_score", "debt_to_income_ratio", "loan_amount", "age"]
@@ -211,5 +231,5 @@ def _(t):
 @query("o3_isolation_forest")
 def _(t):
     out = forest.isolation_outliers(t.loans.select("application_id", "annual_income", "existing_debt", "loan_amount"),
-                                    ["annual_income", "existing_debt", "loan_amount"], "application_id", trees=50)
+                                    ["annual_income", "existing_debt", "loan_amount"], "application_id")
     return out.groupBy("is_outlier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("anomaly"), 6).alias("anomaly"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lendframe.operators import impute, outliers, quality, scale
 from lendframe.operators.stats import params_frame
 from lendframe.plans.catalog_eda import ALL, SPARK_TYPES, rnd, union
-from lendframe.plans.registry import query
+from lendframe.plans.registry import SQL, query
 from lendframe.sources.files import drop_incomplete, with_target
 from lendframe.sources.loans import CATEGORICAL, FIELDS, NUMERIC
 
@@ -259,15 +259,23 @@ def _(t):
     return rnd(scale.apply_scaler(df, scale.fit_scaler(df, ["annual_income", "years_with_bank"], "box-cox")), 6)
 
 
-@query("n6_quantile_uniform",
-       f"WITH k AS (SELECT unnest(range(0, 101)) AS i), q AS (SELECT quantile_cont(loan_amount, list_transform(range(0, 101), lambda z: z / 100e0)) AS v FROM {L}), "
-       "raw AS (SELECT v[i + 1] AS v, i / 100e0 AS p FROM k, q), knots AS (SELECT v, min(p) AS lo, max(p) AS hi FROM raw GROUP BY v), "
-       "seg AS (SELECT v AS v0, lo AS lo0, hi AS hi0, lead(v) OVER (ORDER BY v) AS v1, lead(lo) OVER (ORDER BY v) AS lo1 FROM knots) "
-       f"SELECT application_id, round(case when loan_amount = v0 and lo0 = 0 then 0e0 when v1 is null then 1e0 when loan_amount = v0 then (lo0 + hi0) / 2 "
-       f"else hi0 + (lo1 - hi0) * (loan_amount - v0) / (v1 - v0) end, 6) AS loan_amount FROM {L} JOIN seg ON loan_amount >= v0 AND (v1 IS NULL OR loan_amount < v1)")
+def _sql_uniform(c: str, n: int = 1000) -> str:
+    """Value of the quantile transform of one column, by application."""
+    return (f"(WITH q AS (SELECT quantile_cont({d(c)}, list_transform(range(0, {n}), lambda z: z / {n - 1}e0)) AS v FROM {L}), "
+            f"raw AS (SELECT unnest(v) AS v, unnest(range(0, {n})) / {n - 1}e0 AS p FROM q), knots AS (SELECT v, min(p) AS lo, max(p) AS hi FROM raw GROUP BY v), "
+            "seg AS (SELECT v AS v0, lo AS lo0, hi AS hi0, lead(v) OVER (ORDER BY v) AS v1, lead(lo) OVER (ORDER BY v) AS lo1 FROM knots) "
+            f"SELECT rid, round(case when x is null then null when x = v0 and lo0 = 0 then 0e0 when v1 is null then 1e0 when x = v0 then (lo0 + hi0) / 2 "
+            f"else hi0 + (lo1 - hi0) * (x - v0) / (v1 - v0) end, 6) AS {c} FROM (SELECT rid, {d(c)} AS x FROM numbered) LEFT JOIN seg ON x >= v0 AND (v1 IS NULL OR x < v1))")
+
+
+_Q = ["loan_amount", "credit_score"]
+
+
+@query("n6_quantile_uniform", f"WITH numbered AS (SELECT *, row_number() OVER () AS rid FROM {L}) SELECT application_id, a.loan_amount, b.credit_score FROM (SELECT rid, application_id FROM numbered) "
+       f"JOIN {_sql_uniform('loan_amount')} a USING (rid) JOIN {_sql_uniform('credit_score')} b USING (rid)")
 def _(t):
-    df = t.loans.select("application_id", "loan_amount")
-    return rnd(scale.apply_quantile_map(df, scale.fit_quantile_map(df, ["loan_amount"], 101)), 6)
+    df = t.loans.select("application_id", *_Q)
+    return rnd(scale.apply_quantile_map(df, scale.fit_quantile_map(df, _Q)), 6)
 
 
 @query("n6_quantile_normal")
@@ -474,4 +482,7 @@ def _(t):
 @query("q8_quality_gate")
 def _(t):
     r = quality.assess(t.loans, AS_OF, LIMITS)
-    return params_frame(t.spark, [(r.overall, 0.7, quality.gate(r, 0.7))], "score double, minimum double, passed boolean")
+    return rnd(params_frame(t.spark, [(r.overall, 0.7, quality.gate(r, 0.7))], "score double, minimum double, passed boolean"), 6)
+
+
+SQL["q8_quality_gate"] = f"SELECT score, 0.7e0 AS minimum, score >= 0.7e0 AS passed FROM ({SQL['q7_overall_quality']}) WHERE dimension = 'overall'"

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,27 @@ def test_quantile_map_and_probit(spark):
     assert abs(p[0]) < 1e-8 and abs(p[1] - 1.959964) < 1e-5 and abs(p[2] + 2.326348) < 1e-5
 
 
+def test_knots_are_exact_quantiles(spark):
+    r = np.random.default_rng(4)
+    a = np.concatenate([np.round(r.lognormal(3, 1, 700), 1), np.full(400, 20.0)])  # a third of the rows are one value
+    df = spark.createDataFrame([(float(x), float(i % 3) if i % 5 else None) for i, x in enumerate(a)], "a double, b double")
+    b = np.array([i % 3 for i in range(len(a)) if i % 5], float)
+    for m in (2, 11, 1000):
+        got = scale.evenly_spaced(df, ["a", "b"], {c: tuple(k / (m - 1) for k in range(m)) for c in "ab"}, {"a": len(a), "b": len(b)})
+        for c, v in (("a", a), ("b", b)):
+            assert np.allclose(list(got[c].values()), np.quantile(v, np.arange(m) / (m - 1)), atol=1e-9)
+
+
+def test_missing_and_empty_fields_are_violations(spark, sf):
+    df = loan_applications(spark, sf).drop("credit_score").withColumn("age", F.lit(None).cast("int"))
+    r = validate.validate_all(df, "application_id")
+    assert r.schema.missing == ["credit_score"] and r.schema.all_null == ["age"] and not r.stopped
+    got = r.violations.where("error_type in ('missing_field', 'all_null')").collect()
+    assert sorted((x["field"], x["error_type"], x["application_id"]) for x in got) == [
+        ("age", "all_null", None), ("credit_score", "missing_field", None)]
+    assert validate.validate_all(df.select("application_id", "age"), "application_id").stopped
+
+
 def test_cut_and_bins(spark):
     df = spark.createDataFrame([(0.0,), (600.0,), (601.0,), (900.0,), (None,)], "x double")
     assert col(df, scale.cut(F.col("x"), [0, 600, 650, 850])) == [None, 0, 1, None, None]
