@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lendframe.llm.common import annotate, stored, utf8
+from lendframe.llm.common import annotate, stored, tasks, utf8
 from lendframe.llm.components import connected_components
 
 SEED = 42
@@ -68,10 +68,11 @@ def links(fps: DataFrame, bits: int = 2, paired: int = PAIRED) -> DataFrame:
     """Edges ``a, b`` whose components are those of all pairs of distinct ``fp`` at most ``bits`` apart (1 or 2)."""
     if bits not in (1, 2):
         raise ValueError("bits must be 1 or 2")
-    one = fps.select("fp")
+    one = fps.select("fp").repartition(tasks(fps.sparkSession), "fp")  # 64 rows are made of each
     variants = one.select("fp", F.explode(F.array(*_variants(bits))).alias("key"))
     shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(variants.join(stored(shared, "shared"), "key"), "members")
+    # the table of shared variants grows with the corpus: never broadcast, and both sides may be split
+    members = stored(variants.join(stored(shared, "shared").hint("merge"), "key"), "members")
 
     small = members.filter(F.col("n") <= paired).select("key", "fp")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
