@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -68,11 +67,3 @@ def utf8(col: pa.Array) -> list[bytes]:
 def remainder(id_col: str, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % m
-
-
-def hash_sample(df: DataFrame, key: list[str], rows: int, seed: int, total: int) -> DataFrame:
-    """About ``rows`` of ``total`` rows, chosen by a hash of the key; all when there are fewer."""
-    if total <= rows:
-        return df
-    cut = math.floor(rows / total * (1 << 32))
-    return df.filter(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 32)) < cut)
