@@ -53,10 +53,20 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 
 
 def run_windows(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Write a complete aggregate after each batch, replacing the table before it."""
-    def save(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    """Write the windows that each batch changed to a folder of its own; a repeated batch replaces its folder.
 
-    q = (stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint)
+    Update mode keeps only windows that the watermark has not closed in the state.
+    """
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def latest_windows(spark: SparkSession, path: str, keys: tuple[str, ...]) -> DataFrame:
+    """The last state of every window that ``run_windows`` has written."""
+    d = spark.read.parquet(path)
+    rest = [c for c in d.columns if c not in keys and c != "epoch"]
+    return d.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("s")).select(*keys, *[f"s.{c}" for c in rest])
