@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lendframe.operators.ranking import ordered_row_number, running, running_totals
@@ -85,7 +86,7 @@ def early_stopping(log: DataFrame, patience: int = 10, min_delta: float = 0.001,
     """First step with ``patience`` steps since the last improvement beyond ``min_delta``, and the best value so far.
 
     Steps of a session are numbered 1, 2, ... . Only a value below all earlier ones can improve, so each chunk of
-    a session first keeps such records; the exact recurrence then runs over the few records, not over all steps.
+    a session first keeps such records; the exact recurrence then streams over them in constant memory, whatever their number.
     """
     x = F.col("value") if mode == "min" else -F.col("value")
     d = log.select("session_id", "step", x.cast("double").alias("x"), F.floor(F.col("step") / chunk).alias("c"))
@@ -96,18 +97,35 @@ def early_stopping(log: DataFrame, patience: int = 10, min_delta: float = 0.001,
     rec = d.withColumn("p", F.min("x").over(w)).join(prev, ["session_id", "c"]).where(
         F.col("x") < F.coalesce(F.least("p", "before"), F.lit(float("inf"))))
     last = mins.groupBy("session_id").agg(F.max("last").alias("steps"))
-    arr = rec.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("step", "x"))).alias("r")).join(last, "session_id")
-    state = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("stop"))
-    wait_over = lambda s, e: F.when(s["stop"].isNotNull(), s["stop"]).when(
-        s["best"].isNotNull() & (e["step"] - s["at"] > patience), s["at"] + patience)
-
-    def step(s, e):
-        stop = wait_over(s, e)
-        better = stop.isNull() & (s["best"].isNull() | (e["x"] + min_delta < s["best"]))
-        return F.struct(F.when(better, e["x"]).otherwise(s["best"]).alias("best"),
-                        F.when(better, e["step"].cast("bigint")).otherwise(s["at"]).alias("at"), stop.cast("bigint").alias("stop"))
-
-    f = arr.withColumn("s", F.aggregate("r", state, step))
+    kind = log.schema["session_id"].dataType.simpleString()
+    src = rec.select("session_id", "step", "x").repartition("session_id").sortWithinPartitions("session_id", "step")
+
+    def fold(batches):
+        """The recurrence over the records of each session in turn, with three numbers of memory."""
+        now, best, at, stop, begun = None, None, 0, None, False
+        for b in batches:
+            done = []
+            for sid, at_step, v in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if not begun or sid != now:
+                    if begun:
+                        done.append((now, best, at, stop))
+                    now, best, at, stop, begun = sid, None, 0, None, True
+                if stop is None and best is not None and at_step - at > patience:
+                    stop = at + patience
+                if stop is None and (best is None or v + min_delta < best):
+                    best, at = v, at_step
+            if done:
+                yield _batch(done, b.column(0).type)
+            last_type = b.column(0).type
+        if begun:
+            yield _batch([(now, best, at, stop)], last_type)
+
+    def _batch(rows, session_type):
+        cols = list(zip(*rows))
+        types = [session_type, pa.float64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["session_id", "best", "at", "stop"])
+    f = src.mapInArrow(fold, f"session_id {kind}, best double, at bigint, stop bigint").join(last, "session_id").select(
+        "session_id", "steps", F.struct("best", "at", "stop").alias("s"))
     stop = F.coalesce(F.col("s.stop"), F.when(F.col("steps") - F.col("s.at") >= patience, F.col("s.at") + patience))
     best = F.col("s.best") if mode == "min" else -F.col("s.best")
     return f.select("session_id", "steps", stop.alias("stop_step"), F.col("s.at").alias("best_step"), best.alias("best_value"))

@@ -229,6 +229,12 @@ def test_early_stopping_follows_the_recurrence(spark):
         assert got[s] == (stop, best)
 
 
+def test_early_stopping_of_a_curve_that_always_falls(spark):
+    log = spark.range(200_000).select(F.lit("s").alias("session_id"), (F.col("id") + 1).alias("step"), (-F.col("id")).cast("double").alias("value"))
+    r = runs.early_stopping(log).first()
+    assert (r["steps"], r["stop_step"], r["best_step"], r["best_value"]) == (200_000, None, 200_000, -199_999.0)
+
+
 def test_splits(spark):
     df = spark.range(1000).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
     c = {(r["y"], r["split"]): r["count"] for r in split.stratified_split(df, "id", "y", 0.2, 0.1).groupBy("y", "split").count().collect()}
