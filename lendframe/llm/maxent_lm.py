@@ -3,8 +3,10 @@
 The probability of a token is that of its class given the words before it, times that of the
 word within its class. The class factor is a softmax over ``CLASSES`` classes whose features are hashed rows: the
 previous word, the word before that (a skip feature), and the two together. Its weights start at smoothed log
-ratios of counts over the whole training text and are then moved by gradient updates: every partition sums the gradient
-of its documents, the sums are added up in two steps, and each row moves by its gradient over its curvature. The word
+ratios of counts over the whole training text and are then moved by gradient updates. A gradient is observed less
+expected counts, and the expectation depends on the two hashed words before a token only, so the training text is gathered
+once into a distributed table of such contexts (at most ``WORD_ROWS`` squared) and each update sums over that table: exactly the
+gradient of the whole training text. The word
 factor has the word itself as its only feature, for which smoothed relative counts are the
 solution in closed form. The commonest words and the end mark are classes of their own, all others are
 classed by their last letters and marks.
@@ -32,16 +34,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lendframe.llm.common import stored, utf8
+from lendframe.llm.training import sum_vectors
 
 #: Bound of what tasks hold: the commonest words and their counts.
-HEAD = 1 << 17
+HEAD = 1 << 16
 CLASSES, SINGLE = 64, 27  # classes; commonest words with a class of their own
 WORD_ROWS, OWN_ROWS, PAIR_ROWS = 2048, 1536, 4096
 ROWS = 2 * WORD_ROWS + PAIR_ROWS
+BLOCKS_OF_ROWS = ((0, WORD_ROWS), (WORD_ROWS, 2 * WORD_ROWS), (2 * WORD_ROWS, ROWS))
 STEP = 1 << 14  # tokens scored together
-ROUNDS, SHARE, DAMP, SMOOTH = 2, 0.6, 0.4, 20.0
-FLUSH = 400_000  # words counted in a task before their counts are sent on
-LANES, BLOCKS = 16, 16
+ROUNDS, SHARE, DAMP, SMOOTH = 6, 0.6, 0.4, 20.0
+CONTEXTS = WORD_ROWS * WORD_ROWS
+PARTS = 6  # of the context table, whose size is bounded
+FLUSH = 200_000  # words counted in a task before their counts are sent on
 LN10 = math.log(10)
 
 
@@ -91,7 +96,43 @@ def _count(docs: DataFrame) -> DataFrame:
     return stored(total.mapInArrow(classed, "w binary, n bigint, n_all bigint, k int"), "word_counts")
 
 
-class Model:
+class Weights:
+    """The class factor."""
+
+    bias: np.ndarray
+    weight: np.ndarray
+
+    def logits(self, context: np.ndarray) -> np.ndarray:
+        """Class scores of contexts (row of the previous word times WORD_ROWS, plus the row before it)."""
+        w, rows = self.weight, feature_rows(context)
+        return w[rows[0]] + w[rows[1]] + w[rows[2]] + self.bias
+
+    def class_log10(self, kind: np.ndarray, context: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """log10 of each token's class probability; ``norms`` remembers the log sums of contexts (NaN: not known)."""
+        new = np.unique(context[np.isnan(norms[context])])
+        for lo in range(0, len(new), STEP):
+            z = self.logits(new[lo:lo + STEP])
+            top = z.max(axis=1)
+            norms[new[lo:lo + STEP]] = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+        w = self.weight
+        own = self.bias[kind] + sum(w[r, kind] for r in feature_rows(context))
+        return (own - norms[context]).astype(np.float64) / LN10
+
+    def expected(self, context: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Expected occurrences of (feature row, class) in contexts that occur n times."""
+        g = np.zeros((CLASSES, ROWS))
+        for lo in range(0, len(context), STEP):
+            c = context[lo:lo + STEP]
+            z = self.logits(c)
+            z = np.exp(z - z.max(axis=1)[:, None])
+            d = (z * (n[lo:lo + STEP] / z.sum(axis=1))[:, None]).T.astype(np.float64)
+            for r, (a, b) in zip(feature_rows(c), BLOCKS_OF_ROWS, strict=True):
+                for k in range(CLASSES):
+                    g[k, a:b] += np.bincount(r - a, d[k], b - a)
+        return g.T.ravel()
+
+
+class Model(Weights):
     """What tasks need: the head words, class sums, and the weights of the class factor."""
 
     def __init__(self, words: list[bytes], n: np.ndarray, kinds: np.ndarray, ends: int, class_n, class_v, total: int,
@@ -116,26 +157,22 @@ class Model:
         self.weight = np.zeros((ROWS, CLASSES), np.float32)
 
     def read(self, texts: list[bytes]):
-        """Tokens end to end: number, class, three feature rows; the document of each; and the words outside the head."""
+        """Tokens end to end: number, class, context; the size of each document; and the words outside the head."""
         get, m = self.index.get, self.m
-        code: list[int] = []
+        flat: list[bytes | None] = []
         size: list[int] = []
-        outside: list[tuple[int, bytes]] = []
         for t in texts:
             w = t.lower().split()
-            c = [get(x, m + 1) for x in w]
-            at = len(code)
-            if m + 1 in c:
-                outside += [(at + i, w[i]) for i, x in enumerate(c) if x > m]
-            code += c
-            code.append(m)
+            flat += w
+            flat.append(None)  # the end mark
             size.append(len(w) + 1)
-        code = np.array(code, np.int64)
+        code = np.array([get(w, m + 1) for w in flat], np.int64)
+        code[np.cumsum(size) - 1] = m
         kind, row = self.kind[code], self.row[code]
-        if outside:
-            at = [i for i, _ in outside]
-            kind[at] = [shape_class(w) for _, w in outside]
-            row[at] = [hashed_row(w) for _, w in outside]
+        at = np.flatnonzero(code > m)
+        outside = [(i, flat[i]) for i in at.tolist()]
+        kind[at] = [shape_class(w) for _, w in outside]
+        row[at] = [hashed_row(w) for _, w in outside]
         first = np.cumsum([0, *size])[:-1]
         one = np.concatenate(([0], row[:-1]))
         two = np.concatenate(([0, 0], row[:-2]))[:len(row)]
@@ -144,78 +181,73 @@ class Model:
         two[first] = start
         second = first + 1
         two[second[second < len(two)]] = start
-        pair = 2 * WORD_ROWS + (one * 2654435761 + two * 40503) % PAIR_ROWS
-        return code, kind, (one, WORD_ROWS + two, pair), np.array(size), outside
+        return code, kind, one * WORD_ROWS + two, np.array(size), outside
 
-    def logits(self, rows, lo: int, hi: int) -> np.ndarray:
-        w = self.weight
-        return w[rows[0][lo:hi]] + w[rows[1][lo:hi]] + w[rows[2][lo:hi]] + self.bias
-
-    def class_log10(self, kind, rows) -> np.ndarray:
-        """log10 of each token's class probability."""
-        out = np.empty(len(kind))
-        for lo in range(0, len(kind), STEP):
-            hi = min(lo + STEP, len(kind))
-            z = self.logits(rows, lo, hi)
-            own = z[np.arange(hi - lo), kind[lo:hi]]
-            top = z.max(axis=1)
-            out[lo:hi] = (own - top - np.log(np.exp(z - top[:, None]).sum(axis=1))) / LN10
-        return out
-
-    def pair_counts(self, kind, rows) -> np.ndarray:
-        """Occurrences of (feature row, class)."""
-        return sum(np.bincount(r * CLASSES + kind, minlength=ROWS * CLASSES) for r in rows).astype(np.float64)
-
-    def gradient(self, kind, rows) -> np.ndarray:
-        """Observed less expected occurrences of (feature row, class)."""
-        g = np.zeros((ROWS, CLASSES), np.float64)
-        for lo in range(0, len(kind), STEP):
-            hi = min(lo + STEP, len(kind))
-            z = self.logits(rows, lo, hi)
-            z = np.exp(z - z.max(axis=1)[:, None])
-            d = -z / z.sum(axis=1)[:, None]
-            d[np.arange(hi - lo), kind[lo:hi]] += 1
-            for r in rows:
-                o = np.argsort(r[lo:hi], kind="stable")
-                sorted_rows = r[lo:hi][o]
-                at = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-                g[sorted_rows[at]] += np.add.reduceat(d[o], at, axis=0)
-        return g.ravel()
+
+def feature_rows(context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    one, two = context // WORD_ROWS, context % WORD_ROWS
+    return one, WORD_ROWS + two, 2 * WORD_ROWS + (one * 2654435761 + two * 40503) % PAIR_ROWS
 
 
 def hashed_row(word: bytes) -> int:
     return OWN_ROWS + zlib.crc32(word) % (WORD_ROWS - OWN_ROWS - 2)
 
 
-def _corpus_sum(docs: DataFrame, held, what: str) -> np.ndarray:
-    """Sum over all documents of a (ROWS x CLASSES) table: one table per task, added up in two steps."""
-    size = ROWS * CLASSES // BLOCKS
+def _gathered(train: DataFrame, held) -> DataFrame:
+    """``key, n``: a context and how often it occurs, or -1 - x where x numbers a (feature row, class) and its occurrences.
 
+    Counted in the tasks first; at most CONTEXTS + ROWS * CLASSES keys in all.
+    """
     def run(batches):
-        model, total = held.value, np.zeros(ROWS * CLASSES)
+        model, found, counts, seen = held.value, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(ROWS * CLASSES)
+
+        def out(key, n):
+            return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(n.astype(np.int64))], names=["key", "n"])
         for b in batches:
-            texts = utf8(b.column(0))
-            for part in grouped(texts):
-                _, kind, rows, _, _ = model.read(part)
-                total += getattr(model, what)(kind, rows)
-        lane = TaskContext.get().partitionId() % LANES
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lane] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()),
-             pa.array([total[i * size:(i + 1) * size].tobytes() for i in range(BLOCKS)], pa.binary())],
-            names=["lane", "block", "v"])
-
-    def add(pdf):
-        out = pdf.iloc[:1].copy()
-        out["v"] = [np.sum([np.frombuffer(x) for x in pdf["v"]], axis=0).tobytes()]
-        return out[["lane", "block", "v"]]
-    schema = "lane int, block int, v binary"
-    s = docs.select("t").mapInArrow(run, schema)
-    s = s.groupBy("lane", "block").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-    got = {r.block: np.frombuffer(r.v) for r in s.collect()}
-    return np.concatenate([got.get(i, np.zeros(size)) for i in range(BLOCKS)]).reshape(ROWS, CLASSES)
-
-
-def grouped(texts: list[bytes], limit: int = 4_000_000):
+            for part in grouped(utf8(b.column(0))):
+                _, kind, context, _, _ = model.read(part)
+                seen += sum(np.bincount(r * CLASSES + kind, minlength=ROWS * CLASSES) for r in feature_rows(context))
+                key, n = np.unique(context, return_counts=True)
+                both, at = np.unique(np.concatenate((found, key)), return_inverse=True)
+                found, counts = both, np.bincount(at, np.concatenate((counts, n)), len(both))
+        if len(found):
+            yield out(found, counts)
+            x = np.flatnonzero(seen)
+            yield out(-1 - x, seen[x])
+    c = train.select("t").mapInArrow(run, "key int, n bigint")
+    return stored(c.groupBy("key").agg(F.sum("n").alias("n")).repartition(PARTS, "key"), "contexts")
+
+
+def _table_sum(table: DataFrame, fn) -> np.ndarray:
+    """Sum over the gathered table of a (ROWS x CLASSES) table that ``fn(key, n)`` gives."""
+    def run(batches):
+        total = np.zeros(ROWS * CLASSES)
+        for b in batches:
+            if b.num_rows:
+                total += fn(*(b.column(i).to_numpy().astype(np.int64) for i in range(2)))
+        return total
+    return sum_vectors(table.coalesce(PARTS), run).reshape(ROWS, CLASSES)
+
+
+def _observed(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.bincount(-1 - key, n, ROWS * CLASSES)
+
+
+def _head(counts: DataFrame) -> pa.Table:
+    """The commonest words, HEAD at most: all those whose count is in the highest classes of counts that fit together."""
+    level = F.floor(F.log2("n_all") * 16).cast("int")
+    sizes = dict(counts.groupBy(level.alias("level")).count().collect())  # at most 16 per power of two
+    cut, held = None, 0
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k]
+        if held > HEAD:
+            break
+        cut = k
+    rows = counts.filter(level >= cut) if cut is not None else counts.limit(0)
+    return rows.select("w", "n", "n_all", "k").toArrow().sort_by([("n_all", "descending"), ("w", "ascending")])
+
+
+def grouped(texts: list[bytes], limit: int = 1_000_000):
     """Consecutive texts of about ``limit`` bytes together."""
     part, size = [], 0
     for t in texts:
@@ -235,34 +267,40 @@ def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
     sums = {r.k: r for r in counts.groupBy("k").agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).collect()}
     total = sum(r.n for r in sums.values()) + ends
     distinct = sum(r.v for r in sums.values()) + (ends > 0)
-    head = counts.orderBy(F.col("n_all").desc(), "w").limit(HEAD).collect()
+    head = _head(counts)
+    words, n, kinds = (head.column(c).to_pylist() if c == "w" else head.column(c).to_numpy() for c in ("w", "n", "k"))
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for k, r in sums.items():
         class_n[k], class_v[k] = r.n, r.v
-    for r in head[:SINGLE]:  # these have left their shape classes
-        class_n[r.k] -= r.n
-        class_v[r.k] -= r.n > 0
-    n = np.array([r.n for r in head], np.int64)
-    model = Model([bytes(r.w) for r in head], n, np.array([r.k for r in head], np.int64), ends, class_n, class_v, total, distinct)
+    single = slice(0, SINGLE)  # these have left their shape classes
+    class_n -= np.bincount(kinds[single], n[single], CLASSES)
+    class_v -= np.bincount(kinds[single], n[single] > 0, CLASSES)
+    model = Model(words, n, kinds, ends, class_n, class_v, total, distinct)
     if not ends:
         return model, counts
     train = rows.filter("not held")
     sc = rows.sparkSession.sparkContext
 
     held = sc.broadcast(model)
-    seen = _corpus_sum(train, held, "pair_counts")
-    held.unpersist()
+    gathered = _gathered(train, held)
+    held.destroy()
+    seen = _table_sum(gathered.filter("key < 0"), _observed)
+    contexts = gathered.filter("key >= 0")
     by_class = seen[:WORD_ROWS].sum(axis=0)
     p = (by_class + 0.5) / (by_class.sum() + 0.5 * CLASSES)
     row_n = seen.sum(axis=1, keepdims=True)
     model.bias = np.log(p).astype(np.float32)
     model.weight = (SHARE * np.log((seen + SMOOTH * p) / (row_n + SMOOTH) / p)).astype(np.float32)
-    for step in range(ROUNDS):  # each round is a share of the training rows, all of them together
-        held = sc.broadcast(model)
-        part = train.filter(F.pmod(F.xxhash64("t"), F.lit(ROUNDS)) == step)
-        g = _corpus_sum(part, held, "gradient")
-        held.unpersist()
-        curve = row_n / ROUNDS * p * (1 - p) + SMOOTH
+    curve = row_n * p * (1 - p) + SMOOTH
+    for _ in range(ROUNDS):
+        held = sc.broadcast((model.weight, model.bias))
+
+        def local(context, n, held=held):
+            m = Weights()
+            m.weight, m.bias = held.value
+            return m.expected(context, n)
+        g = seen - _table_sum(contexts, local)
+        held.destroy()
         model.weight = (model.weight + np.clip(DAMP * g / curve, -1, 1)).astype(np.float32)
     return model, counts
 
@@ -276,17 +314,18 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         mod, part, n_row = sent.value, TaskContext.get().partitionId(), 0
+        norms = np.full(CONTEXTS, np.nan, np.float32)
         tail_type = pa.list_(pa.struct([("w", pa.binary()), ("tf", pa.int32())]))
         for b in batches:
             texts = utf8(b.column(1))
             n_tok, known, base, total, tails = [], [], [], [], []
             for group in grouped(texts):
-                code, kind, feats, size, outside = mod.read(group)
+                code, kind, context, size, outside = mod.read(group)
                 at = np.cumsum(size) - size
                 n_tok.append(size)
                 known.append(np.add.reduceat(mod.known[code].astype(np.int64), at))
                 base.append(np.add.reduceat(mod.base[code], at))
-                total.append(np.add.reduceat(mod.class_log10(kind, feats) + mod.within[code], at))
+                total.append(np.add.reduceat(mod.class_log10(kind, context, norms) + mod.within[code], at))
                 doc = np.searchsorted(at, [i for i, _ in outside], "right") - 1
                 found = [Counter() for _ in group]
                 for d, (_, w) in zip(doc.tolist(), outside, strict=True):
@@ -303,6 +342,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     schema = (f"id {docs.schema[id_col].dataType.simpleString()}, held boolean, uid bigint, n_tokens bigint, n_known bigint, "
               "base double, total double, tail array<struct<w:binary,tf:int>>")
     part = stored(rows.select("id", "t", "held").mapInArrow(run, schema), "partial_scores")
+    sent.destroy()
 
     # words outside the head, with their counts; the denominators are one number per class
     denominator = F.element_at(F.array(*[F.lit(float(a + 0.5 * (b + 1))) for a, b in zip(model.class_n, model.class_v, strict=True)]),
