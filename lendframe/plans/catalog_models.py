@@ -165,7 +165,7 @@ def _(t):
 @query("p10_search")
 def _(t):
     return rnd(ml.search(_data(t, False), Y, lambda depth, trees: (lambda d: ml.fit_forest(d, Y, trees=trees, depth=depth)),
-                         {"depth": [5, 10], "trees": [50, 100]}), 6)
+                         {"depth": [5, 10], "trees": [20, 50]}), 6)
 
 
 @query("g4_stacking")
