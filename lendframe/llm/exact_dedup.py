@@ -72,4 +72,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
     same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (
         F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("_gone_sha"))
-    return docs.join(stored(gone, "gone"), same, "left_anti")
+    # the list grows with the corpus: never broadcast, at any size
+    return docs.join(stored(gone, "gone").hint("merge"), same, "left_anti")

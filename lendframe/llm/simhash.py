@@ -131,4 +131,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, with all their columns; a null id always stays."""
     gone = near_groups(docs, id_col, text_col, bits).filter(F.col("component_id") != F.col(id_col)).select(id_col)
-    return docs.join(stored(gone.distinct(), "gone"), id_col, "left_anti").select(*docs.columns)
+    # the list grows with the corpus: never broadcast, at any size
+    return docs.join(stored(gone.distinct(), "gone").hint("merge"), id_col, "left_anti").select(*docs.columns)
