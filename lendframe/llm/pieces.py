@@ -35,9 +35,9 @@ MARK = "▁"
 HELD_MARK = "\udc81"  # stands for a mark that is part of the text; no valid text has it
 RATE, VARIANTS, SEED = 0.1, 4, 17
 LONGEST = 48  # characters of a chunk that is merged in the common rounds
-REMEMBERED = 400_000  # chunks
+REMEMBERED = 300_000  # chunks
 CHUNKS = 50_000  # chunks segmented together
-SLICE = 2_000_000  # characters worked on together
+SLICE = 1_000_000  # characters worked on together
 GONE = np.int32(-1)
 
 
