@@ -199,7 +199,7 @@ def _gathered(train: DataFrame, held) -> DataFrame:
     Counted in the tasks first; at most CONTEXTS + ROWS * CLASSES keys in all.
     """
     def run(batches):
-        model, found, counts, seen = held.value, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(ROWS * CLASSES)
+        model, counts, seen = held.value, np.zeros(CONTEXTS, np.int32), np.zeros(ROWS * CLASSES)
 
         def out(key, n):
             return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(n.astype(np.int64))], names=["key", "n"])
@@ -208,10 +208,10 @@ def _gathered(train: DataFrame, held) -> DataFrame:
                 _, kind, context, _, _ = model.read(part)
                 seen += sum(np.bincount(r * CLASSES + kind, minlength=ROWS * CLASSES) for r in feature_rows(context))
                 key, n = np.unique(context, return_counts=True)
-                both, at = np.unique(np.concatenate((found, key)), return_inverse=True)
-                found, counts = both, np.bincount(at, np.concatenate((counts, n)), len(both))
+                counts[key] += n.astype(np.int32)
+        found = np.flatnonzero(counts)
         if len(found):
-            yield out(found, counts)
+            yield out(found, counts[found])
             x = np.flatnonzero(seen)
             yield out(-1 - x, seen[x])
     c = train.select("t").mapInArrow(run, "key int, n bigint")
