@@ -2,26 +2,27 @@
 
 A byte-pair model merges the best-scored pair of neighbours first, leftmost on
 ties. Here every candidate merge is skipped if a keyed hash of the seed, the
-variant, the chunk and the candidate's place falls below the dropout rate. A candidate is
-fixed by the span of its two halves, so a skip when it leaves the agenda is the same as a skip
-whenever it is looked at. That lets the agendas of all chunks of a batch be worked off together, one merge per chunk and
+document's id, the chunk's position in the document and the candidate's place falls below the dropout rate, so every
+occurrence of a word has its own draw. A candidate is fixed by the span of its two halves, so a skip when it leaves
+the agenda is the same as a skip whenever it is looked at. That lets the agendas of all chunks of a batch be worked off together, one merge per chunk and
 round, in numpy; long chunks use a heap of their own. Both give the same pieces.
 
 Texts are cut into chunks wherever two characters meet that no piece of the model has side by side, so that no
-merge crosses a cut. Each chunk of a document draws one of ``variants`` segmentations by a keyed hash of id and position, so
-that chunks can be remembered across documents; the memory is bounded and only saves time.
+merge crosses a cut. Across documents only the plain merges of a chunk are remembered, which no draw changes: an occurrence
+that skips none of them has the plain pieces, any other is merged on its own. The memory is bounded and only saves time.
 Characters outside the vocabulary become byte pieces. Decoding any segmentation gives back the text exactly.
 
 Defined results: null and empty texts have no pieces and decode to the empty text. The mark
-character itself (U+2581) is written as bytes. Repeated rows get equal pieces. Columns of the input that have the name of
+character itself (U+2581) is written as bytes. Repeated rows get equal pieces; without an
+id the text takes its place in the draw. Columns of the input that have the name of
 a result column are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import os
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ from lendframe.llm.common import annotate
 MODEL = os.path.join(os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 MARK = "▁"
 HELD_MARK = "\udc81"  # stands for a mark that is part of the text; no valid text has it
-RATE, VARIANTS, SEED = 0.1, 4, 17
+RATE, SEED = 0.1, 17
 LONGEST = 48  # characters of a chunk that is merged in the common rounds
+WIDTHS = (4, 6, 9, 13, 20, 32, LONGEST)
 REMEMBERED = 300_000  # chunks
 CHUNKS = 50_000  # chunks segmented together
 SLICE = 1_000_000  # characters worked on together
@@ -114,37 +116,58 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunk_keys(codes: np.ndarray, starts: np.ndarray, variants: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit key of each chunk's characters, variant and seed; chunks lie end to end in ``codes``."""
+def chunk_keys(codes: np.ndarray, starts: np.ndarray, salts: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit key of each chunk's characters, salt and seed; chunks lie end to end in ``codes``."""
     with np.errstate(over="ignore"):
         place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
         x = _mix((codes.astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + np.uint64(seed % (1 << 31)))
-        return _mix(np.add.reduceat(x, starts) + variants.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        return _mix(np.add.reduceat(x, starts) + salts.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def spans(start, mid, stop) -> np.ndarray:
+    """A number for the candidate that joins [start, mid) and [mid, stop)."""
+    with np.errstate(over="ignore"):
+        return (np.asarray(start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                ^ np.asarray(mid).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+                ^ np.asarray(stop).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+
+
+def dropped(key: np.ndarray, span: np.ndarray, rate: float) -> np.ndarray:
+    """Whether the draw ``key`` drops the candidate of that number."""
+    with np.errstate(over="ignore"):
+        return (_mix(_mix(key + span)) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53 < rate
 
 
 def skipped(key: np.ndarray, start, mid, stop, rate: float) -> np.ndarray:
     """Whether the candidate that joins [start, mid) and [mid, stop) is dropped."""
-    with np.errstate(over="ignore"):
-        place = (np.asarray(start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                 ^ np.asarray(mid).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-                 ^ np.asarray(stop).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-        return (_mix(_mix(key + place)) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53 < rate
+    return dropped(key, spans(start, mid, stop), rate)
+
+
+def document_draw(doc: object, text: str, seed: int) -> int:
+    """A 64-bit key of a document's draws: by its id, or by its text where the id is null."""
+    name = f"{seed}/{doc}" if doc is not None else f"{seed}//{text}"
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _places(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Indices of runs of ``n`` elements from ``at``, end to end."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class Segmenter:
-    """Segments texts; remembers a bounded number of chunks by key."""
+    """Segments texts; remembers the plain merges and pieces of a bounded number of chunks."""
 
-    def __init__(self, pieces: Pieces, rate: float = RATE, variants: int = VARIANTS, seed: int = SEED):
+    def __init__(self, pieces: Pieces, rate: float = RATE, seed: int = SEED):
         self.p, self.rate, self.seed = pieces, rate, seed
-        self.variants = variants if rate > 0 else 1
         self._forget()
 
     def _forget(self) -> None:
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        self.merge_at, self.merge_n, self.merges = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
-    def by_heap(self, codes: np.ndarray, key: np.uint64) -> list[int]:
-        """The agenda of one chunk: best score first, then leftmost."""
+    def by_heap(self, codes: np.ndarray, key: np.uint64 | None) -> list[int]:
+        """The agenda of one chunk: best score first, then leftmost. Without a key nothing is skipped."""
         p = self.p
         ids = p.id_of[codes].tolist()
         n = len(ids)
@@ -168,7 +191,7 @@ class Segmenter:
             _, a, b, end, m = heapq.heappop(heap)
             if not (alive[a] and alive[b]) or nxt[a] != b or stop[b] != end or stop[a] != b:
                 continue
-            if self.rate > 0 and skipped(key, a, b, end, self.rate):
+            if key is not None and self.rate > 0 and skipped(key, a, b, end, self.rate):
                 continue
             ids[a], stop[a], alive[b], nxt[a] = m, end, False, nxt[b]
             if nxt[a] < n:
@@ -180,11 +203,15 @@ class Segmenter:
                 out += [ids[i]] if ids[i] >= 0 else p.as_bytes(int(codes[i]))
         return out
 
-    def in_rounds(self, codes: np.ndarray, starts: np.ndarray, size: np.ndarray, key: np.ndarray):
+    def in_rounds(self, codes: np.ndarray, starts: np.ndarray, size: np.ndarray, key: np.ndarray | None,
+                  made: list[tuple[np.ndarray, np.ndarray]] | None = None):
         """The agendas of many short chunks together: each round does the next merge of every chunk.
 
+        Without keys nothing is skipped. ``made`` gets the chunks and numbers of the merges of each round.
         Returns the pieces end to end and their number per chunk.
         """
+        draws = key is not None and self.rate > 0
+        key = key if draws else np.zeros(len(starts), np.uint64)
         n, width = len(starts), int(size.max())
         filled = np.arange(width) < size[:, None]
         chars = codes[np.minimum(starts[:, None] + np.arange(width), len(codes) - 1)]
@@ -192,7 +219,7 @@ class Segmenter:
         at = np.minimum(np.arange(width + 1, dtype=np.int32), size[:, None].astype(np.int32))
         done_ids, done_at, left = ids.copy(), at.copy(), size.copy()
         rows = np.arange(n)
-        merged, rank = self._offers(ids[:, :-1], ids[:, 1:], key[:, None], at[:, :-2], at[:, 1:-1], at[:, 2:])
+        merged, rank = self._offers(ids[:, :-1], ids[:, 1:], key[:, None], at[:, :-2], at[:, 1:-1], at[:, 2:], draws)
         while rank.shape[1]:
             best = rank.argmax(axis=1)
             live = rank[np.arange(len(rows)), best] != GONE
@@ -204,6 +231,8 @@ class Segmenter:
             if not len(rows):
                 break
             i = np.arange(len(rows))
+            if made is not None:
+                made.append((rows, spans(at[i, best], at[i, best + 1], at[i, best + 2])))
             ids[i, best] = merged[i, best]
             left[rows] -= 1
             ids, at = _without(ids, best + 1), _without(at, best + 1)
@@ -213,7 +242,7 @@ class Segmenter:
                 ok = np.flatnonzero((j >= 0) & (j < rank.shape[1]))
                 c = j[ok]
                 merged[ok, c], rank[ok, c] = self._offers(ids[ok, c], ids[ok, c + 1], key[ok], at[ok, c], at[ok, c + 1],
-                                                          at[ok, c + 2])
+                                                          at[ok, c + 2], draws)
         if len(rows):
             done_ids[rows, :ids.shape[1]], done_at[rows, :at.shape[1]] = ids, at
         used = np.arange(width) < left[:, None]
@@ -235,55 +264,82 @@ class Segmenter:
             out[place[ok] + j] = table[ok, j]
         return out, np.bincount(row, reps, n).astype(np.int64)
 
-    def _offers(self, a, b, key, start, mid, stop):
+    def _offers(self, a, b, key, start, mid, stop, draws: bool):
         """Candidate merges: piece and rank, without those that the dropout skips."""
         m, s = self.p.look_up(a, b)
-        if self.rate > 0:
+        if draws:
             s[skipped(key, start, mid, stop, self.rate)] = GONE
         return m, s
 
-    def _learn(self, codes, starts, size, key) -> None:
-        """Segment chunks that memory lacks and add them."""
+    def _segment(self, codes, starts, size, key, made=None):
+        """Pieces of chunks, end to end in another order, and where those of each chunk begin and how many they are."""
         order = np.argsort(size, kind="stable")
-        starts, size, key = starts[order], size[order], key[order]
-        flat, ns, lo = [self.flat], [], 0
-        for width in (4, 6, 9, 13, 20, 32, LONGEST):
-            hi = int(np.searchsorted(size, width, "right"))
+        ranked, flat, ns, lo = size[order], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        for width in WIDTHS:
+            hi = int(np.searchsorted(ranked, width, "right"))
             for i in range(lo, hi, CHUNKS):
-                j = min(i + CHUNKS, hi)
-                f, n = self.in_rounds(codes, starts[i:j], size[i:j], key[i:j])
+                o = order[i:min(i + CHUNKS, hi)]
+                rounds = None if made is None else []
+                f, n = self.in_rounds(codes, starts[o], size[o], None if key is None else key[o], rounds)
                 flat.append(f)
                 ns.append(n)
+                if made is not None:
+                    made += [(o[rows], span) for rows, span in rounds]
             lo = max(lo, hi)
-        for i in range(lo, len(size)):
-            f = self.by_heap(codes[starts[i]:starts[i] + size[i]], key[i])
+        for i in order[lo:].tolist():
+            f = self.by_heap(codes[starts[i]:starts[i] + size[i]], None if key is None else key[i])
             flat.append(np.array(f, np.int32))
             ns.append(np.array([len(f)]))
-        n = np.concatenate(ns)
-        at = len(self.flat) + np.cumsum(n) - n
-        keys = np.concatenate((self.keys, key))
-        o = np.argsort(keys)
-        self.keys, self.at, self.n = keys[o], np.concatenate((self.at, at))[o], np.concatenate((self.n, n))[o]
-        self.flat = np.concatenate(flat)
+        n, at = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+        n[order] = np.concatenate(ns)
+        at[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate(flat), at, n
+
+    def _learn(self, codes, starts, size, key) -> None:
+        """Segment chunks that memory lacks without dropout and add them with their merges."""
+        made: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        flat, at, n = self._segment(codes, starts, size, None, made)
+        chunk, span = (np.concatenate(x) for x in zip(*made, strict=True))
+        merge_n = np.bincount(chunk, minlength=len(size)).astype(np.int64)
+        merge_at = len(self.merges) + np.cumsum(merge_n) - merge_n
+        o = np.argsort(keys := np.concatenate((self.keys, key)))
+        self.keys = keys[o]
+        self.at, self.n = np.concatenate((self.at, len(self.flat) + at))[o], np.concatenate((self.n, n))[o]
+        self.merge_at, self.merge_n = np.concatenate((self.merge_at, merge_at))[o], np.concatenate((self.merge_n, merge_n))[o]
+        self.flat = np.concatenate((self.flat, flat))
+        self.merges = np.concatenate((self.merges, span[np.argsort(chunk, kind="stable")]))
+
+    def _plain(self, codes, starts, size, key) -> np.ndarray:
+        """Where memory has the chunks of these keys; those that it lacks are learnt."""
+        key, first, at = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        i = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        new = self.keys[i] != key if len(self.keys) else np.ones(len(key), bool)
+        if new.any():
+            self._learn(codes, starts[first[new]], size[first[new]], key[new])
+            i = np.searchsorted(self.keys, key)
+        return i[at]
 
     def encode(self, texts: list[str], ids: list[int | None]) -> list[np.ndarray]:
         """Pieces of each text."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
         group: list[tuple[int, int, str]] = []
         held = 0
+        draw = np.array([document_draw(i, t, self.seed) for i, t in zip(ids, texts, strict=True)], np.uint64)
         for d, t in enumerate(texts):
             for base, part in slices(marked(t)):
                 group.append((d, base, part))
                 held += len(part)
                 if held >= SLICE:
-                    self._encode_group(group, ids, out)
+                    self._encode_group(group, draw, out)
                     group, held = [], 0
         if group:
-            self._encode_group(group, ids, out)
+            self._encode_group(group, draw, out)
         empty = np.zeros(0, np.int32)
         return [p[0] if len(p) == 1 else np.concatenate(p) if p else empty for p in out]
 
-    def _encode_group(self, group, ids, out) -> None:
+    def _encode_group(self, group, draw, out) -> None:
         codes = code_points("".join(p for _, _, p in group))
         edge = np.cumsum([0, *(len(p) for _, _, p in group)])
         cut = self.p.cuts(codes)
@@ -292,21 +348,25 @@ class Segmenter:
         size = np.diff(np.append(starts, len(codes)))
         part = np.searchsorted(edge, starts, "right") - 1
         with np.errstate(over="ignore"):
-            doc = np.array([zlib.crc32(f"{ids[d]}/{self.seed}".encode()) for d, _, _ in group], np.uint64)
             base = np.array([b for _, b, _ in group], np.int64)
             place = (starts - edge[part] + base[part]).astype(np.uint64)
-            variant = _mix(_mix(doc[part] + place * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(self.variants)
-        key, first, at = np.unique(chunk_keys(codes, starts, variant, self.seed), return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
-            self._forget()
-        i = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        new = self.keys[i] != key if len(self.keys) else np.ones(len(key), bool)
-        if new.any():
-            self._learn(codes, starts[first[new]], size[first[new]], key[new])
-            i = np.searchsorted(self.keys, key)
-        n = self.n[i][at]
-        begin = np.cumsum(n) - n
-        flat = self.flat[np.repeat(self.at[i][at] - begin, n) + np.arange(n.sum())]
+            key = _mix(draw[[d for d, _, _ in group]][part] + _mix(place + np.uint64(1)))
+        own = np.ones(len(starts), bool)  # chunks that are merged for themselves
+        at, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        short = np.flatnonzero((size <= LONGEST) | (self.rate <= 0))  # a longer one hardly ever skips nothing
+        if len(short):
+            characters = chunk_keys(codes, starts, np.zeros(len(starts), np.uint64), 0)
+            i = self._plain(codes, starts[short], size[short], characters[short])
+            own[short] = False
+            if self.rate > 0:
+                m = self.merge_n[i]
+                drop = dropped(np.repeat(key[short], m), self.merges[_places(self.merge_at[i], m)], self.rate)
+                own[np.repeat(short, m)[drop]] = True
+            at[short], n[short] = self.at[i], self.n[i]
+        o = np.flatnonzero(own)
+        flat, own_at, n[o] = self._segment(codes, starts[o], size[o], key[o])
+        at[o] = len(self.flat) + own_at
+        flat = np.concatenate((self.flat, flat))[_places(at, n)]
         per = np.bincount(part, n, len(group)).astype(np.int64)
         for (d, _, _), p in zip(group, np.split(flat, np.cumsum(per)[:-1]), strict=True):
             out[d].append(p)
@@ -352,10 +412,10 @@ FIELDS = [("n_pieces", T.LongType()), ("piece_ids", T.ArrayType(T.IntegerType())
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
-                     model: str = MODEL, rate: float = RATE, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
+                     model: str = MODEL, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """Carried columns plus ``piece_ids``, their number, and whether decoding them gave the text back."""
     def start():
-        seg = Segmenter(Pieces(model), rate, variants, seed)
+        seg = Segmenter(Pieces(model), rate, seed)
 
         def run(doc, text):
             texts = [x or "" for x in text.to_pylist()]
