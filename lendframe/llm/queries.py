@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lendframe.llm import chat_tree, decontaminate, exact_dedup, maxent_lm, pieces, quality, simhash, toxicity, training_order, url_reputation
+from lendframe.llm import (chat_tree, decontaminate, exact_dedup, jaccard, maxent_lm, pieces, quality, simhash, spelling, toxicity,
+                           training_order, url_reputation, whiten)
 from lendframe.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +194,34 @@ def op10(spark, sf_dir):
     model = quality.fit(docs, labels.filter(~held_out))
     return quality.score(docs, model, carry=["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return spelling.forms(spelling.word_counts(table(spark, sf_dir, "documents"), typo_every=97))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+l AS (SELECT a, b FROM shared JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach AS (SELECT r, r AS x FROM d UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.x),
+c AS (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.r = reach.x GROUP BY reach.r),
+k AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+FROM d JOIN c USING (r) LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+"""
+
+
+@query("op12_jaccard_tiles", OP12_SQL)
+def op12(spark, sf_dir):
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))

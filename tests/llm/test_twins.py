@@ -35,7 +35,7 @@ def docs(con):
 
 def test_registered():
     q = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in q if k[:2] == "op"}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in q if k[:2] == "op"}
     assert "pipeline" in q and set(SQL) <= set(entry.oracle_sql())
 
 
