@@ -12,7 +12,7 @@ whose number is about d * (log2 of the largest variance and of the number of vec
 
 Defined results: rows are dropped whose vector is null or holds null or non-finite entries, and rows whose length is not the commonest
 one (of tied lengths the longest). Repeated rows are all returned and count once in the fit. Entries too large for a long are
-held at its ends. ``deviation`` is null where it does not fit a long. Components without
+held at its ends; where variances differ by more than doubles resolve, ``identity_error`` says so. ``deviation`` is null where it does not fit a long. Components without
 variance can't be whitened and are left out, so one distinct vector, or none, gives an empty result; equal eigenvalues give some orthonormal basis
 of their space. The entry of a component with the largest size (the first of ties) is positive. Null ids stay null. Columns beside id
 and vector are not read, whatever their names.
