@@ -204,7 +204,7 @@ def op11(spark, sf_dir):
 OP12_SQL = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
   regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 shared AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY ALL),
