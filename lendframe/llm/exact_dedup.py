@@ -7,7 +7,9 @@ of the table is spread over all tasks.
 Defined results: null text equals empty text. Repeated rows with one id and one
 text are members of one group and agree on every column. A null id never beats
 another id; a group with null ids only has a null ``keep_id``. An empty table gives
-an empty result. Columns beside id and text are not read.
+an empty result. A very long text is hashed and compared as a whole; ties between equal ids don't matter here. :func:`drop_copies`
+leaves one row of each group: of rows with one id the one with the smallest row hash, a row repeated whole once, a null id only where
+the group has no other. Columns beside id and text are read by :func:`drop_copies` alone, which returns them; their names may clash with any used here.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lendframe.llm.common import stored, tasks
+from lendframe.llm.survivors import ROW, keep_one_row, row_key
 
 
 def content_hash(text: Column) -> Column:
@@ -25,16 +28,17 @@ def content_hash(text: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min",
-                 hash_fn: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+                 hash_fn: Callable[[Column], Column] = content_hash, row: Column | None = None) -> DataFrame:
+    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, and ``row`` if it is given.
 
     ``keep``: "min" or "max", the id of a group that stays.
     """
+    also = [] if row is None else [ROW]
     best = {"min": F.min, "max": F.max}[keep]
     n_salt = tasks(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.select("id", "t", hash_fn(F.col("t")).alias("h"), F.pmod(F.xxhash64("id"), F.lit(n_salt)).alias("s"))
-    ids = stored(rows.select("id", "h", "s", F.sha2("t", 256).alias("sha")), "hashes")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *([] if row is None else [row.alias(ROW)]))
+    rows = rows.select("id", "t", *also, hash_fn(F.col("t")).alias("h"), F.pmod(F.xxhash64("id"), F.lit(n_salt)).alias("s"))
+    ids = stored(rows.select("id", "h", "s", F.sha2("t", 256).alias("sha"), *also), "hashes")
 
     part = ids.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), best("id").alias("k"))
     whole = part.groupBy("h").agg(F.sum("n").alias("group_size"), best("k").alias("keep_id"))
@@ -48,12 +52,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hit = rows.join(collided, "h", "left_semi")
         p = hit.groupBy("t", "s").agg(F.count(F.lit(1)).alias("n"), best("id").alias("k"))
         w = p.groupBy("t").agg(F.sum("n").alias("group_size"), best("k").alias("keep_id"))
-        extra = hit.select("id", "t", "s", F.sha2("t", 256).alias("sha")).join(
-            p.select("t", "s").join(w, "t"), ["t", "s"]).select("id", "keep_id", "group_size", "sha")
-    out = plain.join(groups, ["h", "s"]).select("id", "keep_id", "group_size", "sha")
+        extra = hit.select("id", "t", "s", F.sha2("t", 256).alias("sha"), *also).join(
+            p.select("t", "s").join(w, "t"), ["t", "s"]).select("id", "keep_id", "group_size", "sha", *also)
+    out = plain.join(groups, ["h", "s"]).select("id", "keep_id", "group_size", "sha", *also)
     out = out if extra is None else out.unionByName(extra)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size",
-                      F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+                      F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), *also)
 
 
 def _collisions(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -68,9 +72,5 @@ def _collisions(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_groups(docs, id_col, text_col, keep).filter("not kept").select(
-        F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (
-        F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("_gone_sha"))
-    # the list grows with the corpus: never broadcast, at any size
-    return docs.join(stored(gone, "gone").hint("merge"), same, "left_anti")
+    groups = exact_groups(docs, id_col, text_col, keep, row=row_key(docs))
+    return keep_one_row(docs, groups.select(F.col("text_sha256").alias("grp"), F.col(id_col).alias("id"), ROW), keep)

@@ -13,7 +13,10 @@ around one point. Both ways find every link.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero
 and link like any other; ties and repeated rows take the same component, repeated rows
-are all returned. An empty table gives an empty result.
+are all returned. Null ids take the component of their fingerprint, and null where it has no other id. A very long text is read whole, its shingles
+in blocks. Bytes that are not valid UTF-8 are compared as bytes. An empty table gives an empty result. :func:`keep_one` leaves
+one row of each group: of rows with one id the one with the smallest row hash, a row repeated whole once, a null id only where
+the group has no other. Columns beside id and text are read by :func:`keep_one` alone, which returns them; their names may clash with any used here.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lendframe.llm.common import annotate, stored, tasks, utf8
 from lendframe.llm.components import connected_components
+from lendframe.llm.survivors import ROW, keep_one_row, row_key
 
 SEED = 42
 #: Largest bucket whose members are compared pair by pair.
@@ -113,23 +117,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, width: int = 3,
-                paired: int = PAIRED) -> DataFrame:
-    """id, ``fingerprint`` and ``component_id`` (smallest id that links reach, the own one included) of every row."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    fp = stored(fingerprints(docs, "t", ["id"], width), "fingerprints")
+def _grouped(docs: DataFrame, bits: int, width: int, paired: int) -> DataFrame:
+    """The columns of ``id, t, ...`` but ``t``, with ``fingerprint``, ``component_id``, and ``grp``, one fingerprint of the group."""
+    fp = stored(fingerprints(docs, "t", [c for c in docs.columns if c != "t"], width), "fingerprints")
     distinct = stored(fp.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = connected_components(links(distinct, bits, paired)).withColumnRenamed("node", "fp")
     linked = stored(distinct.join(roots, "fp"), "linked")
     least = stored(linked.groupBy("root").agg(F.min("least").alias("all_least")), "least")
-    known = linked.join(least, "root").select("fp", "all_least")
+    known = linked.join(least, "root").select("fp", "root", "all_least")
     owner = stored(distinct.join(known, "fp", "left").select(
-        "fp", F.coalesce("all_least", "least").alias("component_id")), "owner")
-    return fp.join(owner, "fp").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+        "fp", F.coalesce("root", "fp").alias("grp"), F.coalesce("all_least", "least").alias("component_id")), "owner")
+    return fp.join(owner, "fp").drop("fp")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, width: int = 3,
+                paired: int = PAIRED) -> DataFrame:
+    """id, ``fingerprint`` and ``component_id`` (smallest id that links reach, the own one included) of every row."""
+    g = _grouped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), bits, width, paired)
+    return g.select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, with all their columns; a null id always stays."""
-    gone = near_groups(docs, id_col, text_col, bits).filter(F.col("component_id") != F.col(id_col)).select(id_col)
-    # the list grows with the corpus: never broadcast, at any size
-    return docs.join(stored(gone.distinct(), "gone").hint("merge"), id_col, "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, width: int = 3) -> DataFrame:
+    """One row of each group, that with the smallest id, with all its columns."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), row_key(docs).alias(ROW))
+    return keep_one_row(docs, _grouped(rows, bits, width, PAIRED).select("grp", "id", ROW))

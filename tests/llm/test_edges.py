@@ -92,7 +92,56 @@ def test_exact_edges(spark):
     assert [r.keep_id for r in rows if r.doc_id is None] == [None]
     assert {r.doc_id for r in rows if r.kept} == {4, 5, 6, 7, None, 9, 10, 11}
     assert exact_dedup.exact_groups(no_docs(spark)).count() == 0
-    assert exact_dedup.drop_copies(d).columns == d.columns and exact_dedup.drop_copies(d).count() == 9
+    assert exact_dedup.drop_copies(d).columns == d.columns and exact_dedup.drop_copies(d).count() == 8
+
+
+def one_of_each(rows, group):
+    """Brute force: of each group the row with the smallest id, null ids last."""
+    best = {}
+    for r in rows:
+        best.setdefault(group(r), []).append(r)
+    return sorted(min(((r[0] is None, r[0] or 0) for r in g)) for g in best.values()), {group(r) for r in rows}
+
+
+@pytest.mark.parametrize("stage", ["exact", "near"])
+def test_one_row_of_each_group_stays(spark, stage):
+    """Ids that repeat with other texts, null ids, rows repeated whole, clashing columns."""
+    a, b, c, d = "the cat sat on the mat all day long", "quite another text about ships and sails", "x", "numbers one two three four five six"
+    space = (lambda t: t) if stage == "exact" else (lambda t: t.replace(" ", "  "))  # the same words: the same fingerprint
+    rows = [(4, a), (5, space(a)), (5, b), (5, b), (None, space(b)), (None, c), (None, c), (None, d), (9, space(d)), (9, space(d)), (None, None), (None, ""),
+            (7, a), (7, "rows of one id and another text"), (7, "and a third text of the same id 7")]
+    df = spark.createDataFrame([(i, t, "en", k % 2, "z", 1.0) for k, (i, t) in enumerate(rows)],
+                               "doc_id bigint, text string, lang string, grp int, id string, v double")
+    keep = exact_dedup.drop_copies if stage == "exact" else simhash.keep_one
+    got = keep(df)
+    assert got.columns == df.columns
+    words = lambda t: " ".join((t or "").split())
+    out = [(r.doc_id, r.text) for r in got.collect()]
+    want, groups = one_of_each(rows, lambda r: words(r[1]))
+    assert sorted((i is None, i or 0) for i, _ in out) == want
+    assert {words(t) for _, t in out} == groups and len(out) == len(groups)
+    last = exact_dedup.drop_copies(df, keep="max").collect()
+    assert len(last) == len({r.text or "" for r in last}) == len({t or "" for _, t in rows})
+
+
+def test_dedup_stages_with_repeated_and_null_ids(spark, sf):
+    """Both stages of the pipeline in a row, against brute force."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in table.orderBy("doc_id").limit(40).collect()]
+    rows += [rows[3], rows[3], (None, *rows[5][1:]), (None, *rows[5][1:]), (rows[7][0], "a text of its own under an id that another row has", "en", None, None),
+             (None, "a text whose rows have no id", "en", "s", 1), (None, "a text whose rows have no id", "en", "s", 1), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, table.schema)
+    for stage in (corpus_pipeline.without_copies, corpus_pipeline.without_near_copies):
+        docs = stage(spark, docs, sf)
+    got = [(r.doc_id, r.text) for r in docs.collect()]
+    fps = {t or "": simhash.fingerprint((t or "").encode()) for _, t, *_ in rows}
+    u = Union()
+    for x, y in itertools.combinations(set(fps.values()), 2):
+        if (x ^ y).bit_count() <= 2:
+            u.join(x, y)
+    want, groups = one_of_each(rows, lambda r: u.find(fps[r[1] or ""]))
+    assert sorted((i is None, i or 0) for i, _ in got) == want
+    assert {u.find(fps[t or ""]) for _, t in got} == groups and len(got) == len(groups)
 
 
 def test_urls(spark):
