@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lendframe.session import scratch_path
@@ -67,3 +69,13 @@ def utf8(col: pa.Array) -> list[bytes]:
 def remainder(id_col: str, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % m
+
+
+def slices(col: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """(start, length) of consecutive texts of about ``limit`` bytes together, one text at least."""
+    size = np.cumsum([0, *pc.fill_null(pc.binary_length(col.cast(pa.binary())), 0).to_pylist()])
+    at = 0
+    while at < len(col):
+        end = max(at + 1, int(np.searchsorted(size, size[at] + limit, "right")) - 1)
+        yield at, end - at
+        at = end

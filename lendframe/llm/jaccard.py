@@ -34,9 +34,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lendframe.llm.common import stored, utf8
+from lendframe.llm.common import slices, stored, utf8
 from lendframe.llm.components import connected_components
-from lendframe.llm.maxent_lm import grouped
 
 #: Bounds of one slice of a tile: shingles and sets.
 SLICE_SHINGLES, SLICE_SETS = 1 << 20, 1024
@@ -142,10 +141,9 @@ def _signed(rows: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches):
         hashes, bands = WordHashes(), Bands(percent, 1 << 12)
         for b in batches:
-            at = 0
-            for part in grouped(utf8(b.column(1))):
+            for at, k in slices(b.column(1)):
                 n, lo, hi, found = [], [], [], []
-                for t in part:
+                for t in utf8(b.column(1).slice(at, k)):
                     h = shingles(t, width, hashes)
                     if len(h) > bands.most:
                         bands = Bands(percent, 2 * len(h))
@@ -154,13 +152,11 @@ def _signed(rows: DataFrame, width: int, percent: int) -> DataFrame:
                     hi.append(mix(h, 61).sum(dtype=np.uint64))
                     found.append(keys(h, bands))
                 offsets = np.cumsum([0, *map(len, found)])
-                k = len(part)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, k), b.column(2).slice(at, k), pa.array(n, pa.int64()),
                      *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (lo, hi)),
                      pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))],
                     names=["id", "th", "n", "lo", "hi", "keys"])
-                at += k
     id_type = rows.schema["id"].dataType.simpleString()
     return stored(rows.mapInArrow(run, f"id {id_type}, th bigint, n bigint, lo bigint, hi bigint, keys array<bigint>"), "signed")
 
@@ -223,10 +219,10 @@ def _placed(rows: DataFrame, tiled: DataFrame, width: int) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            texts, node, size, tiles = (utf8(b.column(0)), *(b.column(i).to_pylist() for i in range(1, 4)))
+            node, size, tiles = (b.column(i).to_pylist() for i in range(1, 4))
             out, held = [], 0
-            for i, x in enumerate(texts):
-                h = shingles(x, width, hashes)
+            for i in range(b.num_rows):
+                h = shingles(utf8(b.column(0).slice(i, 1))[0], width, hashes)
                 for t in tiles[i]:
                     out.append((*t.values(), node[i], size[i], len(h), h.tobytes()))
                     held += h.nbytes

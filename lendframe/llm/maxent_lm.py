@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lendframe.llm.common import stored, utf8
+from lendframe.llm.common import slices, stored, utf8
 from lendframe.llm.training import sum_vectors
 
 #: Bound of what tasks hold: the commonest words and their counts.
@@ -79,10 +79,11 @@ def _count(docs: DataFrame) -> DataFrame:
             rest.clear()
             return r
         for b in batches:
-            for t, held in zip(utf8(b.column(0)), b.column(1).to_pylist(), strict=True):
-                (rest if held else train).update(t.lower().split())
-                if len(train) + len(rest) > FLUSH:
-                    yield out()
+            for start, k in slices(b.column(0)):
+                for t, held in zip(utf8(b.column(0).slice(start, k)), b.column(1).slice(start, k).to_pylist(), strict=True):
+                    (rest if held else train).update(t.lower().split())
+                    if len(train) + len(rest) > FLUSH:
+                        yield out()
         if train or rest:
             yield out()
     parts = docs.select("t", "held").mapInArrow(run, "w binary, n bigint, n_all bigint")
@@ -204,8 +205,8 @@ def _gathered(train: DataFrame, held) -> DataFrame:
         def out(key, n):
             return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(n.astype(np.int64))], names=["key", "n"])
         for b in batches:
-            for part in grouped(utf8(b.column(0))):
-                _, kind, context, _, _ = model.read(part)
+            for start, k in slices(b.column(0)):
+                _, kind, context, _, _ = model.read(utf8(b.column(0).slice(start, k)))
                 seen += sum(np.bincount(r * CLASSES + kind, minlength=ROWS * CLASSES) for r in feature_rows(context))
                 key, n = np.unique(context, return_counts=True)
                 counts[key] += n.astype(np.int32)
@@ -247,19 +248,6 @@ def _head(counts: DataFrame) -> pa.Table:
     return rows.select("w", "n", "n_all", "k").toArrow().sort_by([("n_all", "descending"), ("w", "ascending")])
 
 
-def grouped(texts: list[bytes], limit: int = 1_000_000):
-    """Consecutive texts of about ``limit`` bytes together."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= limit:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def fit(rows: DataFrame) -> tuple[Model, DataFrame]:
     """Model and word counts from ``t`` and ``held`` (true: not for training)."""
     counts = _count(rows)
@@ -315,30 +303,24 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     def run(batches):
         mod, part, n_row = sent.value, TaskContext.get().partitionId(), 0
         norms = np.full(CONTEXTS, np.nan, np.float32)
-        tail_type = pa.list_(pa.struct([("w", pa.binary()), ("tf", pa.int32())]))
         for b in batches:
-            texts = utf8(b.column(1))
-            n_tok, known, base, total, tails = [], [], [], [], []
-            for group in grouped(texts):
-                code, kind, context, size, outside = mod.read(group)
+            for start, k in slices(b.column(1)):  # one group of texts at a time, sent on before the next is read
+                code, kind, context, size, outside = mod.read(utf8(b.column(1).slice(start, k)))
                 at = np.cumsum(size) - size
-                n_tok.append(size)
-                known.append(np.add.reduceat(mod.known[code].astype(np.int64), at))
-                base.append(np.add.reduceat(mod.base[code], at))
-                total.append(np.add.reduceat(mod.class_log10(kind, context, norms) + mod.within[code], at))
-                doc = np.searchsorted(at, [i for i, _ in outside], "right") - 1
-                found = [Counter() for _ in group]
-                for d, (_, w) in zip(doc.tolist(), outside, strict=True):
-                    found[d][w] += 1
-                tails += [[{"w": w, "tf": c} for w, c in f.items()] for f in found]
-            k = len(texts)
-            uid = (np.int64(part) << 40) + np.arange(n_row, n_row + k)
-            n_row += k
-            cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(uid), cat(n_tok, pa.int64()), cat(known, pa.int64()),
-                 cat(base, pa.float64()), cat(total, pa.float64()), pa.array(tails, tail_type)],
-                names=["id", "held", "uid", "n_tokens", "n_known", "base", "total", "tail"])
+                total = np.add.reduceat(mod.class_log10(kind, context, norms) + mod.within[code], at)
+                # words outside the head: counted per document and word
+                words = pa.array([w for _, w in outside], pa.binary()).dictionary_encode()
+                doc = np.searchsorted(at, np.array([i for i, _ in outside], np.int64), "right") - 1
+                m = max(1, len(words.dictionary))
+                pair, tf = np.unique(doc * m + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                entry = pa.StructArray.from_arrays([words.dictionary.take(pa.array(pair % m)), pa.array(tf, pa.int32())], names=["w", "tf"])
+                tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(pair // m, np.arange(k + 1)), pa.int32()), entry)
+                uid = (np.int64(part) << 40) + np.arange(n_row, n_row + k)
+                n_row += k
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(start, k), b.column(2).slice(start, k), pa.array(uid), pa.array(size),
+                     pa.array(np.add.reduceat(mod.known[code].astype(np.int64), at)), pa.array(np.add.reduceat(mod.base[code], at)),
+                     pa.array(total), tail], names=["id", "held", "uid", "n_tokens", "n_known", "base", "total", "tail"])
     schema = (f"id {docs.schema[id_col].dataType.simpleString()}, held boolean, uid bigint, n_tokens bigint, n_known bigint, "
               "base double, total double, tail array<struct<w:binary,tf:int>>")
     part = stored(rows.select("id", "t", "held").mapInArrow(run, schema), "partial_scores")
