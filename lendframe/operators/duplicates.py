@@ -8,12 +8,16 @@ bounded number of leading rows of their neighbourhood per round.
 
 import itertools
 import math
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from lendframe.session import checkpoint
+from lendframe.operators.stats import distinct_counts, long_cells
+from lendframe.session import saved
 
 #: Rows of one grid cell that one task compares.
 CELL_ROWS = 4096
@@ -149,10 +153,90 @@ def sequence_ratio(pairs: DataFrame, left: str, right: str, out: str = "ratio")
     return pairs.withColumn(out, ratio(F.col(left), F.col(right)))
 
 
-# --- fuzzy groups -------------------------------------------------------------------------------
+# --- greedy leaders -----------------------------------------------------------------------------
+
+def greedy_leaders(rows: DataFrame, cells: Column, offered: Column, similar: Column,
+                   verify: Callable[[DataFrame], DataFrame] | None = None, pivots: int = 32) -> DataFrame:
+    """``(id, leader)``, exact: by rising id, a row joins the smallest leader similar to it, else becomes a leader itself.
+
+    ``rows`` has ``id``, ``v`` and what the expressions read. ``cells`` and ``offered`` are arrays of ``(cell, pos)``: where a row is, and where rows
+    similar to it can be. ``similar`` is a condition on ``v, pos`` and ``pv, ppos`` of two rows that meet in a cell; ``verify`` may
+    then filter pairs ``(id, pid)`` once more.
+
+    Per round each cell offers its smallest ``pivots`` undecided rows, twice as many in the next round, so that a hot cell of m rows costs m x pivots comparisons and
+    never m x m. The similar pairs of a round are listed once, and decided on that list alone: a pivot without a smaller undecided similar
+    row leads, rows similar to a leader that is smaller are settled, and so on until nothing moves. The smallest undecided row of all is decided in every round.
+    """
+    rows = saved(rows, "rows")
+
+    def placed(part: DataFrame) -> DataFrame:
+        return part.select("id", "v", F.explode(cells).alias("c")).select("id", "v", "c.cell", "c.pos")
+
+    def offers(part: DataFrame) -> DataFrame:
+        o = part.select(F.col("id").alias("pid"), F.col("v").alias("pv"), F.explode(offered).alias("c"))
+        return o.select("pid", "pv", "c.cell", F.col("c.pos").alias("ppos"))
+
+    def pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+        met = _meet(left, right).where(condition & similar).select("id", "pid").distinct()
+        return saved(verify(saved(met, "met")) if verify else met, "hits")
+    first = Window.partitionBy("cell").orderBy("id")
+    live, settled, found = rows, None, None
+    while not live.isEmpty():
+        at = placed(live)
+        # row_number with a limit keeps only `pivots` rows per cell in every task before the shuffle
+        pivot = saved(at.select("id", "cell").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= pivots).select("id").distinct(), "pivots")
+        hits = pairs(at, offers(live.join(pivot, "id", "left_semi")), F.col("id") != F.col("pid"))
+        edges = saved(hits.select(F.least("id", "pid").alias("lo"), F.greatest("id", "pid").alias("hi")).distinct(), "edges")
+        marks, open_pivots = None, pivot
+        while True:
+            lead = open_pivots.join(edges.select(F.col("hi").alias("id")).distinct(), "id", "left_anti")
+            lost = edges.join(lead.select(F.col("id").alias("lo")), "lo", "left_semi").select(F.col("hi").alias("id")).distinct()
+            mark = saved(lead.select("id", F.lit(True).alias("leads")).unionByName(lost.select("id", F.lit(False).alias("leads"))), "marks")
+            if mark.isEmpty():
+                break
+            marks = mark if marks is None else marks.unionByName(mark)
+            out = mark.where("not leads").select("id")
+            edges = saved(edges.join(out.withColumnRenamed("id", "hi"), "hi", "left_anti").join(
+                out.withColumnRenamed("id", "lo"), "lo", "left_anti"), "edges")
+            open_pivots = open_pivots.join(mark, "id", "left_anti")
+        marks = saved(marks, "marks")
+        leaders = marks.where("leads").select("id")
+        new = hits.where("pid < id").join(leaders.withColumnRenamed("id", "pid"), "pid", "left_semi").select("id", "pid")
+        if settled is not None:  # a later leader may be smaller than the one that settled a row
+            new = new.unionByName(pairs(placed(rows.join(settled, "id", "left_semi")), offers(rows.join(leaders, "id", "left_semi")),
+                                        F.col("pid") < F.col("id")))
+        found = new if found is None else found.unionByName(new)
+        lost = marks.where("not leads").select("id")
+        settled = lost if settled is None else settled.unionByName(lost)
+        live = saved(live.join(marks, "id", "left_anti"), "live")
+        pivots *= 2
+    if found is None:
+        return rows.select("id", F.col("id").alias("leader"))
+    best = found.groupBy("id").agg(F.min("pid").alias("pid"))
+    return saved(rows.select("id").join(best, "id", "left").select("id", F.coalesce("pid", "id").alias("leader")), "leaders")
+
+
+def _meet(rows: DataFrame, offers: DataFrame) -> DataFrame:
+    """Rows with the offers addressed to their cell.
+
+    Cells above ``CELL_ROWS`` rows are cut into that many slices, and an offer goes to every slice of its cell, so
+    no task gets a whole hot cell. Offers to empty cells fall away. The partition number is fixed because the work
+    grows with pairs, which size-based merging of partitions does not see.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    occupied = saved(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CELL_ROWS))).cast("int").alias("_s")), "occupied")
+    left = rows.join(occupied.where("_s > 1"), "cell", "left").withColumn(
+        "_slice", F.coalesce(F.pmod(F.xxhash64("id"), F.col("_s")).cast("int"), F.lit(0))).drop("_s")
+    right = offers.join(occupied, "cell").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
+    return left.repartition(n, "cell", "_slice").join(right.repartition(n, "cell", "_slice"), ["cell", "_slice"])
+
+
+# --- fuzzy groups of rows -----------------------------------------------------------------------
 
 #: Grid cells per dissimilarity bound.
 FINENESS = 2
+#: Text columns with at most that many values of at most that many letters are cells by value, not by length.
+DICTIONARY, DICTIONARY_LETTERS = 64, 64
 
 
 def _cell(c: str, k: str, drop: float) -> Column:
@@ -190,6 +274,44 @@ def _grids(columns: list[str], types, w: dict[str, float], budget: float, grid:
     return [[]]  # no column bounds a pair: one cell for all rows
 
 
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _dictionaries(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """The values of the columns that have few and short ones."""
+    cells = df.select(*[F.lower(F.col(c).cast("string")).alias(c) for c in columns])
+    if not columns:
+        return {}
+    counts = distinct_counts(cells, columns)
+    few = [c for c in columns if counts[c] <= DICTIONARY]
+    out: dict[str, list[str]] = {c: [] for c in few}
+    for r in long_cells(cells, few).where("value is not null").distinct().collect() if few else ():  # bounded a column
+        out[r["column"]].append(r["value"])
+    return {c: sorted(v) for c, v in out.items() if all(len(x) <= DICTIONARY_LETTERS for x in v)}
+
+
+def _near_codes(values: list[str], drop: float) -> Column:
+    """For every code (the last one is null's) the codes of values whose dissimilarity is at most ``drop``."""
+    near = [[j for j, b in enumerate(values) if abs(len(a) - len(b)) <= drop * max(len(a), len(b), 1) and (
+        edit_distance(a, b) <= drop * max(len(a), len(b), 1))] for a in values]
+    return F.array(*[F.array(*[F.lit(j).cast("bigint") for j in n]) for n in [*near, [len(values)]]])
+
+
+def _times(places: Column, values: Column) -> Column:
+    """Every coordinate list with every value after it."""
+    return F.flatten(F.transform(places, lambda p: F.transform(values, lambda x: F.concat(p, F.array(x)))))
+
+
+def _hashed(places: Column, grid: int) -> Column:
+    return F.transform(places, lambda p: F.xxhash64(F.lit(grid), p))
+
+
 def fuzzy_leaders(df: DataFrame, id_col: str, columns: list[str], threshold: float = 0.9,
                   grid: list[str] | None = None, weights: dict[str, float] | None = None,
                   pivots: int = 32) -> DataFrame:
@@ -198,85 +320,54 @@ def fuzzy_leaders(df: DataFrame, id_col: str, columns: list[str], threshold: flo
 
     Equal rows are folded first. A pair above the threshold can lose at most ``(1 - t) x total weight``, so it lies
     in the same or a close cell of a grid over a few columns (of one of several grids, if one column's weight is less
-    than that loss); no other pair is looked at. Per round each cell offers its smallest ``pivots`` undecided rows: a pivot without a smaller
-    undecided similar row is a leader, and rows similar to a smaller leader are settled. So a hot cell of m rows
-    costs m x pivots comparisons per round, not m x m. The smallest undecided row of all is settled in every round,
-    and rounds go on until no row is left.
+    than that loss); no other pair is looked at. Columns with few values are coordinates too: rows meet only if their values are close enough.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     w = {**WEIGHTS, **(weights or {})}
     total = sum(w[kind(types[c])] for c in columns)
-    groups = _grids(columns, types, w, (1.0 - threshold) * total, grid)
-    budget = (1.0 - threshold) * total / len(groups)
-    loss = {c: budget / w[kind(types[c])] for g in groups for c in g}
+    whole = (1.0 - threshold) * total
+    groups = _grids(columns, types, w, whole, grid)
+    budget = whole / len(groups)
+    slack = lambda x: x * (1 + 1e-9) + 1e-12
+    known = _dictionaries(df, [c for c in columns if kind(types[c]) != "numeric" and whole / w[kind(types[c])] < 1.0])
     # copies: one representative per distinct row, with its smallest id
     reps = df.groupBy(row_key(columns).alias("_k")).agg(
         F.min(id_col).alias("id"), F.min_by(F.struct(*[
             (F.col(c).cast("double") if kind(types[c]) == "numeric" else F.lower(F.col(c).cast("string"))).alias(c)
             for c in columns]), id_col).alias("v"))
     empty = F.array().cast("array<bigint>")
-    cells = [F.array(*[_cell(f"v.{c}", kind(types[c]), loss[c] * (1 + 1e-9) + 1e-12) for c in g]) if g else empty for g in groups]
-    # the join key is a 64-bit hash of grid and coordinates; a collision only adds a pair that is then compared
-    key = lambda coords: F.xxhash64("g", coords)
-    every = reps.select("*", F.posexplode(F.array(*cells)).alias("g", "at"))
-    every = checkpoint(every.withColumn("cell", key(F.col("at"))))
-    live = every.drop("_k")
-    near = []
-    for g in groups:
+    here, near = [], []
+    for i, g in enumerate(groups):
+        plain = [c for c in g if c not in known]
+        loss = {c: budget / w[kind(types[c])] for c in plain}
+        at = [_cell(f"v.{c}", kind(types[c]), slack(loss[c])) for c in plain]
         moves = []
-        for m in itertools.product(range(-FINENESS, FINENESS + 1), repeat=len(g)):
+        for m in itertools.product(range(-FINENESS, FINENESS + 1), repeat=len(plain)):
             # cells m apart differ by at least (|m| - 1) steps; drop moves that already cost more than the budget
-            least = sum(w[kind(types[c])] * (1.0 - (1.0 - loss[c]) ** (max(abs(d) - 1, 0) / FINENESS)) for c, d in zip(g, m))
+            least = sum(w[kind(types[c])] * (1.0 - (1.0 - loss[c]) ** (max(abs(d) - 1, 0) / FINENESS)) for c, d in zip(plain, m))
             if least <= budget * (1 + 1e-9):
-                moves.append(m)
-        near.append(F.array(*[F.array(*[F.lit(d).cast("bigint") for d in m]) if m else empty for m in moves]))
-    near = F.get(F.array(*near), F.col("g"))
-
-    def offers(rows: DataFrame) -> DataFrame:
-        o = rows.select(F.col("id").alias("pid"), F.col("v").alias("pv"), "g", "at", F.explode(near).alias("m"))
-        return o.select("pid", "pv", key(F.zip_with("at", "m", lambda a, b: a + b)).alias("cell"))
+                moves.append(F.array(*[x + d for x, d in zip(at, m)]) if m else empty)
+        places = F.array(*moves)
+        for c, values in known.items():
+            # outside the group a column may lose the whole budget
+            drop = slack((budget if c in g else whole) / w[kind(types[c])])
+            code = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in values]).cast("array<string>"), F.col(f"v.{c}")) - 1, F.lit(len(values)))
+            at.append(code)
+            close = F.get(_near_codes(values, drop), code.cast("int"))
+            places = _times(places, close)
+        here.append(F.xxhash64(F.lit(i), F.array(*at) if at else empty))
+        near.append(_hashed(places, i))
+    # cells are 64-bit hashes of grid and coordinates; a collision only adds a pair that is then compared
+    point = lambda x: F.struct(x.alias("cell"), F.lit(0).alias("pos"))
     # the cheap numeric part alone already refutes most pairs before any edit distance is computed
     sim = _struct_similarity(types, [c for c in columns if kind(types[c]) == "numeric"], w, total)
     similar = (sim >= threshold) & (_struct_similarity(types, columns, w, total) >= threshold)
-    first = Window.partitionBy("cell").orderBy("id")
-    leaders: DataFrame | None = None
-    while not live.isEmpty():
-        # row_number with a limit keeps only `pivots` rows per cell in every task before the shuffle
-        piv = live.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= pivots).drop("_r")
-        if len(groups) > 1:  # a pivot of one grid is offered in all of them
-            piv = live.join(piv.select("id").distinct(), "id", "left_semi")
-        hits = checkpoint(_meet(live, offers(piv)).where((F.col("id") != F.col("pid")) & similar).select("id", "pid").distinct())
-        # a pivot with a smaller similar row that is still undecided has to wait
-        blocked = hits.where("id < pid").select(F.col("pid").alias("id")).distinct()
-        chosen = piv.select("id").distinct().join(blocked, "id", "left_anti")
-        chosen = checkpoint(live.join(chosen, "id", "left_semi"))
-        settled = hits.where("pid < id").join(chosen.select(F.col("id").alias("pid")).distinct(), "pid", "left_semi").select("id").distinct()
-        live = checkpoint(live.join(chosen.select("id").distinct(), "id", "left_anti").join(settled, "id", "left_anti"))
-        leaders = chosen if leaders is None else leaders.unionByName(chosen)
-    if leaders is None:
-        leaders = live
-    # final assignment: the smallest similar leader. Leaders are pairwise dissimilar, so a cell holds few of them.
-    own = _meet(every.drop("at", "g"), offers(leaders)).where(
-        (F.col("pid") == F.col("id")) | ((F.col("pid") < F.col("id")) & similar))
-    best = own.groupBy("_k").agg(F.min(F.struct((F.col("pid") != F.col("id")).alias("o"), "pid")).alias("b"))
-    best = best.select("_k", F.col("b.pid").alias("leader"))
+    reps = saved(reps, "distinct")
+    lead = greedy_leaders(reps.select("id", "v"), F.transform(F.array(*here), point), F.transform(F.concat(*near), point), similar, pivots=pivots)
+    best = reps.select("_k", "id").join(lead, "id").select("_k", "leader")
     return df.select(F.col(id_col), row_key(columns).alias("_k")).join(best, "_k").select(id_col, "leader")
 
 
-def _meet(rows: DataFrame, offers: DataFrame) -> DataFrame:
-    """Rows with the offers addressed to their cell.
-
-    Cells above ``CELL_ROWS`` rows are cut into that many slices, and an offer goes to every slice of its cell, so
-    no task gets a whole hot cell. Offers to empty cells fall away. The partition number is fixed because the work
-    grows with pairs, which size-based merging of partitions does not see.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    occupied = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CELL_ROWS))).cast("int").alias("_s"))
-    left = rows.join(occupied, "cell").withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_s")).cast("int")).drop("_s")
-    right = offers.join(occupied, "cell").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
-    return left.repartition(n, "cell", "_slice").join(right.repartition(n, "cell", "_slice"), ["cell", "_slice"])
-
-
 def _struct_similarity(types, columns, w, total) -> Column:
     """Similarity of ``v`` and ``pv`` with full marks for the columns left out."""
     rest, s = total, F.lit(0.0)
@@ -287,6 +378,87 @@ def _struct_similarity(types, columns, w, total) -> Column:
     return (s + max(rest, 0.0)) / total
 
 
+# --- fuzzy groups of texts ----------------------------------------------------------------------
+
+#: Grams whose frequency tasks know; all others are rarer.
+FREQUENT = 1 << 16
+
+
+def grams(text: Column, q: int, unit: str = "word") -> Column:
+    """Distinct grams of ``q`` words or letters, lower-cased, as hashes; a shorter text is one gram, an empty one none."""
+    t = F.lower(text)
+    parts = F.filter(F.split(t, r"\s+"), lambda x: x != "") if unit == "word" else F.split(t, "")
+
+    def cut(p: Column) -> Column:
+        n = F.size(p)
+        return F.when(n >= q, F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(p, i, q)))).when(
+            n > 0, F.array(F.xxhash64(p)))
+    # as the variable of a lambda the parts are made once a text, not once a gram
+    found = F.get(F.transform(F.array(parts), cut), F.lit(0))
+    return F.array_distinct(F.coalesce(found, F.array().cast("array<bigint>")))
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent grams, at most ``FREQUENT``, and their numbers of texts: whole classes of frequency, the highest first."""
+    n = sets.select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    n = saved(n.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "grams")
+    held, cut = 0, None
+    for r in sorted(n.groupBy("level").count().collect(), reverse=True):  # at most 8 a power of two
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        cut = r["level"]
+    rows = n.where(F.col("level") >= cut).select("g", "n").toArrow().sort_by("g") if cut is not None else None
+    return tuple(rows.column(i).to_numpy() for i in range(2)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def text_leaders(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, q: int = 2, unit: str = "word",
+                 pivots: int = 32) -> DataFrame:
+    """Greedy leader groups of texts as ``(id, leader)``, exact, by the Jaccard similarity of their sets of grams.
+
+    Equal sets are folded first. Grams are ordered from rare to frequent; two similar sets share one of their first ``n - ceil(t n) + 1`` grams, so an inverted index
+    of these prefixes has all pairs. Sizes and places bound the overlap before the sets themselves are joined and compared.
+    Nulls are equal to each other and empty texts too, but neither is similar to anything else.
+    """
+    g = grams(F.col(text_col), q, unit)
+    key = F.when(F.col(text_col).isNull(), F.lit("null")).otherwise(F.md5(F.to_json(F.struct(F.array_sort(g).alias("g")))))
+    keyed = saved(df.select(F.col(id_col).alias("id"), key.alias("_k"), F.coalesce(g, F.array().cast("array<bigint>")).alias("g")), "grams")
+    reps = saved(keyed.groupBy("_k").agg(F.min("id").alias("id"), F.first("g").alias("g")), "sets")
+    frequent = df.sparkSession.sparkContext.broadcast(_frequent(reps))
+
+    def run(batches):
+        names, count = frequent.value
+        for b in batches:
+            prefixes = []
+            for x in b.column(1):
+                h = np.array(x.as_py(), np.int64)
+                n = len(h)
+                if n and len(names):
+                    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                    h = h[np.lexsort((h, np.where(names[at] == h, count[at], 0)))]
+                else:
+                    h.sort()
+                prefixes.append(h[:n - math.ceil(threshold * n - 1e-9) + 1] if n else h)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in b.column(1)], pa.int32()),
+                                              pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n", "prefix"])
+    id_type = reps.schema["id"].dataType.simpleString()
+    rows = reps.select("id", "g").mapInArrow(run, f"id {id_type}, n int, prefix array<bigint>").select("id", F.struct("n").alias("v"), "prefix")
+    cells = F.transform("prefix", lambda x, i: F.struct(x.alias("cell"), i.alias("pos")))
+    a, b = F.col("v.n"), F.col("pv.n")
+    most = F.least(a - F.col("pos"), b - F.col("ppos"))  # overlap from the shared gram on; grams before it are in prefixes and met earlier
+    need = threshold / (1 + threshold) * (a + b) - 1e-9
+    similar = (F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9) & (most + F.least("pos", "ppos") >= need)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        x, y = reps.select("id", F.col("g").alias("ga")), reps.select(F.col("id").alias("pid"), F.col("g").alias("gb"))
+        shared = F.size(F.array_intersect("ga", "gb"))
+        union = F.size("ga") + F.size("gb") - shared
+        return pairs.join(x, "id").join(y, "pid").where(shared >= threshold * union - 1e-9).select("id", "pid")
+    lead = greedy_leaders(rows, cells, cells, similar, verify, pivots)
+    best = reps.select("_k", "id").join(lead, "id").select("_k", "leader")
+    return keyed.select(F.col("id").alias(id_col), "_k").join(best, "_k").select(id_col, "leader")
+
+
 def fuzzy_summary(groups: DataFrame, id_col: str) -> DataFrame:
     """Group sizes of leader groups with more than one member."""
     g = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("members")).where("members > 1")

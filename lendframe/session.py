@@ -78,3 +78,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     _folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: a cut of the lineage whose size Spark knows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

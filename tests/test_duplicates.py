@@ -102,6 +102,59 @@ def test_fuzzy_goes_on_until_settled(spark):
 
 
 
+def brute_texts(rows, t, q):
+    def cut(x):
+        w = x.lower().split()
+        return frozenset(tuple(w[i:i + q]) for i in range(len(w) - q + 1)) if len(w) >= q else frozenset([tuple(w)] if w else [])
+    sets = {i: None if x is None else cut(x) for i, x in rows}
+
+    def similar(a, b):
+        if a is None or b is None or not a or not b:
+            return a == b
+        return len(a & b) >= t * len(a | b) - 1e-9
+    leaders, out = [], {}
+    for i in sorted(sets):
+        out[i] = next((j for j in leaders if similar(sets[i], sets[j])), i)
+        if out[i] == i:
+            leaders.append(i)
+    return out
+
+
+def test_text_leaders_match_greedy_order(spark, monkeypatch):
+    """A hot cluster, a passage in a third of the texts, copies, nulls, empty and one-word texts, few pivots, known and unknown frequencies."""
+    monkeypatch.setattr(dup, "CELL_ROWS", 16)
+    rnd = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(12))
+    hot = [f"h{i}" for i in range(40)]
+    rows = []
+    for i in range(160):
+        if rnd.random() < 0.4:
+            w = list(hot)
+            for _ in range(rnd.randrange(4)):
+                w[rnd.randrange(40)] = f"x{rnd.randrange(9)}"
+        else:
+            w = [f"w{rnd.randrange(400)}" for _ in range(rnd.choice([1, 2, 5, 30, 60]))] + ([passage] if rnd.random() < 0.5 else [])
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, rows[i][1].upper()) for i in range(0, 160, 7)] + [(300, None), (301, None), (302, ""), (303, "  "), (304, "one"), (305, "One")]
+    df = spark.createDataFrame(rows, "id bigint, body string")
+    for t, q, frequent in ((0.9, 2, 1 << 16), (0.7, 1, 20), (0.9, 1, 0)):
+        monkeypatch.setattr(dup, "FREQUENT", frequent)
+        got = {r["id"]: r["leader"] for r in dup.text_leaders(df, "id", "body", t, q=q, pivots=2).collect()}
+        assert got == brute_texts(rows, t, q)
+        assert len(set(got.values())) < len(got) - 40
+    assert dup.text_leaders(df.limit(0), "id", "body").count() == 0
+
+
+def test_hot_cells_are_sliced(spark, monkeypatch):
+    """No cell of a comparison has more rows than a slice may have by much, though one cell has all rows."""
+    monkeypatch.setattr(dup, "CELL_ROWS", 50)
+    rows = spark.range(2000).select("id", F.lit(7).cast("bigint").alias("cell"))
+    offers = spark.range(3).select(F.col("id").alias("pid"), F.lit(7).cast("bigint").alias("cell"))
+    met = dup._meet(rows, offers)
+    assert met.count() == 6000
+    assert met.groupBy("_slice").agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0] < 100
+
+
 def test_no_cross_join_in_pair_step(spark):
     rows = spark.createDataFrame([(1, 5), (2, 5)], "id bigint, cell bigint")
     offers = rows.select(F.col("id").alias("pid"), "cell")
