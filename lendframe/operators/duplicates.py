@@ -180,7 +180,7 @@ def greedy_leaders(rows: DataFrame, cells: Column, offered: Column, similar: Col
         met = _meet(left, right).where(condition & similar).select("id", "pid").distinct()
         return saved(verify(saved(met, "met")) if verify else met, "hits")
     first = Window.partitionBy("cell").orderBy("id")
-    live, settled, found = rows, None, None
+    live, settled, found = rows.where(F.size(cells) > 0), None, None  # a row without cells leads itself
     while not live.isEmpty():
         at = placed(live)
         # row_number with a limit keeps only `pivots` rows per cell in every task before the shuffle

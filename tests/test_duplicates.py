@@ -135,7 +135,7 @@ def test_text_leaders_match_greedy_order(spark, monkeypatch):
         else:
             w = [f"w{rnd.randrange(400)}" for _ in range(rnd.choice([1, 2, 5, 30, 60]))] + ([passage] if rnd.random() < 0.5 else [])
         rows.append((i, " ".join(w)))
-    rows += [(200 + i, rows[i][1].upper()) for i in range(0, 160, 7)] + [(300, None), (301, None), (302, ""), (303, "  "), (304, "one"), (305, "One")]
+    rows += [(200 + i, rows[i][1].upper()) for i in range(0, 160, 7)] + [(400, None), (401, None), (402, ""), (403, "  "), (404, "one"), (405, "One")]
     df = spark.createDataFrame(rows, "id bigint, body string")
     for t, q, frequent in ((0.9, 2, 1 << 16), (0.7, 1, 20), (0.9, 1, 0)):
         monkeypatch.setattr(dup, "FREQUENT", frequent)
