@@ -47,6 +47,11 @@ def label_table(df: DataFrame, column: str) -> DataFrame:
     return ordered_row_number(values, ["value"], "code").withColumn("code", (F.col("code") - 1).cast("int"))
 
 
+def label_table_of(values: DataFrame, column: str) -> DataFrame:
+    """``(value, code)`` of one column from the stored values of :class:`~lendframe.operators.stats.Answers`."""
+    return label_table(values.where(F.col("column") == column).select(F.col("value").alias(column)), column)
+
+
 def one_hot_sparse(df: DataFrame, column: str, table: DataFrame, out: str | None = None) -> DataFrame:
     """One sparse 0/1 vector instead of a column per category: no limit on their number.
 
@@ -111,6 +116,13 @@ def fit_target(df: DataFrame, column: str, label: str, smoothing: float = 1.0) -
     return TargetEncoding(column, t.select("value", "n", enc.alias("encoded")), g)
 
 
+def target_from_values(values: DataFrame, column: str, global_mean: float, smoothing: float = 1.0) -> TargetEncoding:
+    """The encoding of one column from the stored values of :class:`~lendframe.operators.stats.Answers`; no job."""
+    t = values.where((F.col("column") == column) & (F.col("labelled") > 0))
+    enc = (F.col("label_sum") + F.lit(smoothing * global_mean)) / (F.col("labelled") + F.lit(float(smoothing)))
+    return TargetEncoding(column, t.select("value", F.col("labelled").alias("n"), enc.alias("encoded")), global_mean)
+
+
 def apply_target(df: DataFrame, enc: TargetEncoding, out: str | None = None) -> DataFrame:
     """Unseen values and nulls take the global mean."""
     t = enc.table.select(F.col("value").alias("_v"), F.col("encoded").alias("_e"))

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lendframe.operators.stats import column_stats, exact_quantiles, modes, numeric_columns, params_frame, profile
+from lendframe.operators.stats import Answers, column_stats, exact_quantiles, modes, numeric_columns, params_frame, profile
 
 
 @dataclass
@@ -24,15 +24,16 @@ def _null_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
 
 def fit_imputer(df: DataFrame, strategies: dict[str, str] | None = None, *, default_numeric: str = "median",
                 default_other: str = "mode", constants: dict[str, Any] | None = None,
-                exclude: tuple[str, ...] = (), only_with_nulls: bool = True) -> ImputeParams:
+                exclude: tuple[str, ...] = (), only_with_nulls: bool = True, answers: Answers | None = None) -> ImputeParams:
     """Strategies: mean, median, mode, constant (0 or 'Unknown' unless given), drop.
 
-    At most four jobs whatever the number of columns: null counts, means, medians, modes.
+    At most four jobs whatever the number of columns: null counts, means, medians, modes. With ``answers`` (moments and medians
+    of the numeric columns, values of the others) only a mode is read, from the stored values.
     """
     strategies, constants = strategies or {}, constants or {}
     cols = [c for c in df.columns if c not in exclude]
     if only_with_nulls:
-        nulls = _null_counts(df, cols)
+        nulls = {c: answers.nulls(c) for c in cols} if answers else _null_counts(df, cols)
         cols = [c for c in cols if nulls[c] > 0]
     numeric = set(numeric_columns(df))
     p = ImputeParams()
@@ -40,15 +41,21 @@ def fit_imputer(df: DataFrame, strategies: dict[str, str] | None = None, *, defa
         p.strategy[c] = strategies.get(c, default_numeric if c in numeric else default_other)
     by = lambda s: [c for c in cols if p.strategy[c] == s]
     if by("mean"):
-        for c, s in column_stats(df, by("mean"), quantiles=()).items():
-            p.fill[c] = s.mean
+        for c, s in (answers.stats if answers else column_stats(df, by("mean"), quantiles=())).items():
+            if c in by("mean"):
+                p.fill[c] = s.mean
     if by("median"):
-        for c, q in exact_quantiles(df, {c: (0.5,) for c in by("median")}).items():
-            p.fill[c] = q[0.5]
+        q = {c: answers.stats[c].quantiles for c in by("median")} if answers else exact_quantiles(df, {c: (0.5,) for c in by("median")})
+        for c in by("median"):
+            p.fill[c] = q[c][0.5]
     if by("mode"):
         types = {f.name: f.dataType for f in df.schema.fields}
-        for r in modes(df, by("mode")).collect():  # one row per column
-            p.fill[r["column"]] = _from_text(r["value"], types[r["column"]])
+        listed = [c for c in by("mode") if answers and c in answers.distinct]
+        found = answers.modes(listed) if listed else {}
+        rest = [c for c in by("mode") if c not in listed and not (answers and c in answers.filled)]
+        found |= {r["column"]: r["value"] for r in modes(df, rest).collect()} if rest else {}  # one row per column
+        for c, v in found.items():
+            p.fill[c] = _from_text(v, types[c])
     for c in by("constant"):
         p.fill[c] = constants.get(c, 0 if c in numeric else "Unknown")
     p.drop = by("drop")

@@ -87,6 +87,16 @@ def fit_ratios(df: DataFrame, pairs: list[tuple[str, str]]) -> RatioParams:
     return RatioParams({c: v[0.5] for c, v in q.items()})
 
 
+def fit_medians(df: DataFrame, ratios: list[tuple[str, str]], formulas: dict[str, tuple[str, str | None]]) -> tuple[RatioParams, dict[str, float]]:
+    """Medians of ratios and of the denominators of domain formulas, all in one exact-quantile pass."""
+    ratios = list(dict.fromkeys(ratios))
+    cols = sorted({d for _, d in formulas.values() if d})
+    r = df.select(*[_ratio(a, b).alias(f"{a}_to_{b}_ratio") for a, b in ratios], *[F.nullif(F.col(c), F.lit(0)).alias(c) for c in cols])
+    q = exact_quantiles(r, {c: (0.5,) for c in r.columns})
+    return (RatioParams({f"{a}_to_{b}_ratio": q[f"{a}_to_{b}_ratio"][0.5] for a, b in ratios}),
+            {c: 1.0 if q[c][0.5] is None else q[c][0.5] for c in cols})
+
+
 def add_ratios(df: DataFrame, pairs: list[tuple[str, str]], p: RatioParams) -> DataFrame:
     """``a / b``; a missing or zero-denominator ratio takes the fitted median."""
     return df.select("*", *[F.coalesce(_ratio(a, b), F.lit(p.median[f"{a}_to_{b}_ratio"])).alias(f"{a}_to_{b}_ratio")

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lendframe.operators.stats import column_stats, exact_quantiles, params_frame, profile
+from lendframe.operators.stats import ColumnStats, column_stats, exact_quantiles, params_frame, profile
 
 
 @dataclass
@@ -28,9 +28,9 @@ class OutlierBounds:
         return F.coalesce((x < F.lit(lo)) | (x > F.lit(hi)), F.lit(False))
 
 
-def fit_iqr(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> OutlierBounds:
-    """Quartile fences; all columns in one exact-quantile pass."""
-    q = exact_quantiles(df, {c: (0.25, 0.75) for c in columns})
+def fit_iqr(df: DataFrame, columns: list[str], multiplier: float = 1.5, stats: dict[str, ColumnStats] | None = None) -> OutlierBounds:
+    """Quartile fences; all columns in one exact-quantile pass, or none where ``stats`` has the quartiles."""
+    q = {c: stats[c].quantiles for c in columns} if stats else exact_quantiles(df, {c: (0.25, 0.75) for c in columns})
     b = {}
     for c in columns:
         lo, hi = q[c][0.25], q[c][0.75]

@@ -345,14 +345,15 @@ def probit(u: Column) -> Column:
 
 # --- binning ------------------------------------------------------------------------------------
 
-def fit_bins(df: DataFrame, columns: list[str], n_bins: int = 5, strategy: str = "quantile") -> dict[str, list[float]]:
+def fit_bins(df: DataFrame, columns: list[str], n_bins: int = 5, strategy: str = "quantile",
+             counts: dict[str, int] | None = None) -> dict[str, list[float]]:
     """Bin edges per column: quantile (repeated edges merged) or uniform."""
     if strategy == "uniform":
         st = column_stats(df, columns, quantiles=())
         return {c: [s.min + (s.max - s.min) * k / n_bins for k in range(n_bins + 1)] for c, s in st.items()}
     if strategy == "quantile":
         probs = tuple(k / n_bins for k in range(n_bins + 1))
-        q = exact_quantiles(df, {c: probs for c in columns})
+        q = exact_quantiles(df, {c: probs for c in columns}, counts)
         out = {}
         for c in columns:
             edges: list[float] = []

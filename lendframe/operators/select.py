@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lendframe.operators.eda import correlation_matrix
-from lendframe.operators.scale import bin_ordinal, fit_bins
-from lendframe.operators.stats import column_stats, params_frame
+from lendframe.operators.scale import fit_bins
+from lendframe.operators.stats import ColumnStats, column_stats, params_frame
 
 
-def low_variance(df: DataFrame, columns: list[str], threshold: float = 0.01, population: bool = False) -> DataFrame:
-    """Variance per column and whether it stays (above the threshold)."""
-    s = column_stats(df, columns, quantiles=())
+def low_variance(df: DataFrame, columns: list[str], threshold: float = 0.01, population: bool = False,
+                 stats: dict[str, ColumnStats] | None = None) -> DataFrame:
+    """Variance per column and whether it stays (above the threshold); no job where ``stats`` has the moments."""
+    s = stats or column_stats(df, columns, quantiles=())
     v = {c: (st.std_pop if population else st.std) for c, st in s.items()}
     return params_frame(df.sparkSession, [(c, None if v[c] is None else v[c] ** 2, bool(v[c] is not None and v[c] ** 2 > threshold))
                                           for c in columns], "column string, variance double, keep boolean")
@@ -44,14 +46,49 @@ def cap_features(df: DataFrame, originals: list[str], generated: list[str], limi
     return originals + ranked[: max(0, limit - len(originals))]
 
 
-def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 10) -> DataFrame:
-    """Binned mutual information (nats) per column: one (column, bin, label) count table, then sums over it."""
-    edges = fit_bins(df, columns, bins)
-    b = bin_ordinal(df.select(*columns, label), edges)
-    cells = b.select(label, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias("bin")) for c in columns
-    ])).alias("e")).select(label, "e.*")
-    n = cells.groupBy("column", "bin", label).agg(F.count(F.lit(1)).alias("n"))
+def bin_counts(df: DataFrame, edges: dict[str, list[float]], label: str) -> DataFrame:
+    """``column, bin, <label>, n``: rows per bin and class of many columns; bin -1 counts the nulls.
+
+    Counted by numpy per Arrow batch: a projection with every bin of every column would be too large for generated code.
+    What a task sends on is one row per column, bin and class.
+    """
+    columns = list(edges)
+    inner = [np.array(edges[c][1:-1], np.float64) for c in columns]
+
+    def run(batches):
+        total: dict = {}
+        for b in batches:
+            y = b.column(0).dictionary_encode()
+            classes = [*y.dictionary.to_pylist(), None]
+            k = len(classes)
+            code = y.indices.fill_null(k - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, e in enumerate(inner):
+                x = b.column(i + 1)
+                at = np.searchsorted(e, x.fill_null(0.0).to_numpy(zero_copy_only=False), "right") + 1
+                at[x.is_null().to_numpy(zero_copy_only=False)] = 0
+                n = np.bincount(at * k + code, minlength=(len(e) + 2) * k)
+                for j in np.flatnonzero(n).tolist():
+                    key = (i, j // k - 1, classes[j % k])
+                    total[key] = total.get(key, 0) + int(n[j])
+        i, at, y, n = zip(*[(*key, v) for key, v in total.items()]) if total else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(at, pa.int32()), pa.array(y, label_type), pa.array(n, pa.int64())],
+                                         names=["i", "bin", "y", "n"])
+    from pyspark.sql.pandas.types import to_arrow_type
+    label_type = to_arrow_type(df.schema[label].dataType)
+    rows = df.select(F.col(label).alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    parts = rows.mapInArrow(run, f"i int, bin int, y {df.schema[label].dataType.simpleString()}, n bigint")
+    names = F.array(*[F.lit(c) for c in columns])
+    return parts.groupBy("i", "bin", "y").agg(F.sum("n").alias("n")).select(
+        F.get(names, F.col("i")).alias("column"), "bin", F.col("y").alias(label), "n")
+
+
+def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 10, counts: dict[str, int] | None = None) -> DataFrame:
+    """Binned mutual information (nats) per column: one (column, bin, label) count table, then sums over it.
+
+    ``counts``: filled values per column, where they are known.
+    """
+    from lendframe.session import saved
+    n = saved(bin_counts(df, fit_bins(df, columns, bins, counts=counts), label), "bins")  # columns x bins x classes rows, read four times
     by_bin = n.groupBy("column", "bin").agg(F.sum("n").alias("nb"))
     by_label = n.groupBy("column", label).agg(F.sum("n").alias("nl"))
     tot = n.groupBy("column").agg(F.sum("n").alias("nt"))
@@ -101,11 +138,13 @@ SCORES: dict[str, Callable[[DataFrame, list[str], str], DataFrame]] = {
 
 
 def select_best(df: DataFrame, columns: list[str], label: str, k: int | None = None, percentile: float | None = None,
-                score: str | Callable[[DataFrame, str, str], Column] = "mutual_info") -> list[str]:
+                score: str | Callable[[DataFrame, str, str], Column] = "mutual_info", counts: dict[str, int] | None = None) -> list[str]:
     """The k best (or best percentile of) columns. A custom score maps (frame, feature, label) to an aggregate column."""
     if callable(score):
         r = df.agg(*[score(df, c, label).alias(c) for c in columns]).first()
         got = {c: r[c] for c in columns}
+    elif score == "mutual_info":
+        got = {r["column"]: r["score"] for r in mutual_information(df, columns, label, counts=counts).collect()}  # one row per column
     else:
         got = {r["column"]: r["score"] for r in SCORES[score](df, columns, label).collect()}  # one row per column
     n = k if k is not None else max(1, int(len(columns) * (percentile or 100.0) / 100.0))

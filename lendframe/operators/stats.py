@@ -243,3 +243,78 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
 def params_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
     """Fitted parameters (a handful of numbers per column) as a table."""
     return spark.createDataFrame(rows, schema)
+
+
+# --- requests of several fits, answered together ------------------------------------------------
+
+@dataclass
+class Answers:
+    """What :class:`Requests` found. ``values`` is a stored table ``column, value, n, labelled, label_sum``."""
+
+    rows: int
+    stats: dict[str, ColumnStats]
+    values: DataFrame | None
+    distinct: dict[str, int]
+    filled: dict[str, int]
+
+    def nulls(self, c: str) -> int:
+        return self.stats[c].nulls if c in self.stats else self.rows - self.filled.get(c, 0)
+
+    def small_columns(self, columns: list[str], limit: int) -> dict[str, list[str]]:
+        """Sorted values of the columns that have at most ``limit``."""
+        small = [c for c in columns if self.distinct.get(c, 0) <= limit]
+        out: dict[str, list[str]] = {c: [] for c in small}
+        if small:
+            for r in self.values.where(F.col("column").isin(small)).select("column", "value").collect():  # at most limit per column
+                out[r["column"]].append(r["value"])
+        return {c: sorted(v) for c, v in out.items()}
+
+    def modes(self, columns: list[str]) -> dict[str, str]:
+        """Most frequent value per column, ties to the smallest."""
+        best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value")))
+        return {r["column"]: r["b"]["value"] for r in self.values.where(F.col("column").isin(columns)).groupBy("column").agg(best.alias("b")).collect()}
+
+
+class Requests:
+    """Collects the statistics that several fits want, and reads the table once for each kind of them.
+
+    Moments and null counts of all numeric columns are one scan, quantiles of all columns at all wanted probabilities one more, and
+    the values of all text columns, with their counts and label sums, a third: three reads, however many operators ask.
+    """
+
+    def __init__(self):
+        self._moments: dict[str, None] = {}
+        self._probs: dict[str, set[float]] = {}
+        self._values: dict[str, None] = {}
+
+    def moments(self, columns) -> "Requests":
+        self._moments.update(dict.fromkeys(columns))
+        return self
+
+    def quantiles(self, columns, probs=(0.25, 0.5, 0.75)) -> "Requests":
+        for c in columns:
+            self._probs.setdefault(c, set()).update(probs)
+        return self.moments(columns)
+
+    def values(self, columns) -> "Requests":
+        self._values.update(dict.fromkeys(columns))
+        return self
+
+    def run(self, df: DataFrame, label: str | None = None) -> Answers:
+        from lendframe.session import saved
+        st = column_stats(df, list(self._moments), quantiles=())
+        if self._probs:
+            probs = tuple(sorted(set().union(*self._probs.values())))
+            got = exact_quantiles(df, {c: probs for c in self._probs}, {c: st[c].count for c in self._probs})
+            for c, q in got.items():
+                st[c].quantiles = q
+        table, distinct, filled = None, {}, {}
+        if self._values:
+            y = F.lit(None).cast("double") if label is None else F.col(label).cast("double")
+            cells = long_cells(df.withColumn("_y", y), list(self._values), keep=("_y",)).where("value is not null")
+            table = saved(cells.groupBy("column", "value").agg(
+                F.count(F.lit(1)).alias("n"), F.count("_y").alias("labelled"), F.sum("_y").alias("label_sum")), "values")
+            for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).collect():
+                distinct[r["column"]], filled[r["column"]] = r["d"], r["n"]
+        rows = next(iter(st.values())).n if st else (df.count() if self._values else 0)
+        return Answers(rows, st, table, distinct, filled)

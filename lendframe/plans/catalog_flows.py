@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lendframe.operators import select
+from lendframe.operators.stats import column_stats, params_frame
 from lendframe.plans.catalog_eda import rnd
 from lendframe.plans.catalog_rules import _ALL as _ALL_RULES
 from lendframe.plans.feature_set import LOAN_FEATURES, FeatureConfig, FeatureSet
 from lendframe.plans.preprocess import PreprocessConfig, Preprocessing
 from lendframe.plans.registry import query
 from lendframe.plans.validated_load import row_counts, validated_load
-from lendframe.session import scratch_path
+from lendframe.session import saved, scratch_path
 from lendframe.sources import files
-from lendframe.sources.loans import loan_applications
+from lendframe.sources.loans import NUMERIC, loan_applications
 from lendframe.streaming import flows
 
 L = "loan_applications"
@@ -61,6 +63,20 @@ def _(t):
     return out.agg(F.count(F.lit(1)).alias("rows"), *[F.round(F.avg(c), 6).alias(c) for c in ("annual_income", "credit_score", "age")])
 
 
+_W1C = [c for c in NUMERIC]
+
+
+@query("w1_preprocess_rows", "WITH f AS (SELECT * REPLACE (" + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM lab)) AS {c}" for c in ("years_employed", "credit_score", "property_value"))
+       + ") FROM lab), q AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.75) AS b_{c}" for c in _W1C) + " FROM f), c AS (SELECT application_id, gender, loan_approved, "
+       + ", ".join(f"least(greatest(cast({c} as double), a_{c} - 1.5e0 * (b_{c} - a_{c})), b_{c} + 1.5e0 * (b_{c} - a_{c})) AS {c}" for c in _W1C)
+       + " FROM f, q), m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, case when stddev_pop({c}) = 0 then 1e0 else stddev_pop({c}) end AS s_{c}" for c in _W1C)
+       + " FROM c) SELECT application_id, gender, loan_approved, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in _W1C) + " FROM c, m")
+def _(t):
+    """Every row after all steps, each fitted on the output of the one before."""
+    p = Preprocessing(PreprocessConfig(target="loan_approved", exclude=("application_date",), fit_mode="sequential"))
+    return rnd(p.fit_transform(t.loans).select("application_id", "gender", "loan_approved", *_W1C), 6)
+
+
 _W2 = FeatureConfig(one_hot=["gender"], target=["loan_purpose"], ordinal={"education": ["High School", "Some College", "Bachelor's", "Advanced"]},
                     numeric=["annual_income", "credit_score"], outlier_columns=["annual_income"], outlier_threshold=2.0, scaling="robust",
                     arithmetic=[("annual_income", "credit_score")])
@@ -93,6 +109,61 @@ def _(t):
     return f.transform(df)
 
 
+def _w5_sql() -> str:
+    """The default feature set in SQL: every generated feature, and its mean, variance and binned mutual information."""
+    c = LOAN_FEATURES
+    used = list(dict.fromkeys([*c.numeric, *c.polynomial, *[x for p in c.ratios + c.arithmetic for x in p]]))
+    stats = list(dict.fromkeys([*used, *c.outlier_columns]))
+    q = ", ".join(f"quantile_cont({x}, 0.25) AS a_{x}, median({x}) AS d_{x}, quantile_cont({x}, 0.75) AS b_{x}" for x in stats)
+
+    def base(x):
+        v = f"coalesce(cast({x} as double), d_{x})"
+        if x in c.outlier_columns:
+            v = f"least(greatest({v}, a_{x} - {c.outlier_threshold}e0 * (b_{x} - a_{x})), b_{x} + {c.outlier_threshold}e0 * (b_{x} - a_{x}))"
+        return f"({v} - d_{x}) / (case when b_{x} = a_{x} then 1e0 else b_{x} - a_{x} end)" if x in c.numeric else v
+    text = sorted({*c.one_hot, *c.target, *c.label, *c.ordinal})
+    rat = lambda a, b: f"({a} / nullif({b}, 0))"
+    pairs = list(dict.fromkeys(c.ratios + c.arithmetic))
+    views = [f"q AS (SELECT avg(loan_approved) AS g, {q} FROM {L})",
+             f"b AS MATERIALIZED (SELECT application_id, loan_approved, {', '.join(text)}, {', '.join(f'{base(x)} AS {x}' for x in used)} FROM {L}, q)",
+             "r AS (SELECT " + ", ".join(f"median({rat(x, y)}) AS \"{x}/{y}\"" for x, y in pairs) + ", coalesce(median(nullif(annual_income, 0)), 1e0) AS ai FROM b)"]
+    views += [f"t_{x} AS (SELECT {x} AS v, (sum(loan_approved) + min(g)) / (count(*) + 1e0) AS e FROM {L}, q GROUP BY {x})" for x in c.target]
+    ratio = lambda x, y: f"coalesce({rat('b.' + x, 'b.' + y)}, r.\"{x}/{y}\")"
+    f = {x: f"b.{x}" for x in used}
+    f |= {f"{x}_target": f"t_{x}.e" for x in c.target}
+    f |= {f"{x}_label": f"(SELECT count(DISTINCT {x}) FROM {L} z WHERE z.{x} < b.{x})" for x in c.label}
+    f |= {f"{x}_ordinal": "case b." + x + "".join(f" when '{v.replace(chr(39), chr(39) * 2)}' then {i}" for i, v in enumerate(vs)) + " else -1 end" for x, vs in c.ordinal.items()}
+    p1, p2 = c.polynomial
+    f[f"{p1}__{p2}"] = f"b.{p1} * b.{p2}"
+    f |= {f"{x}_to_{y}_ratio": ratio(x, y) for x, y in c.ratios}
+    for x, y in c.arithmetic:
+        f |= {f"{x}_plus_{y}": f"b.{x} + b.{y}", f"{x}_minus_{y}": f"b.{x} - b.{y}", f"{x}_times_{y}": f"b.{x} * b.{y}", f"{x}_div_{y}": ratio(x, y)}
+    d = "case when b.annual_income = 0 then r.ai else b.annual_income end"
+    f |= {"debt_burden_score": f"b.debt_to_income_ratio * b.loan_amount / ({d})", "creditworthiness_score": "b.credit_score * b.credit_history_length / 100e0"}
+    joins = "".join(f" JOIN t_{x} ON t_{x}.v = b.{x}" for x in c.target)
+    plain = " UNION ALL ".join(f"SELECT '{k}' AS feature, cast(\"{k}\" as double) AS x, y FROM wide" for k in f)
+    hot = " UNION ALL ".join(f"SELECT '{x}_' || v.v || v.again AS feature, cast(case when b.{x} = v.v then 1 else 0 end as double) AS x, b.loan_approved AS y FROM b, (SELECT v, case when row_number() OVER w > 1 then '_' || row_number() OVER w else '' end AS again FROM (SELECT DISTINCT {x} AS v FROM {L} WHERE {x} IS NOT NULL) WINDOW w AS (PARTITION BY lower(v) ORDER BY v)) v" for x in c.one_hot)
+    views += [f"wide AS MATERIALIZED (SELECT b.loan_approved AS y, {', '.join(f'{e} AS {chr(34)}{k}{chr(34)}' for k, e in f.items())} FROM b{joins}, r)",
+              f"cells AS MATERIALIZED ({plain} UNION ALL {hot})",
+              "m AS (SELECT feature, avg(x) AS mean, var_pop(x) AS variance, quantile_cont(x, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS e FROM cells GROUP BY feature)",
+              "ed AS (SELECT feature, mean, variance, list_sort(list_distinct(e))[2:-2] AS e FROM m)",
+              "n AS (SELECT feature, len(list_filter(e, lambda v: cells.x >= v)) AS bin, y, count(*) AS n FROM cells JOIN ed USING (feature) GROUP BY ALL)",
+              "nb AS (SELECT feature, bin, sum(n) AS nb FROM n GROUP BY ALL)", "nl AS (SELECT feature, y, sum(n) AS nl FROM n GROUP BY ALL)", "nt AS (SELECT feature, sum(n) AS nt FROM n GROUP BY ALL)",
+              "s AS (SELECT feature, sum(n / nt * ln(n * 1e0 * nt / (nb * 1e0 * nl))) AS score FROM n JOIN nb USING (feature, bin) JOIN nl USING (feature, y) JOIN nt USING (feature) GROUP BY feature)"]
+    return "WITH " + ", ".join(views) + " SELECT feature, round(mean, 6) AS mean, round(variance, 6) AS variance, round(score, 6) AS score FROM ed JOIN s USING (feature)"
+
+
+@query("w5_feature_report", _w5_sql())
+def _(t):
+    """Mean, variance and score of every feature of the default set, before the selection."""
+    f = FeatureSet(LOAN_FEATURES).fit(t.loans)
+    full = saved(f.features(t.loans), "loan-features")
+    st = column_stats(full, f.generated, quantiles=())
+    moments = params_frame(t.spark, [(c, s.mean, s.std_pop ** 2) for c, s in st.items()], "feature string, mean double, variance double")
+    score = select.mutual_information(full, f.generated, "loan_approved", counts={c: s.count for c, s in st.items()})
+    return rnd(moments.join(score.withColumnRenamed("column", "feature"), "feature"), 6)
+
+
 @query("w4_validated_load", f"SELECT application_id, age, least(greatest(debt_to_income_ratio, 0e0), 1e0) AS debt_to_income_ratio, coalesce(property_value, 0e0) AS property_value, "
        f"greatest(loan_amount, 1000e0) AS loan_amount FROM {L}")
 def _(t):

@@ -5,39 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lendframe.operators import confidence as conf
-from lendframe.operators import encode, forest, metrics, models as ml, scale, select
-from lendframe.operators.impute import fit_imputer, impute
+from lendframe.functions import recipes
+from lendframe.operators import forest, metrics, models as ml, scale, select
 from lendframe.operators.split import stratified_split
 from lendframe.operators.stats import params_frame
 from lendframe.plans.catalog_eda import rnd
-from lendframe.plans.predictions import prediction_table
+from lendframe.operators.store import Scorer
+from lendframe.plans.predictions import MODELS, prediction_table
+from lendframe.plans.preparation import Preparation, X
 from lendframe.plans.registry import query
-from lendframe.session import checkpoint
-from lendframe.sources.loans import BOOLEAN, CATEGORICAL, NUMERIC
+from lendframe.session import checkpoint, scratch_path
 
-X = [*NUMERIC, *BOOLEAN, *CATEGORICAL]
 Y = "loan_approved"
 
 
-class Preparation:
-    """Imputation, category codes and standard scaling, all learnt from the training part."""
-
-    def __init__(self, train):
-        listed = self._plain(train)
-        self.imputer = fit_imputer(listed.select(*X))
-        filled = impute(listed, self.imputer)
-        self.categories = encode.fit_categories(filled, CATEGORICAL)
-        self.scaler = scale.fit_scaler(encode.label_codes(filled, self.categories), X)
-
-    @staticmethod
-    def _plain(df):
-        return df.withColumns({c: F.col(c).cast("int") for c in BOOLEAN})
-
-    def __call__(self, df):
-        d = encode.label_codes(impute(self._plain(df), self.imputer), self.categories)
-        return scale.apply_scaler(d, self.scaler)
-
-
 def _prepare(train, test):
     p = Preparation(train)
     return p(train), p(test)
@@ -143,6 +124,37 @@ def _(t):
     return rnd(ml.decisions(_lr(tr), te, ("row_id",)), 6)
 
 
+#: The scoring service's application fields, from a loan row.
+_API_FIELDS = {"ApplicantIncome": "annual_income", "CoapplicantIncome": "coapplicant_income", "LoanAmount": "loan_amount",
+               "Loan_Amount_Term": "cast(loan_term_months as double)", "Credit_History": "if(previous_loan_defaults = 0, 1D, 0D)",
+               "Education": "if(education in ('Advanced', 'Bachelor\\'s'), 'Graduate', 'Not Graduate')",
+               "Dependents": "if(previous_loans > 2, '3+', cast(previous_loans as string))", "Self_Employed": "if(employment_status like 'Self-%', 'Yes', 'No')",
+               "Married": "if(marital_status = 'Married', 'Yes', 'No')", "Property_Area": "if(area_type = 'Suburban', 'Semiurban', area_type)"}
+
+
+@query("l13_api_decisions")
+def _(t):
+    """A model on the scoring service's fifteen features decides every application of the table."""
+    fields = t.lab.select(F.col("application_id").alias("row_id"), Y, *[F.expr(e).alias(k) for k, e in _API_FIELDS.items()])
+    x = recipes.api_features(fields, ("row_id", Y))
+    names = list(recipes.API_FEATURES)
+    train = stratified_split(x, "row_id", Y, 0.2).where("split = 'train'").drop("split")
+    sc = scale.fit_scaler(train, names)
+    model = _lr(checkpoint(ml.assemble(scale.apply_scaler(train, sc), names, Y, keep=("row_id",))))
+    return rnd(ml.decisions(model, ml.assemble(scale.apply_scaler(x, sc), names, Y, keep=("row_id",)), ("row_id",)), 6)
+
+
+@query("l14_saved_scorer")
+def _(t):
+    """Fit, save, load, and score the raw test rows with what was loaded."""
+    s = stratified_split(t.lab.select(F.col("application_id").alias("row_id"), *X, Y), "row_id", Y, 0.2)
+    train, test = (s.where(F.col("split") == part).drop("split") for part in ("train", "test"))
+    p = Preparation(train)
+    path = scratch_path(t.spark, "scorer")
+    Scorer(p, _lr(checkpoint(ml.assemble(p(train), X, Y, keep=("row_id",)))), X, Y).save(t.spark, path)
+    return rnd(Scorer.load(t.spark, path).decisions(test), 6)
+
+
 @query("p8_cross_validation")
 def _(t):
     return rnd(ml.cv_report(ml.fold_scores(ml.cross_validate(_data(t, False), Y, _lr, name="logistic"))), 6)
@@ -183,32 +195,41 @@ def _(t):
     return rnd(metrics.classification_metrics(p).join(metrics.rank_metrics(p), "model"), 6)
 
 
-def _credit(t):
-    return prediction_table(t.lab).where("model = 'credit'")
+def _by_model(t, fn):
+    """One result per model of the prediction table."""
+    out = None
+    for m in MODELS:
+        r = fn(prediction_table(t.lab).where(F.col("model") == m))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 @query("k1_platt")
 def _(t):
-    p = _credit(t)
-    return rnd(metrics.probability_scores(ml.apply_platt(p, ml.fit_platt(p))), 6)
+    return rnd(metrics.probability_scores(_by_model(t, lambda p: ml.apply_platt(p, ml.fit_platt(p)))), 6)
 
 
 @query("k2_isotonic")
 def _(t):
-    p = _credit(t)
-    iso = ml.apply_isotonic(p, ml.fit_isotonic(p))
-    return rnd(conf.compare_calibrators({"raw": p, "platt": ml.apply_platt(p, ml.fit_platt(p)), "isotonic": iso}), 6)
+    def calibrated(p):
+        iso = ml.apply_isotonic(p, ml.fit_isotonic(p))
+        return conf.compare_calibrators({"raw": p, "platt": ml.apply_platt(p, ml.fit_platt(p)), "isotonic": iso})
+    return rnd(_by_model(t, calibrated), 6)
+
+
+def _prepared(t):
+    """All 28 prepared inputs of all rows."""
+    return checkpoint(Preparation(t.lab)(t.lab).select(*X, Y))
 
 
 @query("r7_recursive_elimination")
 def _(t):
-    r = select.recursive_elimination(t.lab.select(*NUMERIC, Y), NUMERIC, Y, keep=9, step=3)
-    return params_frame(t.spark, r, "feature string, rank int")
+    return params_frame(t.spark, select.recursive_elimination(_prepared(t), X, Y, keep=14, step=5), "feature string, rank int")
 
 
 @query("r8_from_importance")
 def _(t):
-    return params_frame(t.spark, [(c,) for c in select.from_importance(t.lab, NUMERIC, Y)], "feature string")
+    return params_frame(t.spark, [(c,) for c in select.from_importance(_prepared(t), X, Y)], "feature string")
 
 
 _PC = ["credit_score", "debt_to_income_ratio", "loan_amount", "age"]

@@ -74,6 +74,23 @@ def _(t):
     return impute.missing_summary(df, impute.fit_imputer(df.select(*NUMERIC)))
 
 
+_M5 = {"years_employed": ("mean", f"(SELECT avg(years_employed) FROM {L})"), "credit_score": ("median", f"(SELECT median(credit_score) FROM {L})"),
+       "property_value": ("constant", "0e0")}
+
+
+@query("m5_numeric_preparation", "WITH f AS (SELECT application_id, " + ", ".join(f"coalesce({c}, {v}) AS {c}" for c, (_, v) in _M5.items()) + f" FROM {L}), q AS (SELECT "
+       + ", ".join(f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.75) AS b_{c}" for c in _M5) + " FROM f), c AS (SELECT application_id, "
+       + ", ".join(f"least(greatest({c}, a_{c} - 1.5e0 * (b_{c} - a_{c})), b_{c} + 1.5e0 * (b_{c} - a_{c})) AS {c}" for c in _M5)
+       + " FROM f, q), m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _M5) + " FROM c) SELECT application_id, "
+       + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in _M5) + " FROM c, m")
+def _(t):
+    """Imputer, fences and scaler as one numeric preparation, each fitted on what the one before gives."""
+    df = t.loans.select("application_id", *_M5)
+    filled = impute.impute(df, impute.fit_imputer(df.select(*_M5), {c: s for c, (s, _) in _M5.items()}))
+    clipped = outliers.treat(filled, outliers.fit_iqr(filled, list(_M5)), "clip")
+    return rnd(scale.apply_scaler(clipped, scale.fit_scaler(clipped, list(_M5))), 6)
+
+
 @query("m6_skew_imputer", union(
     f"SELECT '{c}' AS \"column\", case when abs(skewness({c})) > 1 then 'median' else 'mean' end AS strategy, "
     f"round(case when abs(skewness({c})) > 1 then median({c}) else avg({c}) end, 4) AS value FROM {L}" for c in DOUBLES))
