@@ -19,8 +19,9 @@ shared first turn or a conversation that a third of the ids repeat is only ever
 joins of stored tables.
 
 Defined results: null text and null role count as empty. Repeated (conversation, turn) rows are turns of their
-own, in order of role and text; null turns come first. Rows with a null conversation id form one conversation. Other columns are
-not read.
+own, in order of role and text; null turns come first. Rows with a null conversation id form one conversation. Bytes that are not valid UTF-8 become replacement characters. A very long text is one node, a very long
+conversation a stream of rows in one task. An empty table gives an empty tree. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -68,8 +69,8 @@ def _by_conversation(df: DataFrame, order: list) -> DataFrame:
 def _turns(turns: DataFrame) -> DataFrame:
     """Rows with their depth and the hash of all turns up to them: ``conv, depth, role, text, node, parent``."""
     src = turns.select(
-        F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"))
+        F.col("conv_id").alias("conv"), "turn", F.make_valid_utf8(F.coalesce("role", F.lit(""))).alias("role"),
+        F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text"))
     src = _by_conversation(src, ["turn", "role", "text"]).select("conv", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,8 @@ head occurs at most as often as each word inside.
 
 Defined results: null text is empty and has the end mark only. Repeated rows are scored one by one (and all
 count in training). Without training rows all counts are zero and every class has the same probability, so that scores stay
-finite. Columns beside id and text are not read.
+finite. An empty table gives an empty result. A very long text is tokenised and scored as one group. Words of equal count have a fixed order. Columns beside id
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Characters outside the vocabulary become byte pieces. Decoding any segmentation
 Defined results: null and empty texts have no pieces and decode to the empty text. The mark
 character itself (U+2581) is written as bytes. Repeated rows get equal pieces; without an
 id the text takes its place in the draw. Columns of the input that have the name of
-a result column are replaced.
+a result column are replaced. Bytes that are not valid UTF-8 become replacement characters. A very long text is worked off in
+slices of its chunks. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lendframe.llm.common import annotate
 
@@ -426,7 +427,10 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *raw])))
             return [pa.array(sizes), lists, pa.array(same, pa.bool_())]
         return run
-    return annotate(docs, [id_col, text_col], FIELDS, start, carry)
+    # the text is read under a name of its own, so that carried columns stay as they are
+    carry = docs.columns if carry is None else carry
+    name = "_" + "_".join(docs.columns)
+    return annotate(docs.withColumn(name, F.make_valid_utf8(F.col(text_col))), [id_col, name], FIELDS, start, carry)
 
 
 def decode_documents(encoded: DataFrame, carry: list[str], ids_col: str = "piece_ids", model: str = MODEL) -> DataFrame:

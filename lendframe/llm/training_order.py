@@ -12,7 +12,8 @@ their shards. Only one count per stored partition passes through the driver.
 
 Defined results: null and empty texts give one sequence, the end mark alone. Repeated rows give sequences of
 their own. An empty table gives no sequences and no shards. The numbering follows the stored partitions, so the same table layout and key give the same order.
-Columns beside id and text are not read.
+A very long text is tokenised whole and cut. Bytes that are not valid UTF-8 become replacement characters. There are no ties: every
+sequence has a number of its own. Columns beside id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def slots(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
 
 def _token_table(docs: DataFrame, id_col: str, text_col: str, length: int, path: str) -> DataFrame:
     """One row per text: stored partition, sequences before it in there, their number, and the ids."""
-    src = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("t"))
+    src = docs.select(F.col(id_col).cast("string").alias("doc"), F.make_valid_utf8(F.col(text_col)).alias("t"))
 
     def run(batches):
         memory, n, part = WordMemory(path), 0, TaskContext.get().partitionId()

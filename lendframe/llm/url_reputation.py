@@ -9,7 +9,8 @@ the whole. Only three numbers reach the driver.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path and is judged like
 a host without outcomes. Null outcomes are left out. Without any outcome the prior mean is one half.
-Repeated pages are judged one by one, and each repeated outcome counts.
+Repeated pages are judged one by one, and each repeated outcome counts. Of rules that fit, the longest wins. A very long url is one row like any
+other. An empty table gives an empty result. Columns of the pages beside id and url are not read, whatever their names.
 """
 
 from __future__ import annotations

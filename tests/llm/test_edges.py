@@ -472,3 +472,19 @@ def test_pipeline_on_an_empty_table(spark, tmp_path, sf):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_invalid_utf8_has_a_defined_result(spark):
+    """Bytes that are not valid UTF-8 become replacement characters."""
+    raw = [(1, b"good text"), (2, b"bad \xff\xfe byte"), (3, b"\xc3")]
+    docs = spark.createDataFrame([(i, bytearray(b)) for i, b in raw], "doc_id bigint, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    want = {i: b.decode("utf-8", "replace") for i, b in raw}
+    enc = pieces.encode_documents(docs, carry=["doc_id"])
+    assert all(r.lossless for r in enc.collect())
+    assert {r.doc_id: r.text for r in pieces.decode_documents(enc, ["doc_id"]).collect()} == want
+    from lendframe.llm.vocabulary import tokenizer
+    seqs = training_order.ordered_sequences(docs, 3).collect()
+    assert {r.doc_id: tokenizer().decode(np.frombuffer(r.payload, np.uint16)[:r.n_ids - 1].tolist()) for r in seqs} == want
+    turns = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")
+    back = {r.conv_id: r for r in chat_tree.read_back(chat_tree.build(turns)).collect()}
+    assert {i: r.loss_chars for i, r in back.items()} == {i: len(t) for i, t in want.items()}
