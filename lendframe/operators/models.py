@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import functools
 import itertools
 import random
 import time
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from lendframe.operators import metrics
 from lendframe.operators.split import kfold, stratified_split
 from lendframe.operators.stats import params_frame
+from lendframe.session import saved
 
 FEATURES = "features"
 
@@ -240,6 +243,12 @@ def search(df: DataFrame, label: str, build: Callable[..., Callable], space: dic
     return params_frame(df.sparkSession, rows, f"trial int, params string, {metric} double").orderBy(F.desc(metric), "trial")
 
 
+def refit_best(df: DataFrame, label: str, build: Callable[..., Callable], space: dict[str, list], **kw) -> tuple[DataFrame, object]:
+    """The search's table, and a model of the best setting fitted on all rows."""
+    trials = search(df, label, build, space, **kw)
+    return trials, build(**ast.literal_eval(trials.first()["params"]))(df)
+
+
 # --- calibration, stacking, blending ------------------------------------------------------------
 
 def fit_platt(preds: DataFrame):
@@ -268,23 +277,27 @@ def apply_isotonic(preds: DataFrame, model) -> DataFrame:
     return p.withColumn("proba", F.least(F.greatest(F.col("_iso"), F.lit(0.0)), F.lit(1.0))).drop("_iso")
 
 
-def stack(df: DataFrame, test: DataFrame, label: str, fits: dict[str, Callable], k: int = 5) -> DataFrame:
-    """Out-of-fold probabilities of the base models train a logistic model; returns test predictions."""
+def stack(df: DataFrame, test: DataFrame, label: str, fits: dict[str, Callable], k: int = 5, parallel: int = 4) -> DataFrame:
+    """Out-of-fold probabilities of the base models train a logistic model; returns test predictions.
+
+    All fits, of the folds and of the whole, share a bounded pool; each stores its predictions, so the meta model reads plain tables.
+    """
     d = kfold(df, "row_id", k, label).persist()
-    oof = None
-    for name, fit in fits.items():
-        for f in range(k):
-            s = score(fit(d.where(F.col("fold") != f)), d.where(F.col("fold") == f), label, name)
-            oof = s if oof is None else oof.unionByName(s)
     names = list(fits)
-    wide = lambda p: VectorAssembler(inputCols=names, outputCol=FEATURES).transform(
-        p.groupBy("row_id", "label").pivot("model", names).agg(F.first("proba")).withColumn("label", F.col("label").cast("double")))
-    meta = LogisticRegression(labelCol="label", featuresCol=FEATURES, regParam=1e-4).fit(wide(oof))
-    base = None
-    for name, fit in fits.items():
-        s = score(fit(d), test, label, name)
-        base = s if base is None else base.unionByName(s)
-    return score(meta, wide(base), "label", "stack")
+
+    def one(task: tuple[str, int | None]) -> DataFrame:
+        name, f = task
+        m = fits[name](d if f is None else d.where(F.col("fold") != f))
+        return saved(score(m, test if f is None else d.where(F.col("fold") == f), label, name), "stack")
+    tasks = [(name, f) for name in names for f in (*range(k), None)]
+    with ThreadPool(min(parallel, len(tasks))) as pool:
+        parts = pool.map(one, tasks, chunksize=1)
+    d.unpersist()
+    wide = lambda whole: VectorAssembler(inputCols=names, outputCol=FEATURES).transform(
+        functools.reduce(DataFrame.unionByName, [p for p, (_, f) in zip(parts, tasks) if (f is None) == whole]).groupBy("row_id", "label").pivot(
+            "model", names).agg(F.first("proba")).withColumn("label", F.col("label").cast("double")))
+    meta = LogisticRegression(labelCol="label", featuresCol=FEATURES, regParam=1e-4).fit(wide(False))
+    return score(meta, wide(True), "label", "stack")
 
 
 def blend(df: DataFrame, test: DataFrame, label: str, fits: dict[str, Callable], refit: bool = True, holdout: float = 0.2) -> tuple[DataFrame, dict[str, float]]:

@@ -27,6 +27,16 @@ def _(t):
     return files.read_csv(t.spark, path, "o_orderkey bigint, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
 
 
+@query("s1_csv_inferred", f"SELECT application_id, age, gender, credit_score, owns_property, loan_amount, application_date FROM {L}")
+def _(t):
+    """The whole loan table through CSV files, with inferred types and a parsed date."""
+    path = scratch_path(t.spark, "loans-csv")
+    files.write_table(t.loans.withColumn("application_date", F.date_format("application_date", "yyyy-MM-dd HH:mm:ss")), path, "csv")
+    df = files.read_csv(t.spark, path)
+    return df.select(F.col("application_id").cast("bigint"), "age", "gender", "credit_score", "owns_property", "loan_amount",
+                     F.col("application_date").cast("timestamp_ntz").alias("application_date"))
+
+
 @query("s2_table_sink", f"SELECT loan_purpose, count(*) AS n, round(avg(loan_amount), 4) AS mean_amount FROM {L} GROUP BY loan_purpose")
 def _(t):
     path = scratch_path(t.spark, "by-purpose")
@@ -43,6 +53,17 @@ def _(t):
     return files.read_sessions(t.spark, path, schema="session_id bigint, start_time timestamp_ntz, steps bigint", multi_line=False)
 
 
+@query("s4_multiline_sessions", "SELECT user_id % 50 AS session_id, min(ts) AS start_time, count(*) AS steps FROM events GROUP BY user_id % 50", loans=False)
+def _(t):
+    """One JSON document over several lines a file, many files, read by a pattern and sorted by start."""
+    path = scratch_path(t.spark, "sessions")
+    s = t.events.groupBy((F.col("user_id") % 50).alias("session_id")).agg(F.min("ts").alias("start_time"), F.count(F.lit(1)).alias("steps"))
+    doc = F.to_json(F.struct("session_id", F.col("start_time").cast("string").alias("start_time"), "steps"), {"pretty": "true"})
+    # one file a session: these documents are few by nature (50 here)
+    s.select("session_id", doc.alias("value")).withColumn("part", F.col("session_id")).repartition("part").select("value", "part").write.partitionBy("part").text(path)
+    return files.read_sessions(t.spark, f"{path}/part=*", schema="session_id bigint, start_time timestamp_ntz, steps bigint")
+
+
 _W1 = ["annual_income", "loan_amount", "credit_score"]
 
 

@@ -180,6 +180,16 @@ def _(t):
                          {"depth": [5, 10], "trees": [50, 100]}), 6)
 
 
+@query("p10_random_refit")
+def _(t):
+    """Random search over twelve settings, the best one refitted and scored on the test rows."""
+    tr, te = _data(t)
+    _, model = ml.refit_best(tr, Y, lambda c, penalty: (lambda d: ml.fit_logistic(d, Y, c=c, penalty=penalty)),
+                             {"c": [0.01, 0.1, 1.0, 10.0], "penalty": ["l1", "l2", "elasticnet"]}, n_iter=5)
+    p = ml.score(model, te, Y, "best")
+    return rnd(metrics.classification_metrics(p).join(metrics.rank_metrics(p), "model"), 6)
+
+
 @query("g4_stacking")
 def _(t):
     tr, te = _data(t)
