@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lendframe.llm import (chat_tree, decontaminate, exact_dedup, jaccard, maxent_lm, pieces, quality, simhash, spelling, toxicity,
                            training_order, url_reputation, whiten)
 from lendframe.llm.common import remainder
+from lendframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,7 +103,10 @@ ORDER_KEY = 2024
 
 @query("op3_training_order")
 def op3(spark, sf_dir):
-    return training_order.ordered_sequences(table(spark, sf_dir, "documents"), ORDER_KEY)
+    docs, path = table(spark, sf_dir, "documents"), scratch_path(spark, "shards")
+    training_order.write_shards(docs, ORDER_KEY, path)
+    return training_order.read_slots(spark, path).select(
+        "slot", "shard", "row", F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "part", "n_ids", "payload")
 
 
 #: The extra conversation of the query: its texts look like other templates' control strings.

@@ -8,7 +8,12 @@ are ranges of the slot order, and each shard but the last holds the same number
 can start at any slot by arithmetic.
 
 Texts are tokenised once, into a stored table from which numbers and payloads are read; sequences are shuffled once, to
-their shards. Only one count per stored partition passes through the driver.
+tasks that hold ranges of slots of equal size (the slots are even by construction, so nothing is sampled). A task writes its
+shards one after another, so their number may grow without more tasks. Only one count per stored partition passes through the driver.
+
+A written record is ``head`` and ``payload``: length of the id as text (4 bytes, all ones for null), the id in UTF-8 padded with zeros to the
+longest id's length, and the number of the sequence within its text (8 bytes), all big-endian. A layout row beside
+the shards says what a reader needs. Very long ids make all records long, for the stride is fixed.
 
 Defined results: null and empty texts give one sequence, the end mark alone. Repeated rows give sequences of
 their own. An empty table gives no sequences and no shards. The numbering follows the stored partitions, so the same table layout and key give the same order.
@@ -21,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lendframe.llm.common import tasks
 from lendframe.llm.vocabulary import RANKS, tokenizer
@@ -29,7 +34,8 @@ from lendframe.session import scratch_path
 
 END = 50256  # the free id of the vocabulary
 LENGTH = 256
-PER_SHARD = 4096
+PER_SHARD = 16_384
+TASK_BYTES = 512 << 20  # payload that one task sorts and writes
 ROUNDS = 4
 REMEMBERED = 400_000  # words whose ids a task remembers
 
@@ -127,21 +133,16 @@ def _token_table(docs: DataFrame, id_col: str, text_col: str, length: int, path:
     return docs.sparkSession.read.schema(schema).parquet(out)
 
 
-def ordered_sequences(docs: DataFrame, key: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                      per_shard: int = PER_SHARD, tokenizer_file: str = RANKS) -> DataFrame:
-    """``slot, shard, row`` (place in the shard), id, ``part`` (of the text), ``n_ids`` (without padding), ``payload``.
-
-    Rows lie in shard order within their partition, each shard in one partition.
-    """
+def _sequences(docs: DataFrame, key: int, id_col: str, text_col: str, length: int, path: str) -> tuple[DataFrame, int]:
+    """``slot, doc`` (the id as text), ``part, n_ids, payload`` of all sequences, unordered, and their number."""
     spark = docs.sparkSession
-    table = _token_table(docs, id_col, text_col, length, tokenizer_file)
+    table = _token_table(docs, id_col, text_col, length, path)
     sizes = {r.part: r.n for r in table.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one per partition
     offsets, total = {}, 0
     for p in sorted(sizes):
         offsets[p] = total
         total += sizes[p]
     held = spark.sparkContext.broadcast(offsets)
-    id_type = docs.schema[id_col].dataType
 
     def run(batches):
         width = 2 * length
@@ -163,30 +164,103 @@ def ordered_sequences(docs: DataFrame, key: int, id_col: str = "doc_id", text_co
                     used.append(len(y) // 2)
                     cut.append(y if len(y) == width else y + pad[len(y):])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard), doc.take(pa.array(row)),
-                 pa.array(inner), pa.array(used, pa.int64()), pa.array(cut, pa.binary())],
-                names=["slot", "shard", "row", "doc", "part", "n_ids", "payload"])
-    s = table.mapInArrow(run, "slot bigint, shard bigint, row bigint, doc string, part bigint, n_ids bigint, payload binary")
-    s = s.repartition(max(tasks(spark), -(-total // per_shard)), "shard").sortWithinPartitions("shard", "row")
-    return s.select("slot", "shard", "row", F.col("doc").cast(id_type).alias(id_col), "part", "n_ids", "payload")
+                [pa.array(slot), doc.take(pa.array(row)), pa.array(inner), pa.array(used, pa.int64()), pa.array(cut, pa.binary())],
+                names=["slot", "doc", "part", "n_ids", "payload"])
+    return table.mapInArrow(run, "slot bigint, doc string, part bigint, n_ids bigint, payload binary"), total
+
+
+def _by_shard(df: DataFrame, total: int, per_shard: int, length: int) -> DataFrame:
+    """Rows with ``shard``, in slot order within ranges of whole shards; the number of ranges follows the bytes, not the shards.
+
+    The order begins with the shard itself, so that a write by shard need not sort again (and lose the order of slots).
+    """
+    shards = max(1, -(-total // per_shard))
+    parts = min(shards, max(tasks(df.sparkSession), -(-total * 2 * length // TASK_BYTES)))
+    df = df.withColumn("shard", F.floor(F.col("slot") / per_shard))
+    return df.repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("shard", "slot")
 
 
-def write_shards(sequences: DataFrame, path: str) -> None:
-    """One binary file per shard under ``path/shard=N``: records in slot order, each payload and one line feed.
+def ordered_sequences(docs: DataFrame, key: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                      per_shard: int = PER_SHARD, tokenizer_file: str = RANKS) -> DataFrame:
+    """``slot, shard, row`` (place in the shard), id, ``part`` (of the text), ``n_ids`` (without padding), ``payload``.
 
-    Byte ``row * (payload bytes + 1)`` of a shard's file is the start of its record ``row``.
+    Rows lie in slot order within their partition, each shard in one partition.
     """
-    sequences.select("shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").text(path)
-
-
-def read_slots(spark: SparkSession, path: str, start: int, stop: int, length: int = LENGTH,
-               per_shard: int = PER_SHARD) -> DataFrame:
-    """``slot, payload`` of the slots from ``start`` up to ``stop``: only their shards' files are opened."""
-    width = 2 * length
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).filter(
-        (F.col("shard") >= start // per_shard) & (F.col("shard") <= max(start, stop - 1) // per_shard))
-    lo = F.greatest(F.lit(start) - F.col("shard") * per_shard, F.lit(0))
-    hi = F.least(F.lit(stop) - F.col("shard") * per_shard, (F.col("length") / (width + 1)).cast("bigint"))
-    rows = files.filter(hi > lo).select("shard", "content", F.explode(F.sequence(lo, hi - 1)).alias("row"))
-    return rows.select((F.col("shard") * per_shard + F.col("row")).alias("slot"), F.substring(
-        "content", (F.col("row") * (width + 1) + 1).cast("int"), F.lit(width)).alias("payload"))
+    s, total = _sequences(docs, key, id_col, text_col, length, tokenizer_file)
+    return _by_shard(s, total, per_shard, length).select(
+        "slot", "shard", (F.col("slot") % per_shard).alias("row"),
+        F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), "part", "n_ids", "payload")
+
+
+def _number(x: Column, size: int) -> Column:
+    """A whole number as ``size`` big-endian bytes."""
+    return F.unhex(F.lpad(F.hex(x), 2 * size, "0"))
+
+
+def write_shards(docs: DataFrame, key: int, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                 per_shard: int = PER_SHARD, tokenizer_file: str = RANKS) -> int:
+    """One binary file per shard under ``path/shards/shard=N``: records in slot order, each with one line feed; returns their number.
+
+    Byte ``row * (head + payload + 1)`` of a shard's file is the start of its record ``row``. ``path/layout`` holds one row:
+    ``total, length, per_shard, id_width``.
+    """
+    spark = docs.sparkSession
+    s, total = _sequences(docs, key, id_col, text_col, length, tokenizer_file)
+    width = docs.agg(F.max(F.octet_length(F.col(id_col).cast("string")))).first()[0] or 0
+    doc = F.coalesce(F.col("doc"), F.lit("")).cast("binary")
+    size = F.when(F.col("doc").isNull(), F.lit(0xFFFFFFFF)).otherwise(F.octet_length("doc").cast("bigint"))
+    padded = F.rpad(doc, width, F.lit(b"\0")) if width else F.lit(b"")
+    record = F.concat(_number(size, 4), padded, _number(F.col("part"), 8), "payload")
+    _by_shard(s.select("slot", record.alias("value")), total, per_shard, length).select(
+        "shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(f"{path}/shards")
+    spark.createDataFrame([(total, length, per_shard, width)], LAYOUT).coalesce(1).write.json(f"{path}/layout")
+    return total
+
+
+LAYOUT = "total bigint, length int, per_shard bigint, id_width int"
+RECORD = "slot bigint, shard bigint, row bigint, id string, part bigint, n_ids bigint, payload binary"
+
+
+def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """``slot, shard, row, id`` (as text), ``part, n_ids, payload`` of the slots from ``start`` up to ``stop`` (default: the end).
+
+    Only the files of their shards are opened.
+    """
+    total, length, per_shard, id_width = spark.read.schema(LAYOUT).json(f"{path}/layout").first()
+    stop = total if stop is None else min(stop, total)
+    if start >= stop:
+        return spark.createDataFrame([], RECORD)
+    files = spark.read.format("binaryFile").load(f"{path}/shards").filter(
+        F.col("shard").between(start // per_shard, (stop - 1) // per_shard))
+    head = 4 + id_width + 8
+
+    def run(batches):
+        for b in batches:
+            for shard, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                first = max(0, start - shard * per_shard)
+                last = min(stop - shard * per_shard, per_shard)
+                stride = head + 2 * length + 1
+                rec = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, stride)[first:last]
+                yield pa.RecordBatch.from_arrays(_columns(rec, shard, first, per_shard, id_width, length), names=names)
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    return files.select(F.col("shard").cast("bigint"), "content").mapInArrow(run, RECORD)
+
+
+def _columns(rec: np.ndarray, shard: int, first: int, per_shard: int, id_width: int, length: int) -> list[pa.Array]:
+    """The records of one shard, from its place ``first`` on, as columns."""
+    at, n = 4 + id_width, len(rec)
+    size = np.ascontiguousarray(rec[:, :4]).view(">u4").ravel().astype(np.int64)
+    null = size == 0xFFFFFFFF
+    size[null] = 0
+    ids = rec[:, 4:at][np.arange(id_width) < size[:, None]]
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    part = np.ascontiguousarray(rec[:, at:at + 8]).view(">i8").ravel().astype(np.int64)
+    payload = np.ascontiguousarray(rec[:, at + 8:-1])
+    over = payload.view("<u2") == END  # no text holds the end mark itself
+    used = np.where(over.any(axis=1), over.argmax(axis=1) + 1, length)
+    row = np.arange(first, first + n)
+    doc = pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(ids.tobytes()),
+                                      pa.py_buffer(np.packbits(~null, bitorder="little").tobytes()), int(null.sum()))
+    whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), n, [None, pa.py_buffer(payload)])
+    return [pa.array(shard * per_shard + row), pa.array(np.full(n, shard)), pa.array(row), doc, pa.array(part), pa.array(used),
+            whole.cast(pa.binary())]

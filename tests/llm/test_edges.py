@@ -179,20 +179,79 @@ def test_slots_are_a_permutation():
     assert training_order.slots(np.arange(1000), 1000, 5).tolist() != training_order.slots(np.arange(1000), 1000, 6).tolist()
 
 
+def plain_slot(number, total, key):
+    """The place of one number, with Python's integers and one step at a time."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+    half = 1
+    while 1 << (2 * half) < total:
+        half += 1
+    while True:
+        left, right = number >> half, number % (1 << half)
+        for r in range(4):
+            k = (key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & full
+            left, right = right, left ^ (mix((mix((right + k) & full) + k) & full) % (1 << half))
+        number = (left << half) | right
+        if number < total:
+            return number
+
+
+def test_slots_equal_a_plain_network():
+    for n, key in ((1, 3), (2, 3), (100, 0), (4097, 9), (70000, 20240607)):
+        at = range(0, n, max(1, n // 500))
+        assert training_order.slots(np.array(at), n, key).tolist() == [plain_slot(i, n, key) for i in at]
+
+
+def plain_sequences(docs, length):
+    """Every sequence of every text: (id, place in the text, ids without padding), as a sorted list."""
+    from lendframe.llm.vocabulary import tokenizer
+    out = []
+    for r in docs.collect():
+        ids = [*tokenizer().encode_ordinary(r.text or ""), training_order.END]
+        out += [(r.doc_id, i // length, tuple(ids[i:i + length])) for i in range(0, len(ids), length)]
+    return sorted(out, key=str)
+
+
 def test_shards(spark, tmp_path):
     d = edge_docs(spark)
     s = training_order.ordered_sequences(d, 3, length=16, per_shard=8)
-    rows = {r.slot: r.payload for r in s.collect()}
+    rows = {r.slot: r for r in s.collect()}
+    assert sorted((r.doc_id, r.part, tuple(np.frombuffer(r.payload, np.uint16)[:r.n_ids].tolist())) for r in rows.values()
+                  if r.doc_id is not None) == sorted(x for x in plain_sequences(d, 16) if x[0] is not None)
     path = str(tmp_path / "shards")
-    training_order.write_shards(s, path)
-    n = len(rows)
-    for a, b in ((0, n), (5, 23), (n - 1, n), (3, 3)):
-        got = {r.slot: r.payload for r in training_order.read_slots(spark, path, a, b, 16, 8).collect()}
-        assert got == {k: rows[k] for k in range(a, b)}
+    n = training_order.write_shards(d, 3, path, length=16, per_shard=8)
+    assert sorted(rows) == list(range(n))
+    for a, b in ((0, n), (5, 23), (n - 1, n), (3, 3), (n - 3, n + 50)):
+        got = {r.slot: r for r in training_order.read_slots(spark, path, a, b).collect()}
+        assert sorted(got) == list(range(a, min(b, n)))
+        for k, r in got.items():
+            w = rows[k]
+            assert (r.shard, r.row, r.id, r.part, r.n_ids, r.payload) == (
+                w.shard, w.row, None if w.doc_id is None else str(w.doc_id), w.part, w.n_ids, w.payload)
+    files = sorted((tmp_path / "shards" / "shards").glob("shard=*/*.txt"))
+    assert len(files) == -(-n // 8)
+    assert len({f.stat().st_size for f in files}) <= 2  # a fixed stride; the last shard may be shorter
     assert s.filter("n_ids = 1").count() >= 3  # null and empty texts: the end mark alone
     assert training_order.ordered_sequences(no_docs(spark), 3).count() == 0
 
 
+def test_shards_of_text_ids_and_of_nothing(spark, tmp_path):
+    d = spark.createDataFrame([("a\nb", "one two"), (None, "three"), ("", None), ("\u00e9" * 40, LONG), ("a\nb", "one two")],
+                              "doc_id string, text string")
+    path = str(tmp_path / "named")
+    training_order.write_shards(d, 11, path, length=8, per_shard=1000)
+    got = [(r.id, r.part, tuple(np.frombuffer(r.payload, np.uint16)[:r.n_ids].tolist()))
+           for r in training_order.read_slots(spark, path).collect()]
+    assert sorted(got, key=str) == plain_sequences(d, 8)
+    empty = str(tmp_path / "empty")
+    assert training_order.write_shards(no_docs(spark), 11, empty) == 0
+    assert training_order.read_slots(spark, empty).count() == 0
+
+
 def test_word_memory_equals_the_tokenizer(monkeypatch):
     from lendframe.llm.vocabulary import tokenizer
     monkeypatch.setattr(training_order, "REMEMBERED", 10)
