@@ -28,64 +28,21 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lendframe.llm.common import tasks
+from lendframe.llm.common import slices, tasks
 from lendframe.llm.vocabulary import RANKS, tokenizer
 from lendframe.session import scratch_path
 
 END = 50256  # the free id of the vocabulary
 LENGTH = 256
-PER_SHARD = 16_384
+PER_SHARD = 4096  # more at scale: shards of a gigabyte can be read as well, in pieces of READ_ROWS
+READ_ROWS = 2048
 TASK_BYTES = 512 << 20  # payload that one task sorts and writes
 ROUNDS = 4
-REMEMBERED = 400_000  # words whose ids a task remembers
 
 
-class WordMemory:
-    """Ids of whole texts, put together from remembered words.
-
-    The pattern never joins what stands on both sides of a single space between other characters, so a
-    text can be cut before each such space. Texts with other white space beside a space are encoded whole.
-    """
-
-    def __init__(self, path: str = RANKS):
-        self.enc = tokenizer(path)
-        self.opens = np.zeros(END + 1, bool)
-        self.opens[[self.enc.encode_single_token(t) for t in self.enc.token_byte_values() if t[:1] == b" "]] = True
-        self.seen: dict[str, bytes | None] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.enc.encode_ordinary(text), np.uint16).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Encode new words side by side; each begins where a token begins with a space."""
-        good = []
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                self.seen[w] = None
-            else:
-                good.append(w)
-        if good:
-            ids = np.array(self.enc.encode_ordinary(" " + " ".join(good)), np.uint16)
-            at = (2 * np.flatnonzero(self.opens[ids])).tolist()
-            raw = ids.tobytes()
-            self.seen.update(zip(good, map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)])), strict=True))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Two-byte ids of each text."""
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        split = [t.split(" ") for t in texts]
-        known = self.seen.keys()
-        self._learn({w for s in split for w in s[1:] if w not in known})
-        get = self.seen.__getitem__
-        out = []
-        for t, (first, *rest) in zip(texts, split, strict=True):
-            words = list(map(get, rest))
-            if not first or first[-1].isspace() or None in words:
-                out.append(self.whole(t))
-            else:
-                out.append(self.whole(first) + b"".join(words))
-        return out
+def encoded(texts: list[str], enc) -> list[bytes]:
+    """Two-byte ids of each text."""
+    return [np.array(enc.encode_ordinary(t), "<u2").tobytes() for t in texts]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -117,16 +74,17 @@ def _token_table(docs: DataFrame, id_col: str, text_col: str, length: int, path:
     src = docs.select(F.col(id_col).cast("string").alias("doc"), F.make_valid_utf8(F.col(text_col)).alias("t"))
 
     def run(batches):
-        memory, n, part = WordMemory(path), 0, TaskContext.get().partitionId()
+        enc, n, part = tokenizer(path), 0, TaskContext.get().partitionId()
         end = np.array([END], np.uint16).tobytes()
         for b in batches:
-            ids = [x + end for x in memory.ids([t or "" for t in b.column(1).to_pylist()])]
-            counts = [-(-len(x) // (2 * length)) for x in ids]
-            before = np.cumsum([n, *counts])
-            n = int(before[-1])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(before[:-1], pa.int64()),
-                 pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc", "part", "before", "n", "ids"])
+            for at, size in slices(b.column(1)):
+                ids = [x + end for x in encoded([t or "" for t in b.column(1).slice(at, size).to_pylist()], enc)]
+                counts = [-(-len(x) // (2 * length)) for x in ids]
+                before = np.cumsum([n, *counts])
+                n = int(before[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, size), pa.array([part] * len(ids), pa.int32()), pa.array(before[:-1], pa.int64()),
+                     pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc", "part", "before", "n", "ids"])
     schema = "doc string, part int, before bigint, n bigint, ids binary"
     out = scratch_path(docs.sparkSession, "tokens")
     src.mapInArrow(run, schema).write.option("compression", "zstd").parquet(out)
@@ -241,7 +199,9 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, stop: int | None
                 last = min(stop - shard * per_shard, per_shard)
                 stride = head + 2 * length + 1
                 rec = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, stride)[first:last]
-                yield pa.RecordBatch.from_arrays(_columns(rec, shard, first, per_shard, id_width, length), names=names)
+                for at in range(0, len(rec), READ_ROWS):
+                    yield pa.RecordBatch.from_arrays(
+                        _columns(rec[at:at + READ_ROWS], shard, first + at, per_shard, id_width, length), names=names)
     names = [x.split()[0] for x in RECORD.split(", ")]
     return files.select(F.col("shard").cast("bigint"), "content").mapInArrow(run, RECORD)
 

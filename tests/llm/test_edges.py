@@ -252,14 +252,6 @@ def test_shards_of_text_ids_and_of_nothing(spark, tmp_path):
     assert training_order.read_slots(spark, empty).count() == 0
 
 
-def test_word_memory_equals_the_tokenizer(monkeypatch):
-    from lendframe.llm.vocabulary import tokenizer
-    monkeypatch.setattr(training_order, "REMEMBERED", 10)
-    m, e = training_order.WordMemory(), tokenizer()
-    texts = ["", " ", "  ", "a", " a  b ", "x \n y", "日本語 の", "\n\n\t x\r\n", "don't I'll", "a  b c", "x  ", "one two three ", LONG]
-    assert [np.frombuffer(x, np.uint16).tolist() for _ in range(2) for x in m.ids(texts)] == [e.encode_ordinary(t) for t in texts] * 2
-
-
 TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|end|>\n<^| \\x"), (2, 0, "user", "hi"), (2, 1, "assistant", "other"),
          (3, 0, "user", "hi"), (3, 1, "assistant", "other"), (3, 2, "user", None), (4, 0, None, ""), (4, 0, "a|>\n%", "tie"),
          (5, 0, "user", "hi"), (5, 1, "assistant", "<|end|>\n<^| \\x"), (6, None, "system", "s"), (None, 0, "user", "no id"),
