@@ -19,8 +19,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lendframe.llm.common import stored
 
-#: Suffixes of more than one label under which names are registered. Fixed values; others are the last label.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br")
+#: Suffixes of more than one label under which names are registered, the default of a parameter. Fixed values, from the
+#: public list of such suffixes; others are the last label. Forms like ``*.ck`` and ``!www.ck`` are understood as in that list.
+LONG_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "ltd.uk", "net.uk", "org.uk", "plc.uk", "com.au", "edu.au", "gov.au", "net.au", "org.au",
+                 "ac.jp", "co.jp", "ne.jp", "or.jp", "co.nz", "govt.nz", "org.nz", "com.br", "gov.br", "org.br", "co.in", "gov.in",
+                 "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "co.kr", "or.kr", "co.za", "com.mx", "com.tr", "com.ar", "com.sg",
+                 "com.tw", "com.hk", "co.il", "github.io", "gitlab.io", "blogspot.com")
 Z = 1.645
 THRESHOLD = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,14 +44,25 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substring(u, at + 3, F.length(u))).otherwise("")
 
 
-def domain_levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix."""
+def domain_levels(host: Column, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix: the longest suffix of the list that fits, else the last label, and one label more.
+
+    ``*.x`` is every suffix of one label before ``x``; ``!a.x`` takes ``a.x`` back from it. The list is a parameter, not data.
+    """
     label = F.split(F.regexp_replace(host, r":\d*$", ""), r"\.")
     n = F.size(label)
-    two = F.concat_ws(".", F.slice(label, F.greatest(n - 1, F.lit(1)), 2))
-    three = F.concat_ws(".", F.slice(label, F.greatest(n - 2, F.lit(1)), 3))
-    long = two.isin(*LONG_SUFFIXES)
-    return F.when(long, three).otherwise(two), F.when(long, two).otherwise(F.element_at(label, -1))
+
+    def tail(m):
+        return F.concat_ws(".", F.slice(label, F.greatest(n - m + 1, F.lit(1)), m))
+    back = {s[1:] for s in suffixes if s.startswith("!")}
+    wild = {s[2:] for s in suffixes if s.startswith("*.")}
+    plain = {s for s in suffixes if s[:1] not in ("!", "*")}
+    size = F.lit(1)
+    for m in range(2, 2 + max([s.count(".") for s in suffixes], default=0)):
+        size = F.when((n >= m) & (tail(m).isin(*plain) | tail(m - 1).isin(*wild)), m).otherwise(size)
+    for s in back:
+        size = F.when((host == s) | host.endswith("." + s), s.count(".")).otherwise(size)
+    return tail(size + 1), tail(size)
 
 
 def match_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -60,12 +75,12 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> Col
     return best
 
 
-def host_posteriors(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
+def host_posteriors(outcomes: DataFrame, hosts: DataFrame, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
     """``host, alpha, beta`` for every distinct host; ``outcomes``: host, good (0 or 1)."""
     seen = outcomes.filter("good is not null").groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("k"))
     h = hosts.select("host").distinct().join(seen, "host", "full").na.fill(0, ["n", "k"])
-    domain, suffix = domain_levels(F.col("host"))
+    domain, suffix = domain_levels(F.col("host"), suffixes)
     h = stored(h.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"), "hosts")
     by_domain = stored(h.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -96,10 +111,11 @@ def prior_weight(groups: DataFrame) -> float:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id",
-          url_col: str = "url", z: float = Z, threshold: float = THRESHOLD) -> DataFrame:
+          url_col: str = "url", z: float = Z, threshold: float = THRESHOLD,
+          suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
     """id, ``host``, ``path``, ``rule``, ``verdict`` and the lower ``bound`` of the host's posterior, for every page."""
     p = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    post = host_posteriors(outcomes, p)
+    post = host_posteriors(outcomes, p, suffixes)
     total = F.col("alpha") + F.col("beta")
     mean = F.col("alpha") / total
     bound = mean - z * F.sqrt(mean * (1 - mean) / (total + 1))
