@@ -5,12 +5,13 @@ Texts are lower-cased (A-Z) and cut into words; the benchmark gives windows of
 windows scans each normalised text once; word positions are mapped back to
 offsets in the original text.
 
-The automaton is sent to the tasks in blocks of a bounded number of pattern
-characters. A benchmark beyond one block is scanned in several passes, whose hits
+Windows are made, freed of repetitions and dealt to blocks in Spark, as pairs of a window and an item id. A block holds a
+bounded number of characters, those of the ids included, so a window that many items share is spread over blocks. One
+block at a time is collected and sent to the tasks. A benchmark beyond one block is scanned in several passes, whose hits
 are merged row by row between stored tables; nothing is dropped.
 
 Defined results: null and empty texts, and texts without words, have no words and no
-hits. Repeated rows are judged one by one. Repeated items, and items with a
+hits. A very long document is scanned whole; a very long item gives its windows in pieces. There are no ties. Repeated rows are judged one by one. Repeated items, and items with a
 null id (shown as ``""``), count as ids once each. An empty benchmark hits nothing.
 Columns of the input that have the name of a result column are replaced.
 """
@@ -23,13 +24,15 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lendframe.llm.common import annotate, stored, utf8
 
 WIDTH = 10
-#: Bound on what one broadcast automaton holds: at most one trie node per pattern character.
+#: Bound on what one broadcast automaton holds, in characters of windows (a trie node each at most) and of item ids.
 BLOCK_CHARS = 4_000_000
+SENT = 10_000  # windows of an item that a task sends on at once
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 #: Bytes outside 0-9, a-z and the non-ASCII range separate words; A-Z become a-z.
@@ -41,27 +44,40 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def windows(item: bytes, width: int = WIDTH) -> set[bytes]:
-    w = words(item)
-    if not w:
-        return set()
-    return {b" ".join(w[i:i + width]) for i in range(max(1, len(w) - width + 1))}
+def window_pairs(bench: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
+    """Distinct ``window`` (words joined by spaces), ``item`` (id as text, ``""`` for null) and the ``size`` of both; stored."""
+    src = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
+
+    def run(batches):
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+                w = words(text.as_py())
+                n = max(1, len(w) - width + 1) if w else 0
+                for at in range(0, n, SENT):
+                    found = [b" ".join(w[i:i + width]) for i in range(at, min(n, at + SENT))]
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([item] * len(found))], names=["window", "item"])
+    pairs = src.mapInArrow(run, "window binary, item string").distinct()
+    return stored(pairs.withColumn("size", F.octet_length("window") + F.octet_length("item") + 2), "windows")
 
 
 def _blocks(bench: DataFrame, id_col: str, text_col: str, width: int, block_chars: int) -> Iterator[dict]:
-    """Bounded blocks of window -> item ids; items stream through the driver one partition at a time."""
-    block: dict[str, set[str]] = {}
-    size = 0
-    for item, text in bench.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        for w in windows((text or "").encode(), width):
-            pattern = f" {w.decode()} "
-            size += 0 if pattern in block else len(pattern)
-            block.setdefault(pattern, set()).add(item or "")
-            if size >= block_chars:
-                yield block
-                block, size = {}, 0
-    if block:
-        yield block
+    """Window -> item ids, block by block; no block is larger than the bound (or than twice the largest pair)."""
+    pairs = window_pairs(bench, id_col, text_col, width)
+    total, largest = pairs.agg(F.sum("size"), F.max("size")).first()
+    bound = max(block_chars, 2 * (largest or 0))
+    n = -(-(total or 0) // bound)
+
+    def place(n):
+        return F.pmod(F.xxhash64("window", "item"), F.lit(n))
+    while n > 1 and pairs.groupBy(place(n).alias("k")).agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0] > bound:
+        n += -(-n // 4)
+    for k in range(n):
+        block: dict[str, list[str]] = {}
+        rows = pairs.filter(place(n) == k).select("window", "item").toArrow()
+        for window, item in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+            block.setdefault(f" {window.decode('utf-8', 'surrogateescape')} ", []).append(item)
+        if block:
+            yield block
 
 
 def annotate_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -72,16 +88,17 @@ def annotate_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
     sc = docs.sparkSession.sparkContext
     carry = docs.columns if carry is None else carry
     carry = [c for c in carry if c not in {n for n, _ in FIELDS}]
-    scan, done = docs, False
+    scan, sent = docs, None
     # the text column stays while passes remain; its name is kept apart from the carried ones
     held = scan.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias("_scan_text"),
                        F.lit(None).cast(SPAN).alias("hits"), F.lit(None).cast(ITEMS).alias("items"))
     for block in _blocks(bench, item_col, item_text_col, width, block_chars):
-        if done:
+        if sent:
             held = stored(held, "hits")
-        held = _scan(held, sc.broadcast({k: sorted(v) for k, v in block.items()}), carry)
-        done = True
-    if not done:
+            sent.destroy()  # its pass is stored
+        sent = sc.broadcast(block)
+        held = _scan(held, sent, carry)
+    if not sent:
         held = _scan(held, sc.broadcast({}), carry)
     return held.drop("_scan_text").select(*carry, *[n for n, _ in FIELDS])
 

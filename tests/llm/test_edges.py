@@ -179,6 +179,42 @@ def test_slots_are_a_permutation():
     assert training_order.slots(np.arange(1000), 1000, 5).tolist() != training_order.slots(np.arange(1000), 1000, 6).tolist()
 
 
+def plain_levels(host, suffixes):
+    """Registered domain and suffix, label by label."""
+    label = host.split(".")
+    best = 1
+    for m in range(1, len(label) + 1):
+        tail, above = ".".join(label[-m:]), ".".join(label[len(label) - m + 1:])
+        if tail in suffixes or (m > 1 and "*." + above in suffixes):
+            best = max(best, m)
+    for m in range(1, len(label) + 1):
+        if "!" + ".".join(label[-m:]) in suffixes:
+            best = m - 1
+    return ".".join(label[-best - 1:]), ".".join(label[-best:])
+
+
+@pytest.mark.parametrize("suffixes", [(), url_reputation.LONG_SUFFIXES, ("uk.com", "a.b.c.jp", "*.ck", "!www.ck", "*.k.jp", "!city.k.jp")])
+def test_suffixes_of_a_list(spark, suffixes):
+    hosts = ["", "com", "a.com", "x.y.co.uk", "co.uk", "uk", "me.github.io", "b.c.jp", "a.b.c.jp", "q.a.b.c.jp", "www.ck", "x.www.ck", "shop.ck",
+             "x.shop.ck", "ck", "city.k.jp", "t.city.k.jp", "t.u.k.jp", "k.jp", "n.uk.com", "..", "a..co.uk"]
+    d = spark.createDataFrame([(h,) for h in hosts], "host string")
+    domain, suffix = url_reputation.domain_levels(F.col("host"), suffixes)
+    got = {r.host: (r.d, r.s) for r in d.select("host", domain.alias("d"), suffix.alias("s")).collect()}
+    assert got == {h: plain_levels(h, suffixes) for h in hosts}
+
+
+def test_reputation_under_another_list(spark):
+    pages = spark.createDataFrame([(1, "http://bad.github.io/x"), (2, "http://fine.github.io/y"), (3, "http://new.github.io/z"), (4, "http://a.com/" + "p" * 100_000)],
+                                  "page_id bigint, url string")
+    seen = spark.createDataFrame([("bad.github.io", 0)] * 40 + [("fine.github.io", 1)] * 40 + [("a.com", 1)], "host string, good int")
+    for suffixes in ((), ("github.io",)):
+        rows = {r.page_id: r for r in url_reputation.judge(pages, seen, [], suffixes=suffixes).collect()}
+        assert (rows[1].verdict, rows[2].verdict, len(rows[4].path)) == ("block", "allow", 100_001)
+        post = {r.host: (r.alpha, r.beta) for r in url_reputation.host_posteriors(seen, pages.select(
+            url_reputation.host_of(F.col("url")).alias("host")), suffixes).collect()}
+        assert len(post) == 4
+
+
 def plain_slot(number, total, key):
     """The place of one number, with Python's integers and one step at a time."""
     full = (1 << 64) - 1
@@ -431,6 +467,25 @@ def test_hits(spark, block):
     assert decontaminate.report(d, b.limit(0)).filter("contaminated").count() == 0
 
 
+def test_hits_of_a_window_that_many_items_share(spark):
+    """A third of the items hold one window: their ids are spread over blocks, and none is lost."""
+    shared = "s1 s2 s3 s4 s5 s6 s7 s8 s9 s10"
+    b = spark.createDataFrame([(i, shared if i % 3 == 0 else f"only{i} a b") for i in range(600)], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, f"x {shared} y"), (2, "ONLY7 a b"), (3, f"{shared} only8, A b"), (4, "clean")], "doc_id bigint, text string")
+    blocks = list(decontaminate._blocks(b, "item_id", "text", 10, 2000))
+    assert len(blocks) > 5
+    assert max(sum(len(w) + len(i) for w, ids in x.items() for i in ids) for x in blocks) <= 2000
+    thirds = {str(i) for i in range(0, 600, 3)}
+    got = {r.doc_id: set(r["items"]) for r in decontaminate.annotate_hits(d, b, block_chars=5000).collect()}
+    assert got == {1: thirds, 2: {"7"}, 3: thirds | {"8"}, 4: set()}
+
+
+def test_windows_of_a_long_item_come_in_pieces(spark):
+    text = " ".join(f"w{i}" for i in range(25_000))
+    b = spark.createDataFrame([(1, text), (2, text), (3, "w1")], "item_id bigint, text string")
+    assert decontaminate.window_pairs(b, "item_id", "text").count() == 2 * (25_000 - 9) + 1
+
+
 def small_field():
     r = np.random.default_rng(3)
     f = toxicity.Field({b"=a": 1, b"=b": 2, b"=c": 3})
