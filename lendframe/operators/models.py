@@ -13,7 +13,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier)
+    GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,9 +21,10 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
 from lendframe.operators import metrics
+from lendframe.operators.ranking import hash_key, hash_row_number
 from lendframe.operators.split import kfold, stratified_split
 from lendframe.operators.stats import params_frame
-from lendframe.session import saved
+from lendframe.session import checkpoint, saved, scratch_path
 
 FEATURES = "features"
 
@@ -119,6 +120,47 @@ def importance_table(spark, model, columns: list[str], top: int | None = None) -
     return t.limit(top) if top else t
 
 
+def tree_nodes(spark, model) -> DataFrame:
+    """Stored nodes of a forest or boosted trees: ``tree, node, feature`` (its number, null at a leaf), ``gain`` and weighted ``rows``."""
+    path = scratch_path(spark, "trees")
+    model.save(path)
+    n = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    # the trees of boosting are fitted on residuals: count, sum, sum of squares instead of one count a class
+    stats = F.col("impurityStats")
+    rows = stats[0] if isinstance(model, GBTClassificationModel) else F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
+    inner = F.col("leftChild") >= 0
+    return n.select(F.col("treeID").alias("tree"), F.col("id").alias("node"), F.when(inner, F.col("split.featureIndex")).alias("feature"),
+                    F.when(inner, F.col("gain")).alias("gain"), rows.alias("rows"))
+
+
+def split_importance(spark, model, columns: list[str]) -> DataFrame:
+    """``feature, weight`` (splits on it), mean ``gain`` and ``cover`` (weighted rows) of a split, and their totals; unused features give 0."""
+    used = tree_nodes(spark, model).where("feature is not null").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("weight"), F.avg("gain").alias("gain"), F.avg("rows").alias("cover"), F.sum("gain").alias("total_gain"),
+        F.sum("rows").alias("total_cover")).withColumnRenamed("feature", "_i")
+    names = params_frame(spark, list(enumerate(columns)), "_i int, feature string")
+    return names.join(used, "_i", "left").drop("_i").na.fill(0)
+
+
+def permutation_importance(model, df: DataFrame, label: str, columns: list[str], seed: int = 42) -> DataFrame:
+    """``feature, auc`` with the feature's values dealt to other rows, and the ``drop`` against the rows as they are.
+
+    ``df`` is an assembled table with ``row_id``. One permutation of all rows serves every feature: rows meet
+    their donors in two hash orders, and a row is scored once a feature with that one value taken from its donor.
+    """
+    rows = df.select("row_id", label, vector_to_array(FEATURES).alias("_x"))
+    own = hash_row_number(rows.withColumn("_h", hash_key("row_id", seed)), "_h").drop("_h")
+    donors = hash_row_number(rows.select("row_id", F.col("_x").alias("_y")).withColumn("_h", hash_key("row_id", seed + 1)), "_h").select("rn", "_y")
+    k = F.explode(F.array(F.lit(-1), *[F.lit(i) for i in range(len(columns))]))
+    mixed = own.join(donors, "rn").withColumn("_k", k).withColumn(FEATURES, array_to_vector(F.transform(
+        "_x", lambda v, i: F.when(i == F.col("_k"), F.element_at("_y", i + 1)).otherwise(v))))
+    scored = score(model, mixed.select("row_id", label, "_k", FEATURES), label, "model", keep=("_k",))
+    auc = checkpoint(metrics.rank_metrics(scored, ("_k",)).select("_k", "auc"))
+    base = auc.where("_k = -1").select(F.col("auc").alias("_base"))
+    names = params_frame(df.sparkSession, list(enumerate(columns)), "_k int, feature string")
+    return names.join(auc, "_k").join(F.broadcast(base)).select("feature", "auc", (F.col("_base") - F.col("auc")).alias("drop"))
+
+
 def boosting_history(model, df: DataFrame) -> DataFrame:
     """Loss after each boosting round."""
     losses = model.evaluateEachIteration(df if "weight" in df.columns else df.withColumn("weight", F.lit(1.0)))

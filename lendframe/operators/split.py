@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
-from lendframe.operators.ranking import hash_fraction, hash_key, hash_row_number, ordered_row_number
+from lendframe.operators.ranking import hash_fraction, hash_key, hash_row_number, ordered_row_number, running_totals
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
@@ -69,8 +72,49 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     return r.select(group, "size", F.when(F.floor(pos / k) % 2 == 0, inner).otherwise(k - 1 - inner).cast("int").alias("fold"))
 
 
-def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Rows with the fold of their group."""
+#: Groups that are placed one by one on the lightest fold; the others go by a running total.
+HEAVY_GROUPS = 10_000
+
+
+def lightest_folds(df: DataFrame, group: str, k: int = 5, heavy: int = HEAVY_GROUPS) -> DataFrame:
+    """Table ``(group, size, fold)``: by falling size (ties by group), each group goes to the lightest fold (ties to the first).
+
+    The ``heavy`` largest groups are placed so, on the driver, which holds no more than these. The rest fill what every
+    fold lacks to a common level, in order of size by a running total: loads then differ by less than twice the
+    largest of the rest, unless a heavy group alone is above that level. Null is a group like any other.
+    """
+    sizes = ordered_row_number(df.groupBy(group).agg(F.count(F.lit(1)).alias("size")), [F.desc("size"), F.asc(group)])
+    loads = [(0, f) for f in range(k)]
+    placed = []
+    for r in sizes.where(F.col("rn") <= heavy).orderBy("rn").select("rn", "size").collect():
+        load, f = heapq.heappop(loads)
+        heapq.heappush(loads, (load + r["size"], f))
+        placed.append((r["rn"], f))
+    spark = df.sparkSession
+    first = sizes.join(F.broadcast(spark.createDataFrame(placed, "rn bigint, fold int")), "rn").select(group, "size", "fold")
+    rest = sizes.where(F.col("rn") > heavy)
+    total = rest.agg(F.sum("size")).first()[0]
+    if not total:
+        return first
+    load = [x for x, _ in sorted(loads, key=lambda e: e[1])]
+    # the level up to which the rest fills the folds: only folds below it take part
+    low = sorted(load)
+    level = next(v for j in range(1, k + 1) if (v := (sum(low[:j]) + total) / j) <= (low[j] if j < k else math.inf))
+    begin, edge = F.col("cum_size") - F.col("size"), 0.0
+    fold = F.lit(None).cast("int")
+    for f in sorted(range(k), key=lambda f: load[f], reverse=True):  # the last interval has no end
+        if level > load[f]:
+            fold = F.coalesce(fold, F.when(begin < edge + level - load[f], f))
+            edge, last = edge + level - load[f], f
+    dealt = running_totals(rest, "rn", ["size"]).withColumn("fold", F.coalesce(fold, F.lit(last)))
+    return first.unionByName(dealt.select(group, "size", "fold"))
+
+
+def group_kfold(df: DataFrame, group: str, k: int = 5, lightest: bool = False) -> DataFrame:
+    """Rows with the fold of their group, dealt forth and back or (``lightest``) always to the lightest fold."""
+    if lightest:
+        folds = lightest_folds(df, group, k).select(F.col(group).alias("_g"), "fold")
+        return df.join(folds, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     return df.join(group_folds(df, group, k).select(group, "fold"), group)
 
 

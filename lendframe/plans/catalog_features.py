@@ -396,6 +396,15 @@ def _(t):
     return split.time_splits(t.lab.select("application_id", "application_date"), ["application_date", "application_id"], 4, gap=10, max_train=5000).select("application_id", "split", "role")
 
 
+@query("p6_lightest_folds", "WITH RECURSIVE s AS (SELECT l_suppkey, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) AS rn FROM lineitem GROUP BY l_suppkey), "
+       "g AS (SELECT 0::bigint AS rn, [0, 0, 0, 0, 0]::bigint[] AS loads, NULL::int AS fold UNION ALL "
+       "SELECT s.rn, list_transform(g.loads, lambda x, i: x + CASE WHEN i = list_position(g.loads, list_min(g.loads)) THEN s.size ELSE 0 END), "
+       "(list_position(g.loads, list_min(g.loads)) - 1)::int FROM g JOIN s ON s.rn = g.rn + 1) "
+       "SELECT l_orderkey, l_linenumber, l_suppkey, fold FROM lineitem JOIN s USING (l_suppkey) JOIN g USING (rn)", loans=False)
+def _(t):
+    return split.group_kfold(t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"), "l_suppkey", lightest=True)
+
+
 @query("p6_group_kfold", "WITH s AS (SELECT o_custkey, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, o_custkey) - 1 AS pos FROM orders GROUP BY o_custkey) "
        "SELECT o_orderkey, o_custkey, cast(case when (pos // 5) % 2 = 0 then pos % 5 else 4 - pos % 5 end as int) AS fold FROM orders JOIN s USING (o_custkey)", loans=False)
 def _(t):

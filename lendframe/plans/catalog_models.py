@@ -103,6 +103,18 @@ def _(t):
     return rnd(ml.importance_table(t.spark, _rf(tr), X, 5), 6)
 
 
+@query("l8_split_importance")
+def _(t):
+    tr, _te = _data(t)
+    return rnd(ml.split_importance(t.spark, _gbt(tr), X), 6)
+
+
+@query("l8_permutation_importance")
+def _(t):
+    tr, te = _data(t)
+    return rnd(ml.permutation_importance(_rf(tr), te, Y, X), 6)
+
+
 @query("l10_leaves")
 def _(t):
     tr, te = _data(t)
