@@ -17,10 +17,10 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
 from lendframe.operators import metrics
+from lendframe.operators.isotonic import apply_blocks, isotonic_blocks
 from lendframe.operators.ranking import hash_key, hash_row_number
 from lendframe.operators.split import kfold, stratified_split
 from lendframe.operators.stats import params_frame
@@ -305,18 +305,13 @@ def apply_platt(preds: DataFrame, model) -> DataFrame:
     return preds.withColumn("proba", 1.0 / (1.0 + F.exp(-(F.col("proba") * a + b))))
 
 
-def fit_isotonic(preds: DataFrame):
-    """Isotonic regression on the exact probabilities; equal ones are folded to a weight and a mean label first.
-
-    The library pools violators inside ordered partitions in parallel before the last pass.
-    """
-    g = preds.groupBy(F.col("proba").alias("x")).agg(F.avg(F.col("label").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(g)
+def fit_isotonic(preds: DataFrame) -> DataFrame:
+    """Isotonic regression on the exact probabilities, as a stored table of blocks."""
+    return isotonic_blocks(preds)
 
 
-def apply_isotonic(preds: DataFrame, model) -> DataFrame:
-    p = model.setFeaturesCol("proba").setPredictionCol("_iso").transform(preds)
-    return p.withColumn("proba", F.least(F.greatest(F.col("_iso"), F.lit(0.0)), F.lit(1.0))).drop("_iso")
+def apply_isotonic(preds: DataFrame, blocks: DataFrame) -> DataFrame:
+    return apply_blocks(preds, blocks)
 
 
 def stack(df: DataFrame, test: DataFrame, label: str, fits: dict[str, Callable], k: int = 5, parallel: int = 4) -> DataFrame:
