@@ -244,7 +244,8 @@ def _(t):
 
 def _prepared(t):
     """All 28 prepared inputs of all rows."""
-    return checkpoint(Preparation(t.lab)(t.lab).select(*X, Y))
+    lab = t.lab
+    return checkpoint(Preparation(lab)(t.dealt(lab)).select(*X, Y))
 
 
 @query("r7_recursive_elimination")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from lendframe.sources.loans import LOANS_CTE, loan_applications
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Applications of one task, where there are more of them than two tasks a core would take.
+TASK_ROWS = 100_000
 
 
 class Tables:
@@ -29,6 +32,14 @@ class Tables:
     def lab(self) -> DataFrame:
         return loan_applications(self.spark, self.dir, copies=False)
 
+    def dealt(self, df: DataFrame) -> DataFrame:
+        """The applications of ``df`` dealt to tasks of about ``TASK_ROWS``; few of them stay as they are.
+
+        Scan and join are cut by the bytes of their few columns, so a task there has the more of the wide rows the larger the table is.
+        """
+        n = math.ceil(self.orders.count() / TASK_ROWS)
+        return df.repartition(n, "application_id") if n > 2 * self.spark.sparkContext.defaultParallelism else df
+
     @property
     def preds(self) -> DataFrame:
         from lendframe.plans.predictions import prediction_table

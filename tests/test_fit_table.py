@@ -37,3 +37,12 @@ def test_predictions_of_folds_and_blends_are_stored(spark):
     assert abs(whole["l"] - alone) < 1e-9
     p, w = ml.blend(df, df, "y", fits)
     assert p.inputFiles() and p.count() == 400 and abs(sum(w.values()) - 1) < 1e-9
+
+
+def test_applications_of_a_task_are_bounded(spark, sf, monkeypatch):
+    from lendframe.plans import catalog_models, registry
+    t = registry.Tables(spark, sf)
+    monkeypatch.setattr(registry, "TASK_ROWS", 50)
+    for d, n in ((catalog_models._prepared(t), t.lab.count()), (t.dealt(t.loans), t.loans.count())):
+        sizes = [r["count"] for r in d.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == n and max(sizes) < 2 * 50
