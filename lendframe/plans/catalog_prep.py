@@ -444,7 +444,7 @@ def _(t):
     f"SELECT '{c}' AS \"column\", count({c}) AS total, count(distinct {c}) AS unique_count, round(count(distinct {c}) * 1e0 / count({c}), 6) AS ratio, "
     f"count({c}) - count(distinct {c}) AS duplicates, count(distinct {c}) * 1e0 / count({c}) > 0.95e0 and count({c}) > 10 AS key_candidate FROM {L}" for c in ALL))
 def _(t):
-    return rnd(quality.uniqueness(t.loans), 6)
+    return rnd(quality.uniqueness(t.dealt(t.loans)), 6)
 
 
 @query("q4_row_uniqueness", f"SELECT (SELECT count(*) FROM {L}) AS total, count(*) AS distinct_rows, (SELECT count(*) FROM {L}) - count(*) AS duplicates, "

@@ -93,7 +93,7 @@ def _infer(c: str) -> str:
 
 @query("t7_infer_types", union(_infer(c) for c in ALL))
 def _(t):
-    return convert.infer_types(t.loans)
+    return convert.infer_types(t.dealt(t.loans))
 
 
 @query("t8_coerce_numeric", f"SELECT o_orderkey, coalesce({_parse('trim(i)')}, 0e0) AS v FROM (SELECT o_orderkey, {_INT} AS i FROM orders)", loans=False)
