@@ -10,13 +10,16 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Up to this many rows the built-in exact ``percentile`` (a value map in one
-#: task) is used; beyond it the two-pass bracket search below.
+#: task) is used; beyond it the bracket search below.
 EXACT_PERCENTILE_ROWS = 2_000_000
-#: Relative rank error of the sketch is 1 / SKETCH_ACCURACY.
-SKETCH_ACCURACY = 10_000
+#: Bits by which a read narrows a bracket, and rows of a bracket that are few enough to be listed by value.
+BUCKET_BITS = 12
+LISTED_ROWS = 10_000
 
 
 @dataclass
@@ -129,9 +132,9 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[float, ...]],
                     limit: int | None = None) -> dict[str, dict[float, float]]:
     """Exact linear-interpolated quantiles, at any size.
 
-    Small inputs use ``percentile``. Larger ones take a mergeable sketch first,
-    which brackets every wanted rank, and then count and sort only the values
-    inside the brackets (a share of about 4 / SKETCH_ACCURACY of the rows).
+    Small inputs use ``percentile``. Larger ones narrow a bracket around every
+    wanted rank by counts, in numpy per Arrow batch: three or four reads in all,
+    whose work does not depend on the number of wanted quantiles.
     """
     cols = list(wanted)
     if not cols:
@@ -158,56 +161,120 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[float, ...]],
             out[c] = dict(zip(wanted[c], r[i])) if r[i] is not None else {p: None for p in wanted[c]}
     big = {c: wanted[c] for c in cols if counts[c] > limit}
     if big:
-        out.update(_bracket_search(df, big, counts, 2.0 / SKETCH_ACCURACY))
+        out.update(_bracket_search(df, big, counts))
     return out
 
 
-def _bracket_search(df: DataFrame, wanted: dict[str, tuple[float, ...]], counts: dict[str, int],
-                    eps: float) -> dict[str, dict[float, float]]:
-    cols = list(wanted)
-    sketch = df.agg(*[  # one row
-        F.percentile_approx(
-            F.col(c).cast("double"),
-            F.array(*[F.lit(v) for p in wanted[c] for v in (max(p - eps, 0.0), min(p + eps, 1.0))]),
-            SKETCH_ACCURACY).alias(f"q{i}")
-        for i, c in enumerate(cols)]).first()
-    slots: list[tuple[str, float, float, float]] = []
-    for i, c in enumerate(cols):
-        for j, p in enumerate(wanted[c]):
-            slots.append((c, p, sketch[i][2 * j], sketch[i][2 * j + 1]))
-    below = df.agg(*[F.count_if(F.col(c).cast("double") < F.lit(lo)).alias(f"b{k}")
-                     for k, (c, _, lo, _) in enumerate(slots)]).first()
-    inside = df.select(F.explode(F.filter(F.array(*[
-        F.when(F.col(c).cast("double").between(lo, hi),
-               F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")))
-        for k, (c, _, lo, hi) in enumerate(slots)]), lambda e: e.isNotNull())).alias("e")).select("e.*")
-    counted = inside.groupBy("k", "v").count()
-    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("cum", F.sum("count").over(w))
-    targets = []
-    for k, (c, p, _, _) in enumerate(slots):
-        pos = p * (counts[c] - 1)
-        lo_rank = math.floor(pos) - below[k]
-        hi_rank = min(math.floor(pos) + 1, counts[c] - 1) - below[k]
-        targets.append((lo_rank, hi_rank, pos - math.floor(pos)))
-    picked = ranked.groupBy("k").agg(*[
-        F.min(F.when(F.col("cum") > F.element_at(F.array(*[F.lit(t[side]) for t in targets]), F.col("k") + 1),
-                     F.col("v"))).alias(f"x{side}") for side in (0, 1)]).collect()
-    got = {r["k"]: r for r in picked}
-    out: dict[str, dict[float, float]] = {c: {} for c in cols}
-    for k, (c, p, _, _) in enumerate(slots):
-        lo_rank, hi_rank, frac = targets[k]
-        r = got.get(k)
-        if lo_rank < 0 or r is None or r["x0"] is None or r["x1"] is None:
-            if eps >= 1.0:
-                raise ValueError(f"no bracket found for quantile {p} of {c}")
-            out[c][p] = _bracket_search(df, {c: (p,)}, counts, min(1.0, eps * 10))[c][p]
-        else:
-            a, b = r["x0"], r["x1"]
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles; zeros are equal, NaN is the largest value."""
+    x = x + 0.0
+    x[np.isnan(x)] = np.nan
+    bits = x.view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(2 ** 63 - 1))
+
+
+def _value(key: int) -> float:
+    return float(np.array([key if key >= 0 else key ^ (2 ** 63 - 1)], np.int64).view(np.float64)[0])
+
+
+def _bucketed(df: DataFrame, columns: dict[str, list[tuple[int, int, bool]]]) -> DataFrame:
+    """``i, at, sub, n, lo, hi``: filled buckets of the brackets of each column, with their rows and smallest and largest key.
+
+    A bracket ``(lo, hi, listed)`` is cut into at most ``2 ** BUCKET_BITS`` buckets; a listed one into its values.
+    """
+    brackets = [[(lo, hi, listed, max(0, (hi - lo).bit_length() - BUCKET_BITS)) for lo, hi, listed in v] for v in columns.values()]
+
+    def run(batches):
+        found: dict[tuple[int, int], np.ndarray] = {}  # rows, smallest and largest key by bucket
+        values: dict[tuple[int, int], list] = {}
+        for b in batches:
+            for i, own in enumerate(brackets):
+                keys = np.sort(_keys(b.column(i).drop_null().to_numpy(zero_copy_only=False)))
+                for at, (lo, hi, listed, shift) in enumerate(own):
+                    part = keys[np.searchsorted(keys, lo):np.searchsorted(keys, hi, "right")]
+                    if not len(part):
+                        continue
+                    if listed:
+                        values.setdefault((i, at), []).append(part)
+                        continue
+                    # the difference of two keys may need all 64 bits
+                    sub = (part.view(np.uint64) - np.uint64(lo % 2 ** 64)) >> np.uint64(shift)
+                    first = np.flatnonzero(np.concatenate([[True], sub[1:] != sub[:-1]]))
+                    last = np.concatenate([first[1:], [len(sub)]])
+                    if (i, at) not in found:
+                        found[i, at] = np.tile(np.array([[0], [2 ** 63 - 1], [-2 ** 63]], np.int64), 1 << BUCKET_BITS)
+                    own_n, own_lo, own_hi = found[i, at]
+                    sub = sub[first].astype(np.int64)
+                    own_n[sub] += last - first
+                    own_lo[sub] = np.minimum(own_lo[sub], part[first])
+                    own_hi[sub] = np.maximum(own_hi[sub], part[last - 1])
+        for (i, at), t in found.items():
+            sub = np.flatnonzero(t[0])
+            yield batch(i, at, sub, *t[:, sub])
+        for (i, at), parts in values.items():
+            x, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield batch(i, at, x, n, x, x)
+
+    def batch(i, at, sub, n, lo, hi):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(sub), v, np.int32)) for v in (i, at)] + [pa.array(v, pa.int64()) for v in (sub, n, lo, hi)],
+                                          names=["i", "at", "sub", "n", "lo", "hi"])
+    cells = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    return cells.mapInArrow(run, "i int, at int, sub bigint, n bigint, lo bigint, hi bigint").groupBy("i", "at", "sub").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _bracket_search(df: DataFrame, wanted: dict[str, tuple[float, ...]], counts: dict[str, int]) -> dict[str, dict[float, float]]:
+    """Every wanted rank has a bracket of values, at first all of them. Each read cuts the brackets into buckets, and the bucket that holds
+    the rank is the next bracket, until it is one value. Brackets of at most ``LISTED_ROWS`` rows are listed by value at once.
+
+    What is shuffled is a number of buckets that does not grow with the rows.
+    """
+    # bracket and rows below it by column and rank
+    todo = {c: {r: (-2 ** 63, 2 ** 63 - 1, counts[c], 0) for p in probs for r in _ranks(p, counts[c])} for c, probs in wanted.items()}
+    known: dict[str, dict[int, float]] = {c: {} for c in wanted}
+    while todo:
+        cols = {c: sorted({(lo, hi, n <= LISTED_ROWS) for lo, hi, n, _ in ranks.values()}) for c, ranks in todo.items()}
+        # by column: place of the bracket, rank within it, and rank
+        targets = [[(cols[c].index((lo, hi, n <= LISTED_ROWS)), r - below, r) for r, (lo, hi, n, below) in ranks.items()] for c, ranks in todo.items()]
+
+        def pick(key, t):
+            t, out = t.sort_values(["at", "sub"]), []
+            for at, rel, r in targets[key[0]]:
+                own = t[t["at"] == at]
+                cum = own["n"].to_numpy().cumsum()
+                j = int(np.searchsorted(cum, rel, "right"))
+                if j < len(own):
+                    row = own.iloc[j]
+                    out.append((key[0], r, row["lo"], row["hi"], row["n"], cum[j] - row["n"]))
+            return pd.DataFrame(out, columns=["i", "r", "lo", "hi", "n", "below"])
+        # at most 2 ** BUCKET_BITS rows a bracket in a group, and one a rank to the driver
+        got = _bucketed(df, cols).groupBy("i").applyInPandas(pick, "i int, r bigint, lo bigint, hi bigint, n bigint, below bigint").collect()
+        if len(got) < sum(map(len, targets)):
+            raise ValueError("no bracket found: the counts are not those of the rows")
+        names = list(todo)
+        left: dict[str, dict[int, tuple[int, int, int, int]]] = {}
+        for g in got:
+            c = names[g["i"]]
+            if g["lo"] == g["hi"]:
+                known[c][g["r"]] = _value(g["lo"])
+            else:
+                left.setdefault(c, {})[g["r"]] = (g["lo"], g["hi"], g["n"], todo[c][g["r"]][3] + g["below"])
+        todo = left
+    out: dict[str, dict[float, float]] = {c: {} for c in wanted}
+    for c, probs in wanted.items():
+        for p in probs:
+            lo, hi = _ranks(p, counts[c])
+            a, b, frac = known[c][lo], known[c][hi], p * (counts[c] - 1) - lo
             out[c][p] = (1.0 - frac) * a + frac * b if b != a else a
     return out
 
 
+def _ranks(p: float, count: int) -> tuple[int, int]:
+    """The two ranks that a quantile lies between."""
+    at = math.floor(p * (count - 1))
+    return at, min(at + 1, count - 1)
+
+
 def profile(df: DataFrame, columns: list[str], measures, name: str = "column") -> DataFrame:
     """One row per column from one aggregate pass.
 

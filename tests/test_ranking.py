@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window, functions as F
 
 from lendframe.operators.ranking import hash_key, hash_row_number, ordered_row_number, running, running_totals
+from lendframe.operators import stats
 from lendframe.operators.stats import column_stats, distinct_counts, exact_quantiles, modes
 
 
@@ -29,6 +30,24 @@ def test_bracket_search_is_exact(spark):
     assert all(abs(got["x"][p] - small[p]) < 1e-9 for p in probs)
 
 
+def test_bracket_search_reads_do_not_grow_with_the_quantiles(spark, monkeypatch):
+    """Many quantiles of hot, far apart and special values: few reads, and the values of ``percentile``."""
+    rnd = random.Random(5)
+    special = [0.0, -0.0, float("inf"), float("-inf"), float("nan"), 5e-324, -1e300]
+    rows = [(rnd.gauss(0, 1) * 10.0 ** rnd.randint(-9, 9), float(i % 3), special[i % 7] if i % 4 == 0 else 1.0 + i * 1e-15, None if i else 2.5)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(4)
+    probs = tuple(k / 100 for k in range(101))
+    reads = []
+    monkeypatch.setattr(stats, "LISTED_ROWS", 20)
+    monkeypatch.setattr(stats, "_bucketed", lambda *a, f=stats._bucketed: reads.append(1) or f(*a))
+    got = exact_quantiles(df, {c: probs for c in "abcd"}, limit=0)
+    want = exact_quantiles(df, {c: probs for c in "abcd"})
+    assert len(reads) <= 7
+    for c in "abcd":
+        np.testing.assert_allclose([got[c][p] for p in probs], [want[c][p] for p in probs], rtol=1e-12)
+
+
 def test_hash_row_number(spark):
     _, df = skewed(spark)
     d = df.withColumn("h", hash_key("id", 1))
