@@ -78,12 +78,14 @@ def validity(df: DataFrame, limits: dict[str, tuple] | None = None) -> DataFrame
 
 
 def decimal_places(text: Column) -> Column:
-    """Digits after the point of the shortest decimal form; text may be in scientific form (``1.25E7``)."""
+    """Digits after the point of the shortest decimal form; text may be in scientific form (``1.25E7``), which alone is split."""
     mantissa = F.split_part(text, F.lit("E"), F.lit(1))
     exp = F.coalesce(F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int"), F.lit(0))
     frac = F.split_part(mantissa, F.lit("."), F.lit(2))
     digits = F.when((frac == "0") & (exp != 0), 0).otherwise(F.length(frac))
-    return F.greatest(digits - exp, F.lit(1))
+    dot = F.instr(text, ".")
+    return F.when(F.instr(text, "E") == 0, F.when(dot == 0, 1).otherwise(F.greatest(F.length(text) - dot, F.lit(1)))).otherwise(
+        F.greatest(digits - exp, F.lit(1)))
 
 
 def consistency(df: DataFrame) -> DataFrame:

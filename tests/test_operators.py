@@ -345,3 +345,12 @@ def test_loan_features_at_small_scale(spark, sf):
     f = FeatureSet(LOAN_FEATURES).fit(df)
     out = f.transform(df)
     assert out.count() == df.count() and len(f.columns) == 25
+
+
+def test_decimal_places_split_scientific_texts_only(spark):
+    from lendframe.operators.quality import decimal_places
+    want = {"1.0": 1, "0.05": 2, "-12.345": 3, "1.25E7": 1, "1.0E-5": 5, "1.25E-5": 7, "NaN": 1, "-Infinity": 1, "0.0": 1, "17": 1, None: 1}
+    df = spark.createDataFrame([(k,) for k in want], "t string").withColumn("places", decimal_places(F.col("t")))
+    assert {r["t"]: r["places"] for r in df.collect()} == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("CASE WHEN (instr") < plan.index("split")
