@@ -10,6 +10,8 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -55,17 +57,14 @@ def log_likelihoods(df: DataFrame, columns: list[str], lams: dict[str, list[floa
     """
     shift = shift or {}
     moved = df.select(*[(F.col(c).cast("double") + shift.get(c, 0.0)).alias(c) for c in columns])
-    grid = F.element_at(F.array(*[F.lit(np.array(lams[c], dtype=float)) for c in columns]), F.col("i") + 1)
-    cells = numeric_cells(moved, columns).where("x is not null").select("i", "x", F.posexplode(grid).alias("k", "lam"))
-    x, lam = F.col("x"), F.col("lam")
     if kind == "yeo-johnson":
-        two = 2.0 - lam
-        pos = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
-        neg = F.when(F.abs(two) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1.0 - x, two) - 1.0) / two)
-        y, jac = F.when(x >= 0, pos).otherwise(neg), F.signum(x) * F.log1p(F.abs(x))
+        rows = _yeo_johnson_sums(moved, [np.array(lams[c], dtype=float) for c in columns]).collect()
     else:
-        y, jac = F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1.0) / lam), F.log(x)
-    rows = cells.groupBy("i", "k").agg(F.count(y).alias("n"), F.sum(jac).alias("j"), F.var_pop(y).alias("v")).collect()
+        grid = F.element_at(F.array(*[F.lit(np.array(lams[c], dtype=float)) for c in columns]), F.col("i") + 1)
+        cells = numeric_cells(moved, columns).where("x is not null").select("i", "x", F.posexplode(grid).alias("k", "lam"))
+        x, lam = F.col("x"), F.col("lam")
+        y = F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1.0) / lam)
+        rows = cells.groupBy("i", "k").agg(F.count(y).alias("n"), F.sum(F.log(x)).alias("j"), F.var_pop(y).alias("v")).collect()
     out = {c: [-math.inf] * len(lams[c]) for c in columns}
     for r in rows:  # columns x lambdas rows
         if r["v"]:
@@ -74,6 +73,53 @@ def log_likelihoods(df: DataFrame, columns: list[str], lams: dict[str, list[floa
     return out
 
 
+def _yeo_johnson_sums(df: DataFrame, grid: list[np.ndarray]) -> DataFrame:
+    """``i, k, n, j, v``: rows, logarithm of the jacobian and variance of column ``i`` at its lambda ``k``.
+
+    Numpy takes one logarithm a value for all lambdas; a task sends on one row per column and lambda.
+    """
+    def run(batches):
+        held: dict[int, tuple] = {}  # rows, jacobian, mean and squared deviations by lambda, smallest and largest value
+        with np.errstate(all="ignore"):
+            for b in batches:
+                for i, lam in enumerate(grid):
+                    x = b.column(i).drop_null().to_numpy(zero_copy_only=False)
+                    if not len(x):
+                        continue
+                    log, low = np.log1p(np.abs(x)), x < 0
+                    sign = np.where(low, -1.0, 1.0)
+                    y = np.empty((len(lam), len(x)))
+                    for k, at in enumerate(lam):
+                        power = np.where(low, 2.0 - at, at) if low.any() else at
+                        flat = np.abs(power) < 1e-12
+                        y[k] = sign * np.where(flat, log, np.expm1(power * log) / np.where(flat, 1.0, power))
+                    mean = y.mean(axis=1)
+                    part = len(x), np.sum(sign * log), mean, np.sum((y - mean[:, None]) ** 2, axis=1), x.min(), x.max()
+                    held[i] = _merged(held[i], part) if i in held else part
+        for i, (n, j, mean, dev, lo, hi) in held.items():
+            size = len(mean)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, i, np.int32)), pa.array(np.arange(size, dtype=np.int32)), pa.array(np.full(size, n, np.int64)),
+                 pa.array(np.full(size, j)), pa.array(mean), pa.array(dev), pa.array(np.full(size, lo)), pa.array(np.full(size, hi))],
+                names=["i", "k", "n", "j", "mean", "dev", "lo", "hi"])
+
+    def merge(key, t):
+        out = None
+        for r in t.itertuples():  # one a task
+            part = r.n, r.j, r.mean, r.dev, r.lo, r.hi
+            out = part if out is None else _merged(out, part)
+        # equal values have no variance, whatever the rounding of their powers
+        return pd.DataFrame([(*key, out[0], out[1], 0.0 if out[4] == out[5] else out[3] / out[0])], columns=["i", "k", "n", "j", "v"])
+    parts = df.mapInArrow(run, "i int, k int, n bigint, j double, mean double, dev double, lo double, hi double")
+    return parts.groupBy("i", "k").applyInPandas(merge, "i int, k int, n bigint, j double, v double")
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Rows, sum, mean, squared deviations, smallest and largest value of two parts together."""
+    n, gap = a[0] + b[0], b[2] - a[2]
+    return n, a[1] + b[1], a[2] + gap * (b[0] / n), a[3] + b[3] + gap * gap * (a[0] * b[0] / n), np.minimum(a[4], b[4]), np.maximum(a[5], b[5])
+
+
 def fit_lambda(df: DataFrame, columns: list[str], kind: str = "yeo-johnson", shift: dict[str, float] | None = None,
                lo: float = -3.0, hi: float = 3.0, points: int = 13, rounds: int = 4) -> dict[str, float]:
     """Maximum-likelihood lambda by grid refinement; each round is one pass over all columns."""

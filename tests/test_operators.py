@@ -354,3 +354,18 @@ def test_decimal_places_split_scientific_texts_only(spark):
     assert {r["t"]: r["places"] for r in df.collect()} == want
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("CASE WHEN (instr") < plan.index("split")
+
+
+def test_yeo_johnson_sums_of_tasks(spark):
+    x = np.concatenate([np.random.default_rng(1).normal(3, 5, 500), [0.0, -0.0, 1e6]])
+    df = spark.createDataFrame([(float(v), 0.1, None, float(i)) for i, v in enumerate(x)], "x double, same double, gone double, id double").repartition(5, "id")
+    lams = np.array([-1.0, 0.0, 0.5, 1.0, 2.0, 3.0])
+    got = {(r["i"], r["k"]): r for r in scale._yeo_johnson_sums(df.select("x", "same", "gone"), [lams] * 3).collect()}
+    assert {i for i, _ in got} == {0, 1}
+    for k, lam in enumerate(lams):
+        pos, neg = x[x >= 0], x[x < 0]
+        y = np.concatenate([np.log1p(pos) if lam == 0 else ((pos + 1) ** lam - 1) / lam,
+                            -np.log1p(-neg) if lam == 2 else -((1 - neg) ** (2 - lam) - 1) / (2 - lam)])
+        assert got[0, k]["n"] == len(x) and math.isclose(got[0, k]["v"], y.var(), rel_tol=1e-9)
+        assert math.isclose(got[0, k]["j"], np.sum(np.sign(x) * np.log1p(np.abs(x))), rel_tol=1e-9)
+        assert got[1, k]["v"] == 0.0  # no variance, so no likelihood
