@@ -369,3 +369,32 @@ def test_yeo_johnson_sums_of_tasks(spark):
         assert got[0, k]["n"] == len(x) and math.isclose(got[0, k]["v"], y.var(), rel_tol=1e-9)
         assert math.isclose(got[0, k]["j"], np.sum(np.sign(x) * np.log1p(np.abs(x))), rel_tol=1e-9)
         assert got[1, k]["v"] == 0.0  # no variance, so no likelihood
+
+
+def test_packed_trees_walk_like_their_nodes():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 2)), 1)
+    for limit in (0, 3, 8):
+        tree = forest._grow(x, rng, limit)
+        f, s, child, value, depth = forest._packed(tree)
+        for row in [*x[:50], np.array([np.nan, 0.0]), np.array([-9.0, 9.0])]:
+            at, steps = 0, 0
+            while tree[at][0] >= 0:
+                at, steps = tree[at][2 if row[tree[at][0]] < tree[at][1] else 3], steps + 1
+            node = 0
+            for _ in range(depth):
+                node = child[2 * node + int(row[f[node]] < s[node])]
+            assert node == at and value[node] == steps + forest._average_depth([tree[at][4]])[0]
+
+
+def test_isolation_samples_and_stored_scores(spark):
+    from lendframe.operators.ranking import hash_fraction, hash_key
+    df = spark.range(0, 2000).select(F.col("id"), (F.col("id") * 37 % 101).cast("double").alias("x"))
+    share = 1.5 * 64 / 2000
+    want = [min(64, df.where(hash_fraction(hash_key("id", f"7-{t}")) < share).count()) for t in range(3)]
+    assert [tree[0][4] for tree in forest.fit_forest(df, ["x"], "id", trees=3, sample=64, seed=7)] == want
+    whole = forest.fit_forest(df.limit(50), ["x"], "id", trees=2, sample=50)
+    assert [tree[0][4] for tree in whole] == [50, 50]
+    out = forest.isolation_outliers(df, ["x"], "id", trees=3, sample=64)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # the scores are read, not made again
