@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Up to this many rows the built-in exact ``percentile`` (a value map in one
 #: task) is used; beyond it the bracket search below.
-EXACT_PERCENTILE_ROWS = 2_000_000
+EXACT_PERCENTILE_ROWS = 200_000
 #: Bits by which a read narrows a bracket, and rows of a bracket that are few enough to be listed by value.
 BUCKET_BITS = 12
 LISTED_ROWS = 10_000

@@ -48,6 +48,13 @@ def test_bracket_search_reads_do_not_grow_with_the_quantiles(spark, monkeypatch)
         np.testing.assert_allclose([got[c][p] for p in probs], [want[c][p] for p in probs], rtol=1e-12)
 
 
+def test_value_maps_are_for_small_tables_only(spark, monkeypatch):
+    reads = []
+    monkeypatch.setattr(stats, "_bucketed", lambda *a, f=stats._bucketed: reads.append(1) or f(*a))
+    df = spark.range(0, 300_001).select(F.col("id").cast("double").alias("x"))
+    assert exact_quantiles(df, {"x": (0.25, 0.5)}) == {"x": {0.25: 75000.0, 0.5: 150000.0}} and reads
+
+
 def test_hash_row_number(spark):
     _, df = skewed(spark)
     d = df.withColumn("h", hash_key("id", 1))
