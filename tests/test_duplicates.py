@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lendframe.operators import duplicates as dup
@@ -145,6 +147,38 @@ def test_text_leaders_match_greedy_order(spark, monkeypatch):
     assert dup.text_leaders(df.limit(0), "id", "body").count() == 0
 
 
+def test_followers_are_not_paired(spark):
+    """A hot cell of similar rows: a round lists pairs inside its batch and with leaders, not every row with every pivot."""
+    listed = []
+
+    def verify(pairs):
+        listed.append(pairs.count())
+        return pairs
+    rows = spark.range(300).select("id", F.struct("id").alias("v"))
+    cell = F.array(F.struct(F.lit(1).cast("bigint").alias("cell"), F.lit(0).alias("pos")))
+    got = dup.greedy_leaders(rows, cell, cell, F.lit(True), verify, pivots=4)
+    assert {r["leader"] for r in got.collect()} == {0}
+    assert sum(listed) == 4 * 3 // 2 + 296
+
+
+def test_bucket_counts_keep_similar_sets():
+    rnd = np.random.default_rng(4)
+    kept = {}
+    for n, spare in ((5, 1), (300, 10), (300, 200), (9000, 300), (9000, 8000)):
+        a = rnd.integers(-2**62, 2**62, n)
+        b = np.concatenate([a[spare:], rnd.integers(-2**62, 2**62, spare // 2)])
+        shared = len(np.intersect1d(a, b))
+        row = [pa.array([1]), pa.array([2]), pa.array([len(a)]), pa.array([len(b)]), pa.array([dup._bucket_counts(a)]), pa.array([dup._bucket_counts(b)])]
+        out = next(dup._close_counts([pa.RecordBatch.from_arrays(row, names=["id", "pid", "na", "nb", "a", "b"])], 0.9)).num_rows
+        assert out or shared < 0.9 * (len(a) + len(b) - shared)
+        kept[n, spare] = out
+    assert not kept[300, 200] and not kept[9000, 8000]
+    # hash values that share a bucket: its count is capped, and nothing is refuted by it
+    a, b = np.arange(4000) << 20, np.arange(4100) << 20
+    row = [pa.array([1]), pa.array([2]), pa.array([4000]), pa.array([4100]), pa.array([dup._bucket_counts(a)]), pa.array([dup._bucket_counts(b)])]
+    assert next(dup._close_counts([pa.RecordBatch.from_arrays(row, names=["id", "pid", "na", "nb", "a", "b"])], 0.9)).num_rows == 1
+
+
 def test_hot_cells_are_sliced(spark, monkeypatch):
     """No cell of a comparison has more rows than a slice may have by much, though one cell has all rows."""
     monkeypatch.setattr(dup, "CELL_ROWS", 50)
