@@ -8,7 +8,7 @@ are ranges of the slot order, and each shard but the last holds the same number
 can start at any slot by arithmetic.
 
 Texts are tokenised once, into a stored table from which numbers and payloads are read; sequences are shuffled once, to
-tasks that hold ranges of slots of equal size (the slots are even by construction, so nothing is sampled). A task writes its
+tasks that hold ranges of slots of equal size (the slots are even by construction, so nothing is sampled), written ones in compressed blocks. A task writes its
 shards one after another, so their number may grow without more tasks. Only one count per stored partition passes through the driver.
 
 A written record is ``head`` and ``payload``: length of the id as text (4 bytes, all ones for null), the id in UTF-8 padded with zeros to the
@@ -37,6 +37,8 @@ LENGTH = 256
 PER_SHARD = 4096  # more at scale: shards of a gigabyte can be read as well, in pieces of READ_ROWS
 READ_ROWS = 2048
 TASK_BYTES = 512 << 20  # payload that one task sorts and writes
+BLOCK_ROWS = 2048  # records that are compressed together on their way to the shards
+HELD_BYTES = 96 << 20  # records that a task holds until their blocks are full
 ROUNDS = 4
 
 
@@ -87,7 +89,7 @@ def _token_table(docs: DataFrame, id_col: str, text_col: str, length: int, path:
                      pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc", "part", "before", "n", "ids"])
     schema = "doc string, part int, before bigint, n bigint, ids binary"
     out = scratch_path(docs.sparkSession, "tokens")
-    src.mapInArrow(run, schema).write.option("compression", "zstd").parquet(out)
+    src.mapInArrow(run, schema).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(out)
     return docs.sparkSession.read.schema(schema).parquet(out)
 
 
@@ -127,13 +129,67 @@ def _sequences(docs: DataFrame, key: int, id_col: str, text_col: str, length: in
     return table.mapInArrow(run, "slot bigint, doc string, part bigint, n_ids bigint, payload binary"), total
 
 
+def _ranges(spark: SparkSession, total: int, per_shard: int, length: int) -> tuple[int, int]:
+    """Number of shards, and of the ranges of whole shards that tasks write."""
+    shards = max(1, -(-total // per_shard))
+    return shards, min(shards, max(tasks(spark), -(-total * 2 * length // TASK_BYTES)))
+
+
+def _dealt_blocks(records: DataFrame, stride: int, total: int, per_shard: int, length: int) -> DataFrame:
+    """Records (``slot, value``, all of ``stride`` bytes) in the tasks of ``_by_shard``, as ``slot, shard, value`` in the same order.
+
+    They travel in compressed blocks of up to ``BLOCK_ROWS`` of one range: records one by one, in random order, hardly compress.
+    """
+    shards, parts = _ranges(records.sparkSession, total, per_shard, length)
+
+    def block(to: int, held: list) -> pa.RecordBatch:
+        slot, rec = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+        packed = pa.Codec("zstd", compression_level=6).compress(slot.astype("<i8").tobytes() + rec.tobytes(), asbytes=True)
+        return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([len(slot)], pa.int32()), pa.array([packed], pa.binary())],
+                                          names=["to", "n", "block"])
+
+    def pack(batches):
+        held, sizes, rows = {}, {}, 0
+        for b in batches:
+            slot = b.column(0).to_numpy()
+            if not len(slot):
+                continue
+            rec = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, stride)
+            to = slot // per_shard * parts // shards
+            order = np.argsort(to, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                r = int(to[at[0]])
+                held.setdefault(r, []).append((slot[at], rec[at]))
+                sizes[r] = sizes.get(r, 0) + len(at)
+                rows += len(at)
+                if sizes[r] >= BLOCK_ROWS:
+                    rows -= sizes.pop(r)
+                    yield block(r, held.pop(r))
+            if rows * stride > HELD_BYTES:
+                for r in list(held):
+                    yield block(r, held.pop(r))
+                sizes, rows = {}, 0
+        for r, x in held.items():
+            yield block(r, x)
+
+    def unpack(batches):
+        for b in batches:
+            for n, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = pa.decompress(packed, n * (8 + stride), "zstd", asbytes=True)
+                ends = pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(stride))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, "<i8", n)), pa.Array.from_buffers(
+                    pa.binary(), n, [None, ends, pa.py_buffer(raw[8 * n:])])], names=["slot", "value"])
+    packed = records.select("slot", "value").mapInArrow(pack, "to int, n int, block binary").repartitionById(parts, "to")
+    back = packed.select("n", "block").mapInArrow(unpack, "slot bigint, value binary")
+    return back.withColumn("shard", F.floor(F.col("slot") / per_shard)).sortWithinPartitions("shard", "slot")
+
+
 def _by_shard(df: DataFrame, total: int, per_shard: int, length: int) -> DataFrame:
     """Rows with ``shard``, in slot order within ranges of whole shards; the number of ranges follows the bytes, not the shards.
 
     The order begins with the shard itself, so that a write by shard need not sort again (and lose the order of slots).
     """
-    shards = max(1, -(-total // per_shard))
-    parts = min(shards, max(tasks(df.sparkSession), -(-total * 2 * length // TASK_BYTES)))
+    shards, parts = _ranges(df.sparkSession, total, per_shard, length)
     df = df.withColumn("shard", F.floor(F.col("slot") / per_shard))
     return df.repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("shard", "slot")
 
@@ -169,7 +225,7 @@ def write_shards(docs: DataFrame, key: int, path: str, id_col: str = "doc_id", t
     size = F.when(F.col("doc").isNull(), F.lit(0xFFFFFFFF)).otherwise(F.octet_length("doc").cast("bigint"))
     padded = F.rpad(doc, width, F.lit(b"\0")) if width else F.lit(b"")
     record = F.concat(_number(size, 4), padded, _number(F.col("part"), 8), "payload")
-    _by_shard(s.select("slot", record.alias("value")), total, per_shard, length).select(
+    _dealt_blocks(s.select("slot", record.alias("value")), 4 + width + 8 + 2 * length, total, per_shard, length).select(
         "shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(f"{path}/shards")
     spark.createDataFrame([(total, length, per_shard, width)], LAYOUT).coalesce(1).write.json(f"{path}/layout")
     return total

@@ -594,3 +594,21 @@ def test_invalid_utf8_has_a_defined_result(spark):
     turns = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")
     back = {r.conv_id: r for r in chat_tree.read_back(chat_tree.build(turns)).collect()}
     assert {i: r.loss_chars for i, r in back.items()} == {i: len(t) for i, t in want.items()}
+
+
+def test_records_travel_in_blocks(spark, monkeypatch):
+    """Few full blocks or many small ones: the same records in slot order, and fewer rows in the shuffle than records."""
+    import random
+    width, n = 20, 3000
+    rows = list(enumerate(i.to_bytes(8, "big") + b"x" * (width - 8) for i in range(n)))
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "slot bigint, value binary").repartition(3)
+    for block_rows, held in ((512, 96 << 20), (7, 96 << 20), (512, 4000)):
+        monkeypatch.setattr(training_order, "BLOCK_ROWS", block_rows)
+        monkeypatch.setattr(training_order, "HELD_BYTES", held)
+        out = training_order._dealt_blocks(df, width, n, 100, 8)
+        parts = out.rdd.mapPartitions(lambda it: [[(r.slot, r.shard, bytes(r.value)) for r in it]]).collect()
+        for p in parts:
+            assert [r[0] for r in p] == sorted(r[0] for r in p)
+        assert sorted(r for p in parts for r in p) == [(s, s // 100, v) for s, v in sorted(rows)]
+        assert len({r[1] for p in parts for r in p}) == sum(len({r[1] for r in p}) for p in parts) == 30
