@@ -38,6 +38,7 @@ PER_SHARD = 4096  # more at scale: shards of a gigabyte can be read as well, in
 READ_ROWS = 2048
 TASK_BYTES = 512 << 20  # payload that one task sorts and writes
 BLOCK_ROWS = 2048  # records that are compressed together on their way to the shards
+PAGE_BYTES = 16 << 20  # ids of texts that are compressed together in the stored table
 HELD_BYTES = 96 << 20  # records that a task holds until their blocks are full
 ROUNDS = 4
 
@@ -89,7 +90,9 @@ def _token_table(docs: DataFrame, id_col: str, text_col: str, length: int, path:
                      pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc", "part", "before", "n", "ids"])
     schema = "doc string, part int, before bigint, n bigint, ids binary"
     out = scratch_path(docs.sparkSession, "tokens")
-    src.mapInArrow(run, schema).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(out)
+    # a page is compressed by itself: the usual megabyte ends before most of what repeats, and before the window of the level
+    src.mapInArrow(run, schema).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option(
+        "parquet.page.size", PAGE_BYTES).parquet(out)
     return docs.sparkSession.read.schema(schema).parquet(out)
 
 
