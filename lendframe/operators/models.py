@@ -175,8 +175,8 @@ def permutation_importance(model, df: DataFrame, label: str, columns: list[str],
     own = hash_row_number(rows.withColumn("_h", hash_key("row_id", seed)), "_h").drop("_h")
     donors = hash_row_number(rows.select("row_id", F.col("_x").alias("_y")).withColumn("_h", hash_key("row_id", seed + 1)), "_h").select("rn", "_y")
     k = F.explode(F.array(F.lit(-1), *[F.lit(i) for i in range(len(columns))]))
-    mixed = own.join(donors, "rn").withColumn("_k", k).withColumn(FEATURES, array_to_vector(F.transform(
-        "_x", lambda v, i: F.when(i == F.col("_k"), F.element_at("_y", i + 1)).otherwise(v))))
+    taken = F.concat(F.slice("_x", F.lit(1), F.col("_k")), F.array(F.get("_y", F.col("_k"))), F.slice("_x", F.col("_k") + 2, F.lit(len(columns))))
+    mixed = own.join(donors, "rn").withColumn("_k", k).withColumn(FEATURES, array_to_vector(F.when(F.col("_k") < 0, F.col("_x")).otherwise(taken)))
     # the metrics read the scores several times: once a feature and row is scored, not once a reading
     scored = saved(score(model, mixed.select("row_id", label, "_k", FEATURES), label, "model", keep=("_k",)).select("_k", "label", "proba"), "scores")
     auc = checkpoint(metrics.rank_metrics(scored, ("_k",)).select("_k", "auc"))
