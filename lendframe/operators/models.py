@@ -287,7 +287,8 @@ def train(df: DataFrame, columns: list[str], label: str, id_col: str, fit: Calla
     tr, te = s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
     if prepare:
         tr, te = prepare(tr, te)
-    x = assemble(tr, columns, label, keep=("row_id",)).persist()
+    # the vector has the inputs already: their columns would be kept a second time
+    x = assemble(tr, columns, label, keep=("row_id",)).drop(*(c for c in columns if c not in ("row_id", "weight", "fold", "split", "is_val"))).persist()
     m = fit(x)
     p = score(m, assemble(te, columns, label, keep=("row_id",)), label, "m").persist()
     row = metrics.classification_metrics(p).join(metrics.rank_metrics(p), "model").first().asDict()

@@ -46,3 +46,12 @@ def test_applications_of_a_task_are_bounded(spark, sf, monkeypatch):
     for d, n in ((catalog_models._prepared(t), t.lab.count()), (t.dealt(t.loans), t.loans.count())):
         sizes = [r["count"] for r in d.groupBy(F.spark_partition_id().alias("p")).count().collect()]
         assert sum(sizes) == n and max(sizes) < 2 * 50
+
+
+def test_training_keeps_the_inputs_once(spark):
+    df = spark.range(300).select(F.col("id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"),
+                                 F.when(F.col("id") % 7 + F.col("id") % 5 > 4, 1).otherwise(0).alias("y"))
+    seen = []
+    got = ml.train(df, ["a", "b"], "y", "id", lambda x: (seen.append((x.columns, x.is_cached)), ml.fit_logistic(x, "y"))[1])
+    assert [sorted(c) for c, _ in seen] == [["features", "row_id", "y"]] and seen[0][1]
+    assert got.features == ["a", "b"] and got.metrics["accuracy"] > 0.5
